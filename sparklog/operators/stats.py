@@ -1,6 +1,6 @@
 """Level statistics."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..model import LEVELS
 from .numbering import BUCKET, dense_number
@@ -62,10 +62,41 @@ def status_sampled(df: DataFrame, time: str = "timestamp", value: str = "idx",
         .select(F.col("window.start").alias("start"), value))
 
 
-def debounced(df: DataFrame, *by: str, time: str = "timestamp", value: str = "idx",
-              quiet: str = "700 milliseconds") -> DataFrame:
-    """Last value of each burst that a quiet period follows."""
+def debounced(df: DataFrame, *by: str, time: str = "timestamp", order: str = "idx",
+              quiet: str = "700 milliseconds", bucket: int = BUCKET) -> DataFrame:
+    """Last record of each burst, in arrival order: a burst ends when the next record comes
+    more than the quiet period later.
+
+    Bursts are numbered in buckets of the order column, and what crosses a bucket comes from
+    one row per bucket, so a burst or a source may be of any size.
+    """
+    cell = [*by, "_bucket"]
+    placed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)).cast("bigint"))
+    buckets = W.partitionBy(*by).orderBy("_bucket")
+    earlier = buckets.rowsBetween(W.unboundedPreceding, -1)
+    last_before = (placed.groupBy(*cell).agg(F.max_by(time, order).alias("_last"))
+                   .select(*cell, F.lag("_last").over(buckets).alias("_before")))
+    inside = W.partitionBy(*cell).orderBy(order)
+    marked = placed.join(last_before, cell).withColumn(
+        "_previous", F.coalesce(F.lag(time).over(inside), F.col("_before")))
+    starts = F.col("_previous").isNull() | (
+        F.col(time) > F.col("_previous") + F.expr(f"interval '{quiet}'"))
+    marked = marked.withColumn("_starts", starts.cast("bigint"))
+    before = (marked.groupBy(*cell).agg(F.sum("_starts").alias("_n"))
+              .select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")))
+    numbered = marked.withColumn("_burst", F.sum("_starts").over(
+        inside.rowsBetween(W.unboundedPreceding, 0))).join(before, cell)
+    return (numbered.withColumn("_burst", F.col("_base") + F.col("_burst"))
+            .groupBy(*by, "_burst").agg(
+                F.min_by(time, order).alias("first_at"), F.max_by(time, order).alias("last_at"),
+                F.max(order).alias(order))
+            .drop("_burst"))
+
+
+def debounced_stream(df: DataFrame, *by: str, time: str = "timestamp", order: str = "idx",
+                     quiet: str = "700 milliseconds") -> DataFrame:
+    """The same for a stream with a watermark, by Spark's session windows."""
     return (df.groupBy(*by, F.session_window(time, quiet)).agg(
         F.min(time).alias("first_at"), F.max(time).alias("last_at"),
-        F.max_by(value, F.struct(time, value)).alias(value))
-        .select(*by, "first_at", "last_at", value))
+        F.max_by(order, F.struct(time, order)).alias(order))
+        .select(*by, "first_at", "last_at", order))

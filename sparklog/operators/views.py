@@ -67,8 +67,9 @@ def zip_starts_ends(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def preview_lines(units: DataFrame, n: int = 20) -> DataFrame:
-    """First lines of a source."""
-    return units.orderBy("source", "idx").limit(n)
+    """First lines of the first sources, as scanned; each task keeps n rows at most."""
+    return (units.withColumn("_order", F.monotonically_increasing_id())
+            .orderBy("source", "block", "_order").limit(n).drop("_order"))
 
 
 def preview_records(records: DataFrame, n: int = 5) -> DataFrame:
