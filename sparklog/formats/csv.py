@@ -78,30 +78,39 @@ def header_layout(headers: DataFrame, delimiter: str | None = None, quote: str =
         extra.alias("attributes"))
 
 
-def _quote_parity(units: DataFrame, quote: str) -> DataFrame:
+def quote_parity(units: DataFrame, quote: str = '"') -> DataFrame:
+    """``start`` says that a line holds an odd number of quotes."""
     value = F.col("value")
     quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit(quote), F.lit("")))
     return units.withColumn("start", quotes / len(quote.encode()) % 2 == 1)
 
 
 def csv_segments(units: DataFrame, header: bool = True, quote: str = '"',
-                 origin: DataFrame | None = None,
                  max_record_bytes: int = MAX_RECORD_BYTES) -> tuple[DataFrame, DataFrame | None]:
     """Segments with a ``layout`` number, and the table of distinct header texts by number."""
-    units = _quote_parity(units, quote)
-    blocks = index_blocks(units, quoted=True, header=header, origin=origin)
+    units = quote_parity(units, quote)
+    blocks = index_blocks(units, quoted=True, header=header)
     headers = None
     if header:
-        # All files of one logger share a header, so this table is far smaller than the blocks.
-        headers = scratch.write_table(
-            blocks.where("header is not null").select("header").distinct()
-            .select("header", F.monotonically_increasing_id().alias("layout")), "headers")
-        blocks = scratch.write_table(
-            blocks.join(headers.withColumnRenamed("header", "file_header"), "file_header", "left"),
-            "blocks")
+        blocks, headers = number_headers(blocks)
+    return glued_csv(units, blocks, header, max_record_bytes), headers
+
+
+def number_headers(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks with the ``layout`` number of their file's header, and the numbered headers.
+    All files of one logger share a header, so this table is far smaller than the blocks."""
+    headers = scratch.write_table(
+        blocks.where("file_header is not null").select(F.col("file_header").alias("header"))
+        .distinct().select("header", F.monotonically_increasing_id().alias("layout")), "headers")
+    numbered = blocks.join(headers.withColumnRenamed("header", "file_header"),
+                           "file_header", "left")
+    return scratch.write_table(numbered, "blocks"), headers
+
+
+def glued_csv(units: DataFrame, blocks: DataFrame, header: bool, max_record_bytes: int) -> DataFrame:
     segments = glue_records(units, blocks, quoted=True, header=header,
                             max_record_bytes=max_record_bytes)
-    return segments.withColumn("raw", F.make_valid_utf8(strip_cr(F.col("raw")))), headers
+    return segments.withColumn("raw", F.make_valid_utf8(strip_cr(F.col("raw"))))
 
 
 def _field(fields: Column, position: Column | int | None) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.levels import parse_level
 from ..functions.times import epoch_millis
-from ..operators.blocks import is_compressed, number_units
+from ..operators.blocks import is_compressed, number_blocks, number_units
 from ..sources.files import scan_units
 from .common import apply_malformed_policy, to_records
 
@@ -24,37 +24,52 @@ def _events(piece: Column) -> Column:
                     lambda x: F.startswith(x, F.lit(EVENT_START)))
 
 
-def log4j_segments(units: DataFrame, index: bool = True,
-                   origin: DataFrame | None = None) -> DataFrame:
+def _raw(event: Column, last: Column) -> Column:
+    return F.make_valid_utf8(F.when(last, F.concat(event, F.lit(EVENT_END))).otherwise(event))
+
+
+_LAST = "pos = size(events) - 1"
+
+
+def weigh_pieces(units: DataFrame) -> DataFrame:
+    return units.withColumn("weight", F.size(_events(F.col("value"))))
+
+
+def log4j_segments(units: DataFrame, index: bool = True) -> DataFrame:
     """Units are pieces between two end tags. Text in front of the first start tag belongs to
     no record, and neither does a truncated event at the end of a file."""
-    events = _events(F.col("value"))
-    last = F.col("pos") == F.size("events") - 1
-    raw = F.make_valid_utf8(F.when(last, F.concat("event", F.lit(EVENT_END)))
-                            .otherwise(F.col("event")))
     if not index:
-        return (units.withColumn("events", events)
+        return (units.withColumn("events", _events(F.col("value")))
                 .select("source", "events", F.posexplode("events").alias("pos", "event"))
-                .select("source", raw.alias("raw")))
-    # The text is split again afterwards: cheaper than moving each text twice through Arrow.
-    placed = number_units(units.withColumn("weight", F.size(events)), len(EVENT_END), origin)
-    if origin is None:
-        whole = F.col("offset") + F.col("width") <= F.col("size")
-        placed = placed.where(whole | is_compressed(F.col("source")))
+                .select("source", _raw(F.col("event"), F.expr(_LAST)).alias("raw")))
+    units = weigh_pieces(units)
+    whole = F.col("offset") + F.col("width") <= F.col("size")
+    return _placed_events(
+        number_units(units, number_blocks(units, len(EVENT_END)))
+        .where(whole | is_compressed(F.col("source"))))
+
+
+def placed_pieces(units: DataFrame, blocks: DataFrame) -> DataFrame:
+    return _placed_events(number_units(units, blocks))
+
 
+def _placed_events(placed: DataFrame) -> DataFrame:
+    """One row per event. The text is split again here: cheaper than moving each text twice
+    through Arrow."""
     def bytes_of(texts):
         return F.aggregate(texts, F.lit(0), lambda acc, x: acc + F.octet_length(x))
 
+    last = F.expr(_LAST)
     lead = F.octet_length("value") - bytes_of("events")
     before = bytes_of(F.slice("events", F.lit(1), F.col("pos")))
     tag = F.when(last, F.lit(len(EVENT_END))).otherwise(F.lit(0))
-    return (placed.withColumn("events", events)
+    return (placed.withColumn("events", _events(F.col("value")))
             .select("*", F.posexplode("events").alias("pos", "event"))
             .select("source",
                     (F.col("idx") + F.col("pos")).alias("idx"),
                     (F.col("offset") + lead + before).alias("offset"),
                     (F.octet_length("event") + tag).cast("bigint").alias("length"),
-                    raw.alias("raw")))
+                    _raw(F.col("event"), last).alias("raw")))
 
 
 def parse_event(raw: Column) -> Column:

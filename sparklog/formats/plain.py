@@ -2,24 +2,30 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.blocks import clamp_length, number_units
+from ..operators.blocks import clamp_length, number_blocks, number_units
 from ..sources.files import scan_units
 from .common import strip_cr, to_records
 
 
-def plain_segments(units: DataFrame, index: bool = True,
-                   origin: DataFrame | None = None) -> DataFrame:
+def weigh_lines(units: DataFrame) -> DataFrame:
+    """Lines without their carriage return; an empty one weighs nothing."""
     line = strip_cr(F.col("value"))
-    units = units.withColumns({"value": line, "weight": (F.length(line) > 0).cast("int")})
+    return units.withColumns({"value": line, "weight": (F.length(line) > 0).cast("int")})
+
+
+def plain_segments(units: DataFrame, index: bool = True) -> DataFrame:
+    units = weigh_lines(units)
     if not index:
         return (units.where("weight = 1")
                 .select("source", F.make_valid_utf8("value").alias("raw")))
-    length = F.col("width")
-    if origin is None:
-        length = clamp_length(length, F.col("size"))
-    return (number_units(units, origin=origin).where("weight = 1")
-            .select("source", "idx", "offset", length.alias("length"),
-                    F.make_valid_utf8("value").alias("raw")))
+    segments = placed_lines(units, number_blocks(units))
+    return segments.withColumn("length", clamp_length(F.col("length"), F.col("size"))).drop("size")
+
+
+def placed_lines(units: DataFrame, blocks: DataFrame) -> DataFrame:
+    return (number_units(units, blocks).where("weight = 1")
+            .select("source", "idx", "offset", F.col("width").alias("length"),
+                    F.make_valid_utf8("value").alias("raw"), "size"))
 
 
 def parse_plain(segments: DataFrame) -> DataFrame:

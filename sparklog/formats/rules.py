@@ -85,8 +85,8 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def rule_segments(units: DataFrame, rules: RuleSet, origin: DataFrame | None = None,
-                  max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+def mark_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
+    """``start`` and ``close`` per line; a line may open a record and close it."""
     start = _regex(rules, rules.start)
     line = F.concat("value", F.lit("\n"))
     close = F.lit(False)
@@ -95,16 +95,25 @@ def rule_segments(units: DataFrame, rules: RuleSet, origin: DataFrame | None = N
         after = F.substr(line, F.regexp_instr("value", start))
         close = F.when(F.regexp_like("value", start), F.regexp_like(after, end)).otherwise(
             F.regexp_like(line, end))
-    units = units.withColumns({"start": F.regexp_like("value", start), "close": close})
-    glued = glue_records(units, index_blocks(units, False, False, origin), False, False,
-                         max_record_bytes=max_record_bytes)
+    return units.withColumns({"start": F.regexp_like("value", start), "close": close})
+
+
+def rule_segments(units: DataFrame, rules: RuleSet,
+                  max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+    units = mark_lines(units, rules)
+    return cut_records(glue_records(units, index_blocks(units, False, False), False, False,
+                                    max_record_bytes), rules)
+
+
+def cut_records(glued: DataFrame, rules: RuleSet) -> DataFrame:
+    """Whole lines down to the text from the start match to the end match."""
     text = F.concat("raw", F.lit("\n"))
-    first = F.regexp_instr(text, start)
+    first = F.regexp_instr(text, _regex(rules, rules.start))
     df = glued.withColumns({
         "_lead": F.octet_length(F.substr(text, F.lit(1), first - 1)),
         "_body": F.substr(text, first)})
-    at = F.regexp_instr("_body", end) if rules.end else F.lit(0)
-    df = df.withColumn("_end", at)
+    df = df.withColumn("_end", F.regexp_instr("_body", _regex(rules, rules.end)) if rules.end
+                       else F.lit(0))
     cut = F.substr("_body", F.lit(1), F.col("_end") - 1)
     open_body = F.substr("_body", F.lit(1), F.length("_body") - 1)
     return df.select(

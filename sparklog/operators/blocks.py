@@ -113,20 +113,24 @@ def attach(units: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
             .sortWithinPartitions(*_KEY, "_order").drop("_order"))
 
 
-def number_units(units: DataFrame, separator_bytes: int = 1,
-                 origin: DataFrame | None = None) -> DataFrame:
-    """Add ``idx`` (records before the unit, summing ``weight``) and byte ``offset``."""
+def number_blocks(units: DataFrame, separator_bytes: int = 1,
+                  origin: DataFrame | None = None) -> DataFrame:
+    """One written row per block: first record number (summing ``weight``) and byte offset."""
     blocks = units.groupBy(*_KEY).agg(
         F.max("size").alias("size"), F.sum("weight").alias("n"), F.sum("width").alias("bytes"))
     earlier = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("source")
     mark = _byte_order_mark(F.sum("bytes").over(whole), separator_bytes)
-    blocks = scratch.write_table(_origin(blocks, origin).select(
-        *_KEY,
+    return scratch.write_table(_origin(blocks, origin).select(
+        *_KEY, "n", "bytes",
         (F.col("idx0") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("idx"),
         (F.col("offset0") + F.coalesce(F.sum("bytes").over(earlier), F.lit(0))
          + (mark if origin is None else F.lit(0))).alias("offset"),
     ), "blocks")
+
+
+def number_units(units: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Add ``idx`` (records before the unit) and byte ``offset`` to each unit."""
     placed = attach(units, blocks, "idx", "offset")
     return placed.mapInArrow(_running_sums, placed.schema)
 
@@ -343,7 +347,8 @@ def _glue(quoted: bool, header: bool, parts: bool, limit: int) -> Callable:
     return run
 
 
-def _start_states(summary: DataFrame, quoted: bool, origin: DataFrame | None) -> DataFrame:
+def _start_states(summary: DataFrame, quoted: bool, origin: DataFrame | None,
+                  hold_open: bool) -> DataFrame:
     """How each block begins: inside of a record or not, first record number, byte offset."""
     ordered = W.partitionBy("source").orderBy("block")
     earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
@@ -360,8 +365,11 @@ def _start_states(summary: DataFrame, quoted: bool, origin: DataFrame | None) ->
         df = df.withColumns({
             "n": F.col("starts0"),
             "open_tail": (F.coalesce("out", "state") == 1)
-            & F.coalesce(F.lead("lead").over(ordered), F.lit(False))})
-        unfinished = F.lit(False)
+            & F.coalesce(F.lead("lead").over(ordered), F.lit(hold_open))})
+        # The end of a file ends its last record, the end of a micro-batch does not.
+        unfinished = F.last(F.coalesce("out", "state")).over(
+            ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) == F.lit(
+            1 if hold_open else -1)
     total = F.sum("bytes").over(whole)
     mark = _byte_order_mark(total, 1)
     # Without a final line break the lines count one byte more than the file has.
@@ -369,7 +377,7 @@ def _start_states(summary: DataFrame, quoted: bool, origin: DataFrame | None) ->
            & ~is_compressed(F.col("source"))) if origin is None else F.lit(False)
     df = _origin(df, origin)
     return df.select(
-        *_KEY, "size", "header", F.col("state").cast("int").alias("state"), "open_tail",
+        *_KEY, "size", "header", "n", "bytes", F.col("state").cast("int").alias("state"), "open_tail",
         (F.col("idx0") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("idx"),
         (F.col("offset0") + F.coalesce(F.sum("bytes").over(earlier), F.lit(0))
          + (mark if origin is None else F.lit(0))).alias("offset"),
@@ -380,16 +388,19 @@ def _start_states(summary: DataFrame, quoted: bool, origin: DataFrame | None) ->
     )
 
 
-def index_blocks(units: DataFrame, quoted: bool, header: bool,
-                 origin: DataFrame | None = None) -> DataFrame:
+def index_blocks(units: DataFrame, quoted: bool, header: bool, origin: DataFrame | None = None,
+                 hold_open: bool = False) -> DataFrame:
     """One written row per block. Only flags and sizes go through Python, and for the first
-    block of a file the text that may be its header line."""
+    block of a file the text that may be its header line.
+
+    ``hold_open`` treats the record at the end as unfinished unless something closed it.
+    """
     first = F.when(F.col("block") == 0, F.col("value")) if header else F.lit(None).cast("string")
     close = F.col("close") if "close" in units.columns else F.lit(False)
     narrow = units.select(*_KEY, "size", F.col("width").cast("bigint"), "start",
                           close.alias("close"), first.alias("first"))
     summary = narrow.mapInArrow(_summarise(quoted, header), from_arrow_schema(_SUMMARY))
-    return scratch.write_table(_start_states(summary, quoted, origin), "blocks")
+    return scratch.write_table(_start_states(summary, quoted, origin, hold_open), "blocks")
 
 
 def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool,
@@ -400,38 +411,56 @@ def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool
     opens a record and ``close`` ends it. Records inside of a block never move. Only records
     that cross a block are cut into parts, at most two per block, and meet in a shuffle.
     """
+    whole = _run_glue(units, blocks, quoted, header, False, max_record_bytes).drop("block")
+    if blocks.where(_CROSSING).isEmpty():
+        return whole
+    stitched = _stitched(units, blocks, quoted, header, max_record_bytes)
+    return whole.unionByName(stitched.join(_unfinished(blocks), ["source", "idx"], "left_anti"))
+
+
+def unfinished_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool,
+                       max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+    """The record that is still open at the end of each source."""
+    return _stitched(units, blocks, quoted, header, max_record_bytes).join(
+        _unfinished(blocks), ["source", "idx"], "left_semi")
+
+
+_CROSSING = "open_tail or state = 1"
+
+
+def _unfinished(blocks: DataFrame) -> DataFrame:
+    return (blocks.where("unfinished_idx is not null")
+            .select("source", F.col("unfinished_idx").alias("idx")).distinct())
+
+
+def _run_glue(units, blocks, quoted, header, parts, max_record_bytes) -> DataFrame:
     if "layout" not in blocks.columns:
         blocks = blocks.withColumn("layout", F.lit(0).cast("bigint"))
     close = F.col("close") if "close" in units.columns else F.lit(False)
     narrow = units.select(*_KEY, F.col("width").cast("bigint"), "value", "start",
                           close.alias("close"))
-    schema = from_arrow_schema(_PIECES)
     numbers = ("state", "open_tail", "tail_cut", "idx", "offset", "layout")
-    whole = (attach(narrow, blocks, *numbers)
-             .mapInArrow(_glue(quoted, header, False, max_record_bytes), schema).drop("block"))
-    crossing = blocks.where(F.col("open_tail") | (F.col("state") == 1))
-    if crossing.isEmpty():
-        return whole
-    parts = (attach(narrow, crossing, *numbers)
-             .mapInArrow(_glue(quoted, header, True, max_record_bytes), schema))
-    unfinished = (blocks.where("unfinished_idx is not null")
-                  .select("source", F.col("unfinished_idx").alias("idx")).distinct())
-    one = W.partitionBy("source", "idx")
-    so_far = F.sum("length").over(one.orderBy("block"))
+    return attach(narrow, blocks, *numbers).mapInArrow(
+        _glue(quoted, header, parts, max_record_bytes), from_arrow_schema(_PIECES))
+
+
+def _stitched(units, blocks, quoted, header, max_record_bytes) -> DataFrame:
+    """Records that cross a block, put together from their parts. A text above the limit is
+    not gathered at all: the running size of its parts is checked before they are collected."""
+    parts = _run_glue(units, blocks.where(_CROSSING), quoted, header, True, max_record_bytes)
+    so_far = F.sum("length").over(W.partitionBy("source", "idx").orderBy("block"))
     text = F.when(so_far <= max_record_bytes, F.col("raw"))
-    stitched = (
+    return (
         parts.where("idx >= 0")
         .withColumn("piece", F.struct("block", text.alias("raw")))
         .groupBy("source", "idx")
         .agg(F.min("offset").alias("offset"), F.sum("length").alias("length"),
              F.array_sort(F.collect_list("piece")).alias("pieces"),
              F.first("layout").alias("layout"))
-        .join(unfinished, ["source", "idx"], "left_anti")
         .select("source", "idx", "offset", "length",
                 F.when(F.col("length") <= max_record_bytes,
                        F.array_join(F.transform("pieces", lambda p: p["raw"]), "\n")).alias("raw"),
                 "layout"))
-    return whole.unionByName(stitched)
 
 
 def clamp_length(length: Column, size: Column) -> Column:
