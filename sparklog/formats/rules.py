@@ -95,6 +95,7 @@ def mark_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
         after = F.substr(line, F.regexp_instr("value", start))
         close = F.when(F.regexp_like("value", start), F.regexp_like(after, end)).otherwise(
             F.regexp_like(line, end))
+        close = F.coalesce(close, F.lit(False))
     return units.withColumns({"start": F.regexp_like("value", start), "close": close})
 
 

@@ -37,10 +37,17 @@ def source_rows(events: DataFrame) -> int:
     return max(MIN_SOURCE_ROWS, -(-events.count() // MAX_SOURCES))
 
 
-def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return (spark.readStream.schema(table(spark, sf_dir, name).schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+
+
+def log_records(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """One record per event: ``src``, ``source``, ``idx`` dense per source, and the fields."""
     events = table(spark, sf_dir, "events")
     rows = source_rows(events)
+    if stream:
+        events = stream_table(spark, sf_dir, "events")
     crlf = F.lit("\r\n")
     kind, user = F.col("event_type"), F.col("user_id")
     k = F.regexp_extract("props", "[0-9]+", 0)

@@ -8,6 +8,9 @@ from ..formats import csv as csv_format, log4j, plain, rules
 from ..formats.csv import CsvLayout
 from ..functions import exceptions, levels, text, times
 from ..model import LEVELS
+from ..scratch import new_path
+from ..sources.tail import tail_units
+from ..streaming import follow, live
 from ..operators import detect, navigate, search as searching, stats, status, views
 from ..sources.files import list_files, read_heads, scan_units
 from ..sources.reader import from_payloads, read_logs
@@ -792,3 +795,81 @@ from b group by user_id, burst""")
 def debounced_events(spark, sf_dir):
     return stats.debounced(table(spark, sf_dir, "events"), "user_id", time="ts",
                            order="event_id", quiet="30 minutes", bucket=1000)
+
+
+# ------------------------------------------------------------------ streams
+
+def _finish(writer, out: str) -> None:
+    """Run a stream over all there is."""
+    query = writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def _followed(spark, sf_dir, kind, follower):
+    out = new_path(spark, f"followed-{kind}")
+    units = tail_units(spark, log_files(spark, sf_dir, kind), follower.separator)
+    _finish(follow.write_records(units, follower, out), out)
+    return follow.read_written(spark, out)
+
+
+@query("stream_tail_file", CSV_TEXT + _CSV_RECORD)
+def stream_tail_file(spark, sf_dir):
+    records = _followed(spark, sf_dir, "csv", follow.follow_csv())
+    return _with_src(records, "idx", "offset", "length", "timestamp", "level", "logger",
+                     "message", "exception")
+
+
+@query("stream_replay", EVENT_TEXT + """
+select src, idx, event_time as "timestamp", level, message from xml where idx % 101 <> 0""")
+def stream_replay(spark, sf_dir):
+    records = _followed(spark, sf_dir, "log4j", follow.follow_log4j())
+    return _with_src(records, "idx", "timestamp", "level", "message")
+
+
+@query("stream_dump_sink", EVENT_TEXT + """
+select level, thread, message from xml where idx % 101 <> 0""")
+def stream_dump_sink(spark, sf_dir):
+    out = new_path(spark, "dump")
+    events = bridge.log4j_event(log_records(spark, sf_dir, stream=True))
+    value = F.when(F.col("idx") % 101 == 0, F.lit("")).otherwise(F.col("event"))
+    _finish(live.dump_payloads(events.select(F.encode(value, "UTF-8").alias("value")), out), out)
+    return read_logs(spark, out, "log4j", index=False).select("level", "thread", "message")
+
+
+@query("stream_level_counts", LR + """
+select level, count(*) as count from lr where level is not null and idx % 101 <> 0
+group by level""")
+def stream_level_counts(spark, sf_dir):
+    out = new_path(spark, "level-counts")
+    units = tail_units(spark, log_files(spark, sf_dir, "log4j"), log4j.EVENT_END)
+    records = log4j.parse_log4j(log4j.log4j_segments(units, index=False))
+    _finish(live.write_latest(live.running_level_counts(records), out), out)
+    return live.read_latest(spark, out)
+
+
+@query("stream_filtered_view", _VIEW + "select source, idx, local_idx, message from view")
+def stream_filtered_view(spark, sf_dir):
+    out = new_path(spark, "filtered-view")
+    records = log_records(spark, sf_dir, stream=True)
+    _finish(follow.write_filtered_view(records, F.col("level").isin("Error", "Fatal"), out,
+                                       bucket=1000), out)
+    return follow.read_written(spark, out, "view").select("source", "idx", "local_idx", "message")
+
+
+@query("stream_status", LR + """
+select source, count(*) as count, max(idx * 10 + 10) as "end" from lr group by source""")
+def stream_status(spark, sf_dir):
+    out = new_path(spark, "status")
+    segments = log_records(spark, sf_dir, stream=True).select(
+        "source", (F.col("idx") * 10).alias("offset"), F.lit(10).alias("length"))
+    _finish(live.write_latest(live.running_status(segments), out), out)
+    return live.read_latest(spark, out)
+
+
+@query("stream_level_index", LR + """
+select source, min(idx) as next_idx from lr where level = 'Fatal' and idx > 500
+group by source""")
+def stream_level_index(spark, sf_dir):
+    out = new_path(spark, "level-index")
+    _finish(live.write_level_index(log_records(spark, sf_dir, stream=True), out), out)
+    return navigate.next_record(spark.read.parquet(out), "Fatal", 500)
