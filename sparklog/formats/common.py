@@ -11,6 +11,18 @@ def strip_cr(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit("\r")), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row. A plain projection would be copied
+    into every filter and expression that uses it; the output of a generator is not."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def count_quotes(text: Column, quote: str) -> Column:
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(quote), F.lit("")))
+    size = len(quote.encode())
+    return removed if size == 1 else (removed / size).cast("int")
+
+
 def empty_field(name: str) -> Column:
     return F.lit(None).cast(RECORD_SCHEMA[name].dataType).alias(name)
 

@@ -11,7 +11,7 @@ from ..functions.times import parse_timestamp
 from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import glue_records, index_blocks
 from ..sources.files import scan_units
-from .common import apply_malformed_policy, strip_cr, to_records
+from .common import apply_malformed_policy, count_quotes, strip_cr, to_records, with_once
 
 # Header names with a meaning and the record column each one fills.
 ROLES = {"time": "timestamp", "logger": "logger", "level": "level",
@@ -45,11 +45,13 @@ def split_fields(record: Column, delimiter: str, quote: str = '"') -> Column:
     side goes away, doubled quotes stay, and an unterminated last field is left out."""
     d, q = re.escape(delimiter), re.escape(quote)
     one_field = f"{d}((?:[^{q}{d}]++|{q}[^{q}]*+(?:{q}|\\z))*+)"
-    quotes = F.octet_length(record) - F.octet_length(F.replace(record, F.lit(quote), F.lit("")))
+    quotes = count_quotes(record, quote)
     found = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(one_field), F.lit(1))
-    closed = F.when(quotes / len(quote.encode()) % 2 == 1,
+    closed = F.when(quotes % 2 == 1,
                     F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
-    trimmed = F.transform(closed, lambda x: F.regexp_replace(x, f"^{q}|{q}\\z", ""))
+    trimmed = F.transform(closed, lambda x: F.when(
+        F.startswith(x, F.lit(quote)) | F.endswith(x, F.lit(quote)),
+        F.regexp_replace(x, f"^{q}|{q}\\z", "")).otherwise(x))
     return F.when(quotes == 0, F.split(record, d, -1)).otherwise(trimmed)
 
 
@@ -80,9 +82,7 @@ def header_layout(headers: DataFrame, delimiter: str | None = None, quote: str =
 
 def quote_parity(units: DataFrame, quote: str = '"') -> DataFrame:
     """``start`` says that a line holds an odd number of quotes."""
-    value = F.col("value")
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit(quote), F.lit("")))
-    return units.withColumn("start", quotes / len(quote.encode()) % 2 == 1)
+    return units.withColumn("start", count_quotes(F.col("value"), quote) % 2 == 1)
 
 
 def csv_segments(units: DataFrame, header: bool = True, quote: str = '"',
@@ -104,7 +104,7 @@ def number_headers(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         .distinct().select("header", F.monotonically_increasing_id().alias("layout")), "headers")
     numbered = blocks.join(headers.withColumnRenamed("header", "file_header"),
                            "file_header", "left")
-    return scratch.write_table(numbered, "blocks"), headers
+    return numbered, headers
 
 
 def glued_csv(units: DataFrame, blocks: DataFrame, header: bool, max_record_bytes: int) -> DataFrame:
@@ -120,12 +120,13 @@ def _field(fields: Column, position: Column | int | None) -> Column:
 
 
 def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '"',
-              time_patterns: tuple = (), on_malformed: str = "drop") -> DataFrame:
+              time_patterns: tuple = (), on_malformed: str = "drop",
+              delimiter: str | None = None) -> DataFrame:
     """Fields to record columns. ``layout`` is explicit or the table made by
-    ``header_layout`` with a ``layout`` number to join on."""
+    ``header_layout`` (for the same ``delimiter``) with a ``layout`` number to join on."""
     fields = F.col("fields")
     if isinstance(layout, CsvLayout):
-        df = segments.withColumn("fields", split_fields(F.col("raw"), layout.delimiter, quote))
+        df = with_once(segments, "fields", split_fields(F.col("raw"), layout.delimiter, quote))
         at = {target: getattr(layout, target) for target in ROLES.values()}
         n_fields = F.lit(layout.field_count)
         pairs = [x for name, i in layout.attributes.items() for x in (F.lit(name), _field(fields, i))]
@@ -133,10 +134,9 @@ def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '
     else:
         small = layout.count() <= scratch.MAX_BROADCAST_ROWS
         df = segments.join(F.broadcast(layout) if small else layout, "layout")
-        delimiters = [r[0] for r in layout.select("delimiter").distinct().limit(8).collect()]
-        df = df.withColumn("fields", F.coalesce(*[
+        df = with_once(df, "fields", F.coalesce(*[
             F.when(F.col("delimiter") == d, split_fields(F.col("raw"), d, quote))
-            for d in delimiters or DELIMITERS]))
+            for d in ((delimiter,) if delimiter else DELIMITERS)]))
         at = {target: F.col(f"{target}_at") for target in ROLES.values()}
         n_fields = F.col("n_fields")
         attributes = F.when(F.size("attributes") > 0, F.map_from_arrays(
@@ -163,5 +163,5 @@ def read_csv(spark: SparkSession, path, layout: CsvLayout | None = None,
     segments, headers = csv_segments(units, layout is None, quote,
                                      max_record_bytes=max_record_bytes)
     if layout is None:
-        layout = scratch.write_table(header_layout(headers, delimiter, quote), "layouts")
-    return parse_csv(segments, layout, quote, time_patterns, on_malformed)
+        layout = header_layout(headers, delimiter, quote)
+    return parse_csv(segments, layout, quote, time_patterns, on_malformed, delimiter)

@@ -6,7 +6,7 @@ from ..functions.levels import parse_level
 from ..functions.times import epoch_millis
 from ..operators.blocks import is_compressed, number_blocks, number_units
 from ..sources.files import scan_units
-from .common import apply_malformed_policy, to_records
+from .common import apply_malformed_policy, to_records, with_once
 
 # The tags that open and close an event.
 EVENT_START = "<log4j:event "
@@ -97,7 +97,7 @@ def _event_attributes(event: Column) -> Column:
 def parse_log4j(segments: DataFrame, precision: str = "s", attributes: bool = False,
                 on_malformed: str = "drop") -> DataFrame:
     event = F.col("event")
-    parsed = segments.withColumn("event", parse_event(F.col("raw")))
+    parsed = with_once(segments, "event", parse_event(F.col("raw")))
     records = parsed.withColumns({
         "level": parse_level(event["_level"]),
         "logger": event["_logger"],

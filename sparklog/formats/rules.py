@@ -11,7 +11,7 @@ from ..functions.times import parse_timestamp
 from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import glue_records, index_blocks
 from ..sources.files import scan_units
-from .common import apply_malformed_policy, strip_cr, to_records
+from .common import apply_malformed_policy, strip_cr, to_records, with_once
 
 # The record fields a rule may fill.
 SLOTS = ("timestamp", "level", "logger", "thread", "message", "exception")
@@ -162,7 +162,7 @@ def extract_fields(raw: Column, rules: RuleSet) -> Column:
 def parse_rules(segments: DataFrame, rules: RuleSet, on_malformed: str = "drop") -> DataFrame:
     slots = F.col("slots")
     patterns = (rules.timestamp_format,) if rules.timestamp_format else ()
-    df = segments.withColumn("slots", extract_fields(F.col("raw"), rules))
+    df = with_once(segments, "slots", extract_fields(F.col("raw"), rules))
     return apply_malformed_policy(to_records(df.withColumns({
         "timestamp": parse_timestamp(slots["timestamp"], *patterns),
         "level": parse_level(slots["level"]),

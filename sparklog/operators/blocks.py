@@ -98,15 +98,15 @@ def _origin(blocks: DataFrame, origin: DataFrame | None) -> DataFrame:
                           "offset0": F.coalesce("offset0", F.lit(0))}))
 
 
-def attach(units: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+def attach(units: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
     """Give each unit the numbers of its block, keeping units of a block together in order.
 
-    The block table is counted first. Up to the broadcast bound the scan is not moved at all;
+    The block table was counted. Up to the broadcast bound the scan is not moved at all;
     beyond it units and blocks meet by a shuffle on the block, which no hot source can skew
     because a block is one file split, and are put back into file order.
     """
     small = blocks.select(*_KEY, *columns)
-    if blocks.count() <= scratch.MAX_BROADCAST_ROWS:
+    if n_blocks <= scratch.MAX_BROADCAST_ROWS:
         return units.join(F.broadcast(small), _KEY)
     ordered = units.withColumn("_order", F.monotonically_increasing_id())
     return (ordered.join(small.hint("shuffle_hash"), _KEY)
@@ -131,7 +131,7 @@ def number_blocks(units: DataFrame, separator_bytes: int = 1,
 
 def number_units(units: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add ``idx`` (records before the unit) and byte ``offset`` to each unit."""
-    placed = attach(units, blocks, "idx", "offset")
+    placed = attach(units, blocks, blocks.count(), "idx", "offset")
     return placed.mapInArrow(_running_sums, placed.schema)
 
 
@@ -411,17 +411,19 @@ def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool
     opens a record and ``close`` ends it. Records inside of a block never move. Only records
     that cross a block are cut into parts, at most two per block, and meet in a shuffle.
     """
-    whole = _run_glue(units, blocks, quoted, header, False, max_record_bytes).drop("block")
-    if blocks.where(_CROSSING).isEmpty():
+    n_blocks, n_crossing = blocks.agg(
+        F.count("*"), F.count_if(F.expr(_CROSSING))).first()
+    whole = _run_glue(units, blocks, n_blocks, quoted, header, False, max_record_bytes).drop("block")
+    if not n_crossing:
         return whole
-    stitched = _stitched(units, blocks, quoted, header, max_record_bytes)
+    stitched = _stitched(units, blocks, n_blocks, quoted, header, max_record_bytes)
     return whole.unionByName(stitched.join(_unfinished(blocks), ["source", "idx"], "left_anti"))
 
 
 def unfinished_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool,
                        max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
     """The record that is still open at the end of each source."""
-    return _stitched(units, blocks, quoted, header, max_record_bytes).join(
+    return _stitched(units, blocks, blocks.count(), quoted, header, max_record_bytes).join(
         _unfinished(blocks), ["source", "idx"], "left_semi")
 
 
@@ -433,21 +435,22 @@ def _unfinished(blocks: DataFrame) -> DataFrame:
             .select("source", F.col("unfinished_idx").alias("idx")).distinct())
 
 
-def _run_glue(units, blocks, quoted, header, parts, max_record_bytes) -> DataFrame:
+def _run_glue(units, blocks, n_blocks, quoted, header, parts, max_record_bytes) -> DataFrame:
     if "layout" not in blocks.columns:
         blocks = blocks.withColumn("layout", F.lit(0).cast("bigint"))
     close = F.col("close") if "close" in units.columns else F.lit(False)
     narrow = units.select(*_KEY, F.col("width").cast("bigint"), "value", "start",
                           close.alias("close"))
     numbers = ("state", "open_tail", "tail_cut", "idx", "offset", "layout")
-    return attach(narrow, blocks, *numbers).mapInArrow(
+    return attach(narrow, blocks, n_blocks, *numbers).mapInArrow(
         _glue(quoted, header, parts, max_record_bytes), from_arrow_schema(_PIECES))
 
 
-def _stitched(units, blocks, quoted, header, max_record_bytes) -> DataFrame:
+def _stitched(units, blocks, n_blocks, quoted, header, max_record_bytes) -> DataFrame:
     """Records that cross a block, put together from their parts. A text above the limit is
     not gathered at all: the running size of its parts is checked before they are collected."""
-    parts = _run_glue(units, blocks.where(_CROSSING), quoted, header, True, max_record_bytes)
+    parts = _run_glue(units, blocks.where(_CROSSING), n_blocks, quoted, header, True,
+                      max_record_bytes)
     so_far = F.sum("length").over(W.partitionBy("source", "idx").orderBy("block"))
     text = F.when(so_far <= max_record_bytes, F.col("raw"))
     return (

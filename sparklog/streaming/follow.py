@@ -18,7 +18,6 @@ from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import (
     glue_records, index_blocks, number_blocks, unfinished_records)
 from ..operators.numbering import BUCKET, dense_number
-from .. import scratch
 
 STATE_SCHEMA = ("source string, next_idx bigint, next_offset bigint, header string, "
                 "carry string, carry_bytes bigint")
@@ -115,9 +114,9 @@ def follow_csv(delimiter: str | None = None, quote: str = '"', time_patterns: tu
         blocks = blocks.join(known, "source", "left").withColumn(
             "file_header", F.coalesce("file_header", "known_header")).drop("known_header")
         blocks, headers = csv.number_headers(blocks)
-        layout = scratch.write_table(csv.header_layout(headers, delimiter, quote), "layouts")
+        layout = csv.header_layout(headers, delimiter, quote)
         records = csv.parse_csv(csv.glued_csv(lines, blocks, True, max_record_bytes), layout,
-                                quote, time_patterns, on_malformed)
+                                quote, time_patterns, on_malformed, delimiter)
         still_open = unfinished_records(lines, blocks, True, True, max_record_bytes)
         return records, _advance(state, blocks, True, still_open)
     return Follower("\n", step)
