@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .. import scratch
@@ -32,18 +32,28 @@ def is_compressed(source: Column) -> Column:
 
 # ---------------------------------------------------------------- helpers inside of tasks
 
+def _ranges(change: np.ndarray) -> list[tuple[int, int]]:
+    first = np.flatnonzero(change)
+    return list(zip(first.tolist(), first[1:].tolist() + [len(change)]))
+
+
 def _runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
-    """Row ranges of a batch that belong to one block each."""
+    """Row ranges of a batch that belong to one numbered block each."""
+    block = batch.column("block_no").to_numpy()
+    change = np.ones(len(block), bool)
+    change[1:] = block[1:] != block[:-1]
+    return _ranges(change)
+
+
+def _unnumbered_runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """The same before blocks have numbers."""
     n = batch.num_rows
-    if n == 0:
-        return []
     source, block = batch.column("source"), batch.column("block").to_numpy()
     change = np.ones(n, bool)
     if n > 1:
         other = pc.not_equal(source.slice(1), source.slice(0, n - 1))
         change[1:] = other.to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
-    first = np.flatnonzero(change)
-    return list(zip(first.tolist(), first[1:].tolist() + [n]))
+    return _ranges(change)
 
 
 def _flags(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -57,26 +67,25 @@ def _key(batch: pa.RecordBatch, row: int) -> tuple[str, int]:
 # ------------------------------------------------------------------- numbering of units
 
 def _running_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turn ``idx`` and ``offset`` from the block's start value into the row's own value."""
-    key, carry = None, (0, 0)
+    """Add the sums of ``weight`` and ``width`` over the block's earlier rows."""
+    block, carry = None, (0, 0)
     for batch in batches:
         runs = _runs(batch)
         if not runs:
             continue
-        added = []
-        for name, slot in (("weight", 0), ("width", 1)):
+        blocks = batch.column("block_no").to_numpy()
+        sums, ends = [], []
+        for name, start in (("weight", carry[0]), ("width", carry[1])):
             amount = batch.column(name).to_numpy().astype(np.int64)
             before = np.cumsum(amount) - amount
             for n_run, (lo, hi) in enumerate(runs):
-                start = carry[slot] if n_run == 0 and _key(batch, 0) == key else 0
-                before[lo:hi] += start - before[lo]
-            added.append((before, int(before[-1] + amount[-1])))
-        key, carry = _key(batch, batch.num_rows - 1), (added[0][1], added[1][1])
-        for name, (before, _) in zip(("idx", "offset"), added):
-            at = batch.schema.get_field_index(name)
-            total = batch.column(at).to_numpy() + before
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(total, pa.int64()))
-        yield batch
+                first = start if n_run == 0 and blocks[0] == block else 0
+                before[lo:hi] += first - before[lo]
+            sums.append(pa.array(before))
+            ends.append(int(before[-1] + amount[-1]))
+        block, carry = blocks[-1], tuple(ends)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, *sums], names=[*batch.schema.names, "idx", "offset"])
 
 
 def _byte_order_mark(total: Column, separator_bytes: int) -> Column:
@@ -98,19 +107,38 @@ def _origin(blocks: DataFrame, origin: DataFrame | None) -> DataFrame:
                           "offset0": F.coalesce("offset0", F.lit(0))}))
 
 
-def attach(units: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
-    """Give each unit the numbers of its block, keeping units of a block together in order.
+def _place(units: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
+    """Put the number of its block, and ``columns``, in the place of a unit's source and block,
+    keeping units of a block together in order. Paths need not pass through Python then.
 
     The block table was counted. Up to the broadcast bound the scan is not moved at all;
     beyond it units and blocks meet by a shuffle on the block, which no hot source can skew
     because a block is one file split, and are put back into file order.
     """
-    small = blocks.select(*_KEY, *columns)
+    small = blocks.select(*_KEY, "block_no", *columns)
+    kept = ["block_no", *columns, *[c for c in units.columns if c not in (*_KEY, "size")]]
     if n_blocks <= scratch.MAX_BROADCAST_ROWS:
-        return units.join(F.broadcast(small), _KEY)
+        return units.join(F.broadcast(small), _KEY).select(*kept)
     ordered = units.withColumn("_order", F.monotonically_increasing_id())
     return (ordered.join(small.hint("shuffle_hash"), _KEY)
-            .sortWithinPartitions(*_KEY, "_order").drop("_order"))
+            .sortWithinPartitions("block_no", "_order").select(*kept))
+
+
+def _restore(rows: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
+    """Source and true numbers of rows that carry numbers relative to their block."""
+    small = blocks.select("block_no", "source", F.col("idx").alias("_idx0"),
+                          F.col("offset").alias("_offset0"), *columns)
+    small = F.broadcast(small) if n_blocks <= scratch.MAX_BROADCAST_ROWS else \
+        small.hint("shuffle_hash")
+    return (rows.join(small, "block_no")
+            .withColumns({"idx": F.col("idx") + F.col("_idx0"),
+                          "offset": F.col("offset") + F.col("_offset0")})
+            .drop("block_no", "_idx0", "_offset0"))
+
+
+def _write_blocks(blocks: DataFrame) -> DataFrame:
+    return scratch.write_table(
+        blocks.withColumn("block_no", F.monotonically_increasing_id()), "blocks")
 
 
 def number_blocks(units: DataFrame, separator_bytes: int = 1,
@@ -121,18 +149,21 @@ def number_blocks(units: DataFrame, separator_bytes: int = 1,
     earlier = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("source")
     mark = _byte_order_mark(F.sum("bytes").over(whole), separator_bytes)
-    return scratch.write_table(_origin(blocks, origin).select(
-        *_KEY, "n", "bytes",
+    return _write_blocks(_origin(blocks, origin).select(
+        *_KEY, "size", "n", "bytes",
         (F.col("idx0") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("idx"),
         (F.col("offset0") + F.coalesce(F.sum("bytes").over(earlier), F.lit(0))
-         + (mark if origin is None else F.lit(0))).alias("offset"),
-    ), "blocks")
+         + (mark if origin is None else F.lit(0))).alias("offset")))
 
 
 def number_units(units: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add ``idx`` (records before the unit) and byte ``offset`` to each unit."""
-    placed = attach(units, blocks, blocks.count(), "idx", "offset")
-    return placed.mapInArrow(_running_sums, placed.schema)
+    n_blocks = blocks.count()
+    placed = _place(units.withColumns({"width": F.col("width").cast("int"),
+                                       "weight": F.col("weight").cast("int")}), blocks, n_blocks)
+    schema = T.StructType([*placed.schema.fields, T.StructField("idx", T.LongType()),
+                           T.StructField("offset", T.LongType())])
+    return _restore(placed.mapInArrow(_running_sums, schema), blocks, n_blocks, "size")
 
 
 # --------------------------------------------------------- records made of several lines
@@ -185,7 +216,7 @@ def _summarise(quoted: bool, header: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, current, done = None, None, []
         for batch in batches:
-            for lo, hi in _runs(batch):
+            for lo, hi in _unnumbered_runs(batch):
                 if _key(batch, lo) != key:
                     if current:
                         done.append(current.row)
@@ -202,36 +233,34 @@ def _summarise(quoted: bool, header: bool) -> Callable:
 
 
 _PIECES = pa.schema([
-    ("source", pa.string()), ("block", pa.int64()), ("idx", pa.int64()),
-    ("offset", pa.int64()), ("length", pa.int64()), ("raw", pa.string()),
-    ("layout", pa.int64())])
+    ("block_no", pa.int64()), ("idx", pa.int64()), ("offset", pa.int64()),
+    ("length", pa.int64()), ("raw", pa.string())])
+
+# How a block begins and ends, as bits of one number.
+_OPEN_HEAD, _OPEN_TAIL, _NO_LAST_BREAK, _HEADER = 1, 2, 4, 8
 
 
 class _Gluer:
-    """Joins the lines of one block to records; keeps only the record that is still open."""
+    """Joins the lines of one block to records; keeps only the record that is still open.
+    Numbers and offsets count from the begin of the block."""
 
-    def __init__(self, batch, key, quoted, header, parts, limit):
-        first = {name: batch.column(name)[0].as_py()
-                 for name in ("state", "idx", "offset", "open_tail", "tail_cut", "layout")}
-        self.key, self.first = key, first
+    def __init__(self, block_no: int, flags: int, quoted: bool, parts: bool, limit: int):
+        self.block_no, self.flags = block_no, flags
         self.quoted, self.parts, self.limit = quoted, parts, limit
-        self.skip_first = header and key[1] == 0
-        self.toggles, self.offset = first["state"], first["offset"]
+        self.open_head = bool(flags & _OPEN_HEAD)
+        self.skip_first = bool(flags & _HEADER)
+        self.toggles, self.offset = int(self.open_head), 0
         # The head belongs to the record before this block's first one; without an open
         # record in front of the block it is no record's text.
-        self.open_idx, self.in_head = first["idx"] - 1, True
-        self.open_from, self.open_bytes, self.open_text = self.offset, 0, []
-        self.open_closed = not quoted and not first["state"]
+        self.open_idx, self.in_head = -1, True
+        self.open_from, self.open_bytes, self.open_text = 0, 0, []
+        self.open_closed = not quoted and not self.open_head
 
     def _row(self, idx, offset, length, raw):
-        def same(value, kind):
-            return pa.repeat(pa.scalar(value, kind), len(idx))
-
         return pa.record_batch(
-            [same(self.key[0], pa.string()), same(self.key[1], pa.int64()),
+            [pa.repeat(pa.scalar(self.block_no, pa.int64()), len(idx)),
              pa.array(idx, pa.int64()), pa.array(offset, pa.int64()),
-             pa.array(length, pa.int64()), raw, same(self.first["layout"], pa.int64())],
-            schema=_PIECES)
+             pa.array(length, pa.int64()), raw], schema=_PIECES)
 
     def _extend(self, values, width, close) -> None:
         """Append lines to the open record, up to the line that closes it."""
@@ -249,8 +278,8 @@ class _Gluer:
 
     def _flush(self, at_block_end: bool):
         """The record that was open: a whole record, or a part when it crosses the block."""
-        part = self.in_head or (at_block_end and bool(self.first["open_tail"]))
-        if part != self.parts or (self.in_head and (not self.first["state"] or not self.open_bytes)):
+        part = self.in_head or (at_block_end and bool(self.flags & _OPEN_TAIL))
+        if part != self.parts or (self.in_head and not (self.open_head and self.open_bytes)):
             return None
         text = None
         if self.open_bytes <= self.limit:
@@ -323,24 +352,24 @@ class _Gluer:
         return self._row(idx, offset, length, raw)
 
     def finish(self):
-        if self.open_bytes and not self.open_closed:
-            self.open_bytes -= self.first["tail_cut"]
+        if self.flags & _NO_LAST_BREAK and self.open_bytes and not self.open_closed:
+            self.open_bytes -= 1
         return self._flush(at_block_end=True)
 
 
-def _glue(quoted: bool, header: bool, parts: bool, limit: int) -> Callable:
+def _glue(quoted: bool, parts: bool, limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, gluer = None, None
+        gluer = None
         for batch in batches:
             for lo, hi in _runs(batch):
-                run_batch = batch.slice(lo, hi - lo)
-                if _key(batch, lo) != key:
+                block_no = batch.column("block_no")[lo].as_py()
+                if gluer is None or gluer.block_no != block_no:
                     last = gluer and gluer.finish()
                     if last:
                         yield last
-                    key = _key(batch, lo)
-                    gluer = _Gluer(run_batch, key, quoted, header, parts, limit)
-                yield from gluer.add(run_batch)
+                    flags = batch.column("flags")[lo].as_py()
+                    gluer = _Gluer(block_no, flags, quoted, parts, limit)
+                yield from gluer.add(batch.slice(lo, hi - lo))
         last = gluer and gluer.finish()
         if last:
             yield last
@@ -397,10 +426,10 @@ def index_blocks(units: DataFrame, quoted: bool, header: bool, origin: DataFrame
     """
     first = F.when(F.col("block") == 0, F.col("value")) if header else F.lit(None).cast("string")
     close = F.col("close") if "close" in units.columns else F.lit(False)
-    narrow = units.select(*_KEY, "size", F.col("width").cast("bigint"), "start",
+    narrow = units.select(*_KEY, "size", F.col("width").cast("int").alias("width"), "start",
                           close.alias("close"), first.alias("first"))
     summary = narrow.mapInArrow(_summarise(quoted, header), from_arrow_schema(_SUMMARY))
-    return scratch.write_table(_start_states(summary, quoted, origin, hold_open), "blocks")
+    return _write_blocks(_start_states(summary, quoted, origin, hold_open))
 
 
 def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool,
@@ -413,7 +442,7 @@ def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool
     """
     n_blocks, n_crossing = blocks.agg(
         F.count("*"), F.count_if(F.expr(_CROSSING))).first()
-    whole = _run_glue(units, blocks, n_blocks, quoted, header, False, max_record_bytes).drop("block")
+    whole = _run_glue(units, blocks, n_blocks, quoted, header, False, max_record_bytes)
     if not n_crossing:
         return whole
     stitched = _stitched(units, blocks, n_blocks, quoted, header, max_record_bytes)
@@ -438,12 +467,19 @@ def _unfinished(blocks: DataFrame) -> DataFrame:
 def _run_glue(units, blocks, n_blocks, quoted, header, parts, max_record_bytes) -> DataFrame:
     if "layout" not in blocks.columns:
         blocks = blocks.withColumn("layout", F.lit(0).cast("bigint"))
+    first = F.lit(_HEADER if header else 0)
+    blocks = blocks.withColumn("flags", (
+        F.col("state") * _OPEN_HEAD + F.col("open_tail").cast("int") * _OPEN_TAIL
+        + F.col("tail_cut") * _NO_LAST_BREAK
+        + F.when(F.col("block") == 0, first).otherwise(F.lit(0))).cast("int"))
     close = F.col("close") if "close" in units.columns else F.lit(False)
-    narrow = units.select(*_KEY, F.col("width").cast("bigint"), "value", "start",
+    narrow = units.select(*_KEY, F.col("width").cast("int").alias("width"), "value", "start",
                           close.alias("close"))
-    numbers = ("state", "open_tail", "tail_cut", "idx", "offset", "layout")
-    return attach(narrow, blocks, n_blocks, *numbers).mapInArrow(
-        _glue(quoted, header, parts, max_record_bytes), from_arrow_schema(_PIECES))
+    glued = _place(narrow, blocks, n_blocks, "flags").mapInArrow(
+        _glue(quoted, parts, max_record_bytes), from_arrow_schema(_PIECES))
+    columns = ("layout", "block") if parts else ("layout",)
+    return _restore(glued, blocks, n_blocks, *columns).select(
+        "source", "idx", "offset", "length", "raw", *columns)
 
 
 def _stitched(units, blocks, n_blocks, quoted, header, max_record_bytes) -> DataFrame:
