@@ -150,19 +150,85 @@ def _apply(rules: RuleSet, rule: FieldRule):
     return step
 
 
+def _is_chain(fields: tuple[FieldRule, ...]) -> bool | None:
+    """True when each rule waits for the one before, False when none waits, None otherwise."""
+    if all(f.state_from is None and f.state_to is None for f in fields):
+        return False
+    state = "INITIAL"
+    seen = {state}
+    for f in fields:
+        if f.state_from != state:
+            return None
+        state = f.state_to or state
+        if f is not fields[-1] and state in seen:
+            return None
+        seen.add(state)
+    return True
+
+
+# Parts of a pattern that look at the text before it, or at other groups by number.
+_LOOKS_BACK = re.compile(r"(?<!\[)\^|\(\?<|\\[ABGZbzk1-9]")
+
+
+def single_pattern(rules: RuleSet) -> tuple[str, dict[str, int]] | None:
+    """One pattern with a group per slot that reads like the rules one after the other.
+
+    Each step skips to the first match and never comes back (atomic groups). None when states
+    branch, a slot is filled twice, or a pattern depends on more than the text ahead of it.
+    """
+    chain = _is_chain(rules.fields)
+    slots = [f.slot for f in rules.fields]
+    if chain is None or not slots or len(set(slots)) < len(slots):
+        return None
+    steps, groups, n = [], {}, 0
+    for i, rule in enumerate(rules.fields):
+        pattern = rules.expand(rule.pattern)
+        if i and _LOOKS_BACK.search(pattern):
+            return None
+        try:
+            inner = re.compile(pattern).groups
+        except re.error:
+            return None
+        groups[rule.slot] = n + 1 + rule.group
+        n += 1 + inner
+        steps.append(f"(?>[\\s\\S]*?({pattern}))")
+    if not chain:
+        return _DIALECT + "^" + "".join(f"{s}?+" for s in steps), groups
+    nested = ""
+    for step in reversed(steps):
+        nested = f"(?:{step}{nested})?+"
+    return _DIALECT + "^" + nested, groups
+
+
 def extract_fields(raw: Column, rules: RuleSet) -> Column:
-    """Struct of the slot texts: each rule searches what the rules before it left unread."""
+    """Struct of the slot texts: each rule searches what the rules before it left unread.
+
+    Rules in a row become one pattern. Branching states are followed rule by rule.
+    """
+    single = single_pattern(rules)
+    if single:
+        pattern, groups = single
+
+        def slot(name):
+            if name not in groups:
+                return F.lit(None).cast("string")
+            return F.nullif(F.regexp_extract(raw, pattern, groups[name]), F.lit(""))
+
+        return F.struct(*[slot(name).alias(name) for name in SLOTS])
     current = F.struct(raw.alias("rest"), F.lit("INITIAL").alias("state"),
                        *[F.lit(None).cast("string").alias(s) for s in SLOTS])
     for rule in rules.fields:
         current = _let(current, _apply(rules, rule))
-    return current
+    return _let(current, lambda c: F.struct(*[F.when(c[s] != "", c[s]).alias(s) for s in SLOTS]))
 
 
 def parse_rules(segments: DataFrame, rules: RuleSet, on_malformed: str = "drop") -> DataFrame:
     slots = F.col("slots")
     patterns = (rules.timestamp_format,) if rules.timestamp_format else ()
-    df = with_once(segments, "slots", extract_fields(F.col("raw"), rules))
+    slots_of = extract_fields(F.col("raw"), rules)
+    # One pattern per slot is cheap, and a slot nobody asks for is then not computed.
+    df = (segments.withColumn("slots", slots_of) if single_pattern(rules)
+          else with_once(segments, "slots", slots_of))
     return apply_malformed_policy(to_records(df.withColumns({
         "timestamp": parse_timestamp(slots["timestamp"], *patterns),
         "level": parse_level(slots["level"]),

@@ -16,8 +16,7 @@ _DIALECT = "(?dU)"
 
 
 def _group(line: Column, pattern: str, group: int) -> Column:
-    text = F.regexp_extract(line, _DIALECT + pattern, group)
-    return F.when(text != "", text)
+    return F.nullif(F.regexp_extract(line, _DIALECT + pattern, group), F.lit(""))
 
 
 def is_header(line: Column) -> Column:

@@ -8,10 +8,12 @@ from ..model import LEVELS
 
 
 def parse_level(text: Column) -> Column:
-    """Canonical level name, matched without regard to case and without trimming; else null."""
-    lowered = F.lower(text)
-    return reduce(lambda acc, name: acc.when(lowered == name.lower(), F.lit(name)), LEVELS[1:],
-                  F.when(lowered == LEVELS[0].lower(), F.lit(LEVELS[0])))
+    """Canonical level name, matched without regard to case and without trimming; else null.
+
+    A map literal, because a chain of conditions would compute ``text`` once per level.
+    """
+    names = F.create_map(*[F.lit(x) for name in LEVELS for x in (name.lower(), name)])
+    return F.try_element_at(names, F.lower(text))
 
 
 def level_ordinal(level: Column) -> Column:
