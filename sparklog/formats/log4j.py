@@ -37,7 +37,8 @@ def weigh_pieces(units: DataFrame) -> DataFrame:
 
 def log4j_segments(units: DataFrame, index: bool = True) -> DataFrame:
     """Units are pieces between two end tags. Text in front of the first start tag belongs to
-    no record, and neither does a truncated event at the end of a file."""
+    no record, and neither does a truncated event at the end of a file. ``index=False`` is for
+    units that are known to be complete, such as those of a followed file."""
     if not index:
         return (units.withColumn("events", _events(F.col("value")))
                 .select("source", "events", F.posexplode("events").alias("pos", "event"))
@@ -115,7 +116,19 @@ def parse_log4j(segments: DataFrame, precision: str = "s", attributes: bool = Fa
 def read_log4j(spark: SparkSession, path, encoding: str = "UTF-8", index: bool = True,
                precision: str = "s", attributes: bool = False,
                on_malformed: str = "drop") -> DataFrame:
-    if on_malformed == "stop" and not index:
-        raise ValueError("on_malformed='stop' needs record numbers")
-    units = scan_units(spark, path, EVENT_END, encoding)
-    return parse_log4j(log4j_segments(units, index), precision, attributes, on_malformed)
+    """``index=False`` leaves record numbers and offsets out and stays a plain scan. It cannot
+    tell a damaged event from a truncated one, so it only drops them."""
+    if index:
+        segments = log4j_segments(scan_units(spark, path, EVENT_END, encoding))
+    elif on_malformed != "drop":
+        raise ValueError("index=False only knows on_malformed='drop'")
+    else:
+        segments = _closed_events(scan_units(spark, path, EVENT_START, encoding))
+    return parse_log4j(segments, precision, attributes, on_malformed)
+
+
+def _closed_events(units: DataFrame) -> DataFrame:
+    """Events from pieces between two start tags: here a missing end tag shows."""
+    text = F.concat(F.lit(EVENT_START), F.substring_index("value", EVENT_END, 1), F.lit(EVENT_END))
+    return (units.where(F.contains("value", F.lit(EVENT_END)))
+            .select("source", F.make_valid_utf8(text).alias("raw")))

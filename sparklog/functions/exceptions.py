@@ -27,27 +27,33 @@ def is_frame(line: Column) -> Column:
     return line.rlike(_DIALECT + FRAME_PATTERN)
 
 
-def exception_header(line: Column) -> Column:
-    """Struct of namespace, class and message; null when the line is no header."""
-    return F.when(is_header(line), F.struct(
+def _header_parts(line: Column) -> Column:
+    return F.struct(
         _group(line, HEADER_PATTERN, 1).alias("namespace"),
         _group(line, HEADER_PATTERN, 2).alias("class"),
-        F.regexp_extract(line, _DIALECT + HEADER_PATTERN, 3).alias("message"),
-    ))
+        F.regexp_extract(line, _DIALECT + HEADER_PATTERN, 3).alias("message"))
 
 
-def stack_frame(line: Column) -> Column:
-    """Struct of the frame's parts; null when the line is no frame."""
+def _frame_parts(line: Column) -> Column:
     file = _group(line, FRAME_PATTERN, 5)
-    return F.when(is_frame(line), F.struct(
+    return F.struct(
         _group(line, FRAME_PATTERN, 1).alias("namespace"),
         _group(line, FRAME_PATTERN, 2).alias("class"),
         _group(line, FRAME_PATTERN, 3).alias("method"),
         _group(line, FRAME_PATTERN, 4).alias("params"),
         file.alias("file"),
         base_name(file).alias("file_name"),
-        _group(line, FRAME_PATTERN, 6).try_cast("int").alias("line_no"),
-    ))
+        _group(line, FRAME_PATTERN, 6).try_cast("int").alias("line_no"))
+
+
+def exception_header(line: Column) -> Column:
+    """Struct of namespace, class and message; null when the line is no header."""
+    return F.when(is_header(line), _header_parts(line))
+
+
+def stack_frame(line: Column) -> Column:
+    """Struct of the frame's parts; null when the line is no frame."""
+    return F.when(is_frame(line), _frame_parts(line))
 
 
 def render_frame(frame: Column) -> Column:
@@ -68,6 +74,6 @@ def exception_lines(df: DataFrame, exception: str = "exception") -> DataFrame:
         .select("*", F.posexplode(F.split(exception, "\r?\n")).alias("line_no", "line"))
         .withColumn("kind", F.when(is_header(line), "header").when(is_frame(line), "frame")
                     .otherwise("other"))
-        .withColumn("header", F.when(F.col("kind") == "header", exception_header(line)))
-        .withColumn("frame", F.when(F.col("kind") == "frame", stack_frame(line)))
+        .withColumn("header", F.when(F.col("kind") == "header", _header_parts(line)))
+        .withColumn("frame", F.when(F.col("kind") == "frame", _frame_parts(line)))
     )
