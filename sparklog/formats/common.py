@@ -37,17 +37,17 @@ def to_records(df: DataFrame) -> DataFrame:
 _SALTS = 64
 
 
-def join_per_source(records: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Left join of one row per source onto the records.
+def join_small(records: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join a table with one row per ``key`` (source, layout) onto records.
 
     The small side is counted and broadcast within the bound. Beyond it the join is salted by
-    record number, because one source may own a large share of all records.
+    record number, because one key may own a large share of all records.
     """
-    if per_source.count() <= scratch.MAX_BROADCAST_ROWS:
-        return records.join(F.broadcast(per_source), "source", "left")
-    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    if small.count() <= scratch.MAX_BROADCAST_ROWS:
+        return records.join(F.broadcast(small), key, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     return (records.withColumn("_salt", F.pmod("idx", F.lit(_SALTS)).cast("int"))
-            .join(salted, ["source", "_salt"], "left").drop("_salt"))
+            .join(salted, [key, "_salt"], how).drop("_salt"))
 
 
 def apply_malformed_policy(records: DataFrame, policy: str) -> DataFrame:
@@ -64,5 +64,5 @@ def apply_malformed_policy(records: DataFrame, policy: str) -> DataFrame:
     first_bad = scratch.write_table(
         records.where("malformed is not null").groupBy("source")
         .agg(F.min("idx").alias("_first_bad")), "first-bad")
-    return (join_per_source(records, first_bad)
+    return (join_small(records, first_bad, "source")
             .where("_first_bad is null or idx < _first_bad").drop("_first_bad"))

@@ -11,7 +11,7 @@ from ..functions.times import parse_timestamp
 from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import glue_records, index_blocks
 from ..sources.files import scan_units
-from .common import apply_malformed_policy, count_quotes, strip_cr, to_records, with_once
+from .common import apply_malformed_policy, count_quotes, join_small, strip_cr, to_records, with_once
 
 # Header names with a meaning and the record column each one fills.
 ROLES = {"time": "timestamp", "logger": "logger", "level": "level",
@@ -132,8 +132,7 @@ def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '
         pairs = [x for name, i in layout.attributes.items() for x in (F.lit(name), _field(fields, i))]
         attributes = F.create_map(*pairs) if pairs else F.lit(None)
     else:
-        small = layout.count() <= scratch.MAX_BROADCAST_ROWS
-        df = segments.join(F.broadcast(layout) if small else layout, "layout")
+        df = join_small(segments, layout, "layout", "inner")
         df = with_once(df, "fields", F.coalesce(*[
             F.when(F.col("delimiter") == d, split_fields(F.col("raw"), d, quote))
             for d in ((delimiter,) if delimiter else DELIMITERS)]))
@@ -157,9 +156,9 @@ def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '
 def read_csv(spark: SparkSession, path, layout: CsvLayout | None = None,
              delimiter: str | None = None, quote: str = '"', encoding: str = "UTF-8",
              time_patterns: tuple = (), on_malformed: str = "drop",
-             max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+             max_record_bytes: int = MAX_RECORD_BYTES, head: int | None = None) -> DataFrame:
     """``layout`` reads files without a header line; otherwise each file's header decides."""
-    units = scan_units(spark, path, encoding=encoding)
+    units = scan_units(spark, path, encoding=encoding, head=head)
     segments, headers = csv_segments(units, layout is None, quote,
                                      max_record_bytes=max_record_bytes)
     if layout is None:

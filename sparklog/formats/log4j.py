@@ -115,15 +115,15 @@ def parse_log4j(segments: DataFrame, precision: str = "s", attributes: bool = Fa
 
 def read_log4j(spark: SparkSession, path, encoding: str = "UTF-8", index: bool = True,
                precision: str = "s", attributes: bool = False,
-               on_malformed: str = "drop") -> DataFrame:
+               on_malformed: str = "drop", head: int | None = None) -> DataFrame:
     """``index=False`` leaves record numbers and offsets out and stays a plain scan. It cannot
     tell a damaged event from a truncated one, so it only drops them."""
     if index:
-        segments = log4j_segments(scan_units(spark, path, EVENT_END, encoding))
+        segments = log4j_segments(scan_units(spark, path, EVENT_END, encoding, head))
     elif on_malformed != "drop":
         raise ValueError("index=False only knows on_malformed='drop'")
     else:
-        segments = _closed_events(scan_units(spark, path, EVENT_START, encoding))
+        segments = _closed_events(scan_units(spark, path, EVENT_START, encoding, head))
     return parse_log4j(segments, precision, attributes, on_malformed)
 
 

@@ -32,6 +32,8 @@ def parse_plain(segments: DataFrame) -> DataFrame:
     return to_records(segments.withColumn("message", F.col("raw")))
 
 
-def read_plain(spark: SparkSession, path, encoding: str = "UTF-8", index: bool = True) -> DataFrame:
+def read_plain(spark: SparkSession, path, encoding: str = "UTF-8", index: bool = True,
+               head: int | None = None) -> DataFrame:
     """``index=False`` leaves record numbers and offsets out and stays a plain scan."""
-    return parse_plain(plain_segments(scan_units(spark, path, encoding=encoding), index))
+    return parse_plain(plain_segments(scan_units(spark, path, encoding=encoding, head=head),
+                                      index))

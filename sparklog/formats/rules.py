@@ -100,7 +100,7 @@ def mark_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def rule_segments(units: DataFrame, rules: RuleSet,
-                  max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+                  max_record_bytes: int = MAX_RECORD_BYTES, head: int | None = None) -> DataFrame:
     units = mark_lines(units, rules)
     return cut_records(glue_records(units, index_blocks(units, False, False), False, False,
                                     max_record_bytes), rules)
@@ -239,7 +239,7 @@ def parse_rules(segments: DataFrame, rules: RuleSet, on_malformed: str = "drop")
 
 def read_rules(spark: SparkSession, path, rules: RuleSet, encoding: str = "UTF-8",
                on_malformed: str = "drop",
-               max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
-    units = scan_units(spark, path, encoding=encoding)
+               max_record_bytes: int = MAX_RECORD_BYTES, head: int | None = None) -> DataFrame:
+    units = scan_units(spark, path, encoding=encoding, head=head)
     return parse_rules(rule_segments(units, rules, max_record_bytes=max_record_bytes),
                        rules, on_malformed)

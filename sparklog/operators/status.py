@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..formats.common import join_small
+
 
 def source_status(segments: DataFrame, sizes: DataFrame) -> DataFrame:
     """Records so far, whether text is left behind the last record, and whole percent done.
@@ -22,13 +24,9 @@ def resume_offset(segments: DataFrame) -> DataFrame:
 
 
 def record_status(segments: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Status as seen by each record: its count, whether more follows, percent at its end.
-
-    Sizes are one row per file and the segments may be few files, so the size is joined as a
-    broadcast only if Spark finds it small; otherwise AQE splits a hot source.
-    """
+    """Status as seen by each record: its count, whether more follows, percent at its end."""
     end = F.col("offset") + F.col("length")
-    return segments.join(sizes, "source").select(
+    return join_small(segments, sizes, "source", "inner").select(
         *segments.columns,
         F.struct((F.col("idx") + 1).alias("count"),
                  (end < F.col("size")).alias("is_processing_saved_data"),

@@ -1,7 +1,9 @@
 """Views on records: single records, pages, batches, and filtered views with own numbers."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..formats.common import strip_cr
+from ..sources.files import scan_units
 from .numbering import BUCKET, dense_number
 
 
@@ -66,14 +68,17 @@ def zip_starts_ends(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return left.join(right, ["source", "ordinal"])
 
 
-def preview_lines(units: DataFrame, n: int = 20) -> DataFrame:
-    """First lines of the first sources, as scanned; each task keeps n rows at most."""
-    return (units.withColumn("_order", F.monotonically_increasing_id())
-            .orderBy("source", "block", "_order").limit(n).drop("_order"))
+def preview_lines(spark: SparkSession, path, n: int = 20) -> DataFrame:
+    """First lines of each file as ``source, line_no, line``; no file is read further."""
+    lines = scan_units(spark, path, head=n)
+    return (lines.groupBy("source").agg(F.collect_list("value").alias("lines"))
+            .select("source", F.posexplode("lines").alias("line_no", "line"))
+            .withColumn("line", strip_cr(F.col("line"))))
 
 
 def preview_records(records: DataFrame, n: int = 5) -> DataFrame:
-    """First records as text, without their empty fields."""
+    """First records of each source as text, without their empty fields. Read with ``head``,
+    the records come from the beginning of each file only."""
     def line(label, value):
         return F.when(value != "", F.concat(F.lit(f"  {label:<11}"), value))
 
@@ -84,5 +89,6 @@ def preview_records(records: DataFrame, n: int = 5) -> DataFrame:
         line("Timestamp:", when), line("Level:", F.col("level")),
         line("Logger:", F.col("logger")), line("Message:", F.col("message")),
         line("Exception:", F.col("exception")))
-    first = records.orderBy("source", "idx").limit(n)
-    return first.select("source", "idx", report.alias("report"))
+    place = F.row_number().over(W.partitionBy("source").orderBy("idx"))
+    return (records.withColumn("_place", place).where(F.col("_place") <= n)
+            .select("source", "idx", report.alias("report")))

@@ -136,10 +136,12 @@ def resume_offset(spark, sf_dir):
 
 
 @query("preview_lines", PLAIN_TEXT + """
-select src, line from placed where src = 0 order by idx, pos limit 20""")
+select src, line_no, line from (select src, line,
+  cast(row_number() over (partition by src order by idx, pos) - 1 as int) as line_no from placed)
+where line_no < 20""")
 def preview_lines(spark, sf_dir):
-    units = views.preview_lines(scan_units(spark, log_files(spark, sf_dir, "plain")))
-    return _with_src(units, F.regexp_replace("value", r"\r\z", "").alias("line"))
+    return _with_src(views.preview_lines(spark, log_files(spark, sf_dir, "plain")),
+                     "line_no", "line")
 
 
 @query("preview_records", CSV_TEXT + """
@@ -148,9 +150,9 @@ select src, idx, 'Record #' || (idx + 1)
   || coalesce(chr(10) || '  Level:     ' || level, '')
   || chr(10) || '  Logger:    ' || logger || chr(10) || '  Message:   ' || csv_message
   || case when csv_exception <> '' then chr(10) || '  Exception: ' || csv_exception else '' end
-  as report from csv where src = 0 order by idx limit 5""")
+  as report from csv where idx < 5""")
 def preview_records(spark, sf_dir):
-    return _with_src(views.preview_records(_csv(spark, sf_dir)), "idx", "report")
+    return _with_src(views.preview_records(_csv(spark, sf_dir, head=1000)), "idx", "report")
 
 
 @query("payload_records", EVENT_TEXT + """

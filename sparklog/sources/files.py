@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 DETECTION_CHARS = 4096
 
 
-def scan_units(spark: SparkSession, path, separator: str = "\n",
-               encoding: str = "UTF-8") -> DataFrame:
+def scan_units(spark: SparkSession, path, separator: str = "\n", encoding: str = "UTF-8",
+               head: int | None = None) -> DataFrame:
     """One row per piece between two separators, with its file, split and size in bytes.
 
-    ``\\r`` stays in the value, so byte offsets and quoted line breaks survive.
+    ``\\r`` stays in the value, so byte offsets and quoted line breaks survive. ``head`` keeps
+    to the first pieces of each file and does not read on.
     """
+    if head is not None:
+        return _head_units(spark, path, separator, encoding, head)
     text = F.col("value")
     return (
         spark.read.option("lineSep", separator).option("encoding", encoding)
@@ -63,3 +66,40 @@ def read_heads(spark: SparkSession, path) -> DataFrame:
     """First characters of every file, read by the tasks; the rest of a file is not touched."""
     return list_files(spark, path).mapInArrow(
         _read_heads, "source string, size bigint, head string")
+
+
+# Size of a file that was not read to its end: nothing in it is known to be the last.
+_UNREAD = 1 << 62
+
+
+def _head_units(spark: SparkSession, path, separator: str, encoding: str, head: int) -> DataFrame:
+    end = separator.encode(encoding)
+
+    def first_pieces(source: str, size: int):
+        system, name = _open(source)
+        text, chunk = b"", b"-"
+        with system.open_input_stream(name) as stream:
+            while chunk and text.count(end) < head:
+                chunk = stream.read(1 << 16)
+                text += chunk
+        marked = text.startswith(b"\xef\xbb\xbf")
+        *pieces, rest = text[3 * marked:].split(end)
+        if not chunk and rest:
+            pieces.append(rest)
+        whole = not chunk and len(pieces) <= head
+        return pieces[:head], size if whole else _UNREAD
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, size in zip(*[batch.column(i).to_pylist() for i in range(2)]):
+                pieces, known = first_pieces(source, size)
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat(pa.scalar(source), n), pa.repeat(pa.scalar(0, pa.int64()), n),
+                    pa.repeat(pa.scalar(known, pa.int64()), n),
+                    pa.array([len(x) + len(end) for x in pieces], pa.int64()),
+                    pa.array([x.decode(encoding, "replace") for x in pieces], pa.string())],
+                    names=["source", "block", "size", "width", "value"])
+
+    return list_files(spark, path).mapInArrow(
+        read, "source string, block bigint, size bigint, width bigint, value string")

@@ -65,7 +65,9 @@ class TailReader(DataSourceStreamReader):
             size, floor = info.size, (self.known or {}).get(info.path, 0)
             if floor > size:
                 floor = 0
-            if self.cap is not None and self.known is not None:
+            if floor == size:
+                at = floor
+            elif self.cap is not None and self.known is not None:
                 top = min(size, floor + self.cap)
                 at = self._last_record_end(system, info.path, floor, top)
                 if at == floor and top < size:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..formats import csv, log4j, plain, rules
+from ..formats.common import join_small
 from ..formats.rules import RuleSet
 from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import (
@@ -189,7 +190,7 @@ def write_filtered_view(records: DataFrame, condition, out: str,
                       spark.read.schema(_VIEW_STATE).parquet(
                           _batch_path(out, "shown", batch_id - 1)))
             hits = dense_number(rows, ["source"], "local_idx", bucket=bucket)
-            hits = (hits.join(before, "source", "left")
+            hits = (join_small(hits, before, "source")
                     .withColumn("local_idx", F.col("local_idx") + F.coalesce("shown", F.lit(0)))
                     .drop("shown"))
             hits.write.mode("overwrite").parquet(_batch_path(out, "view", batch_id))

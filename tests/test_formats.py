@@ -284,3 +284,23 @@ def test_payloads(spark):
     assert [r.level for r in from_payloads(events, "log4j").collect()] == ["Info", "Warn"]
     lines = spark.createDataFrame([("a\r\n\nb",)], "value string")
     assert [r.message for r in from_payloads(lines, "plain").collect()] == ["a", "b"]
+
+
+# ------------------------------------------------------------------ previews
+
+def test_head_reads_the_beginning_only(spark, write_file, rows):
+    from sparklog.operators import views
+    path = write_file("level;message\r\ninfo;a\r\n" + 'warn;"b\n\nb"\r\n' * 5000)
+    assert [r.line for r in views.preview_lines(spark, path, 3).orderBy("line_no").collect()] == [
+        "level;message", "info;a", 'warn;"b']
+    df = csv.read_csv(spark, path, head=100)
+    assert rows(df, "idx", "offset", "length", "level")[:2] == [
+        (0, 15, 8, "Info"), (1, 23, 13, "Warn")]
+    assert df.count() == 33
+    reports = views.preview_records(df, 2).orderBy("idx").collect()
+    assert [r.report for r in reports] == [
+        "Record #1\n  Level:     Info\n  Message:   a",
+        "Record #2\n  Level:     Warn\n  Message:   b\n\nb"]
+    short = write_file("a\nb")
+    assert rows(read_logs(spark, short, "plain", head=9), "offset", "length") == [(0, 2), (2, 1)]
+    assert log4j.read_log4j(spark, write_file(event() * 3), head=2).count() == 2
