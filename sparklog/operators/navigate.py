@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..model import LEVELS
-from .numbering import BUCKET
+from .numbering import BUCKET, bucket_of
 
 
 def next_record(df: DataFrame, level: str, after: int = -1) -> DataFrame:
@@ -27,7 +27,7 @@ def next_by_level(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
     names = {level: f"next_{level.lower()}" for level in LEVELS}
     cell = ["source", "_bucket"]
     marked = df.select(
-        "source", "idx", F.floor(F.col("idx") / F.lit(bucket)).cast("bigint").alias("_bucket"),
+        "source", "idx", bucket_of("idx", bucket).alias("_bucket"),
         *[F.when(F.col("level") == level, F.col("idx")).alias(f"_{name}")
           for level, name in names.items()])
     behind = W.partitionBy("source").orderBy(F.desc("_bucket")).rowsBetween(

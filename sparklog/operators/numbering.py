@@ -1,9 +1,13 @@
 """Dense numbers inside of groups of any size."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Rows of one group are numbered in buckets of this many index values.
-BUCKET = 1 << 20
+BUCKET = 1 << 18
+
+
+def bucket_of(order: str, bucket: int) -> Column:
+    return F.expr(f"`{order}` div {bucket}")
 
 
 def dense_number(df: DataFrame, keys: list[str], out: str, order: str = "idx",
@@ -16,7 +20,7 @@ def dense_number(df: DataFrame, keys: list[str], out: str, order: str = "idx",
     rows move once. Keys must not be null.
     """
     cell = [*keys, "_bucket"]
-    placed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)).cast("bigint"))
+    placed = df.withColumn("_bucket", bucket_of(order, bucket))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (placed.groupBy(*cell).agg(F.count("*").alias("_n"))
               .select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..model import LEVELS
-from .numbering import BUCKET, dense_number
+from .numbering import BUCKET, bucket_of, dense_number
 
 # Fixed value: records per statistics batch.
 BATCH_RECORDS = 8192
@@ -36,7 +36,7 @@ def record_count(df: DataFrame) -> DataFrame:
 
 
 def _batch(size: int) -> Column:
-    return F.floor(F.col("idx") / F.lit(size)).cast("bigint").alias("batch")
+    return bucket_of("idx", size).alias("batch")
 
 
 def batch_level_counts(df: DataFrame, size: int = BATCH_RECORDS) -> DataFrame:
@@ -71,7 +71,7 @@ def debounced(df: DataFrame, *by: str, time: str = "timestamp", order: str = "id
     one row per bucket, so a burst or a source may be of any size.
     """
     cell = [*by, "_bucket"]
-    placed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)).cast("bigint"))
+    placed = df.withColumn("_bucket", bucket_of(order, bucket))
     buckets = W.partitionBy(*by).orderBy("_bucket")
     earlier = buckets.rowsBetween(W.unboundedPreceding, -1)
     last_before = (placed.groupBy(*cell).agg(F.max_by(time, order).alias("_last"))

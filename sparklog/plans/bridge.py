@@ -65,7 +65,7 @@ def log_records(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataF
         F.when(k.cast("int") % 2 == 1, F.concat(crlf, F.lit("   at Shop.Web.Cart.Run()")))
          .otherwise(F.lit("")),
         F.when(k.cast("int") % 5 == 0, F.concat(crlf, F.lit("end of trace"))).otherwise(F.lit("")))
-    src = F.floor(F.col("event_id") / F.lit(rows)).cast("bigint")
+    src = F.expr(f"event_id div {rows}")
     return events.select(
         src.alias("src"), F.concat(F.lit("events-"), src).alias("source"),
         (F.col("event_id") % rows).alias("idx"), F.col("ts").alias("timestamp"),
