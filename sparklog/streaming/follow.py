@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .. import scratch
 from ..formats import csv, log4j, plain, rules
 from ..formats.common import join_small
 from ..formats.rules import RuleSet
@@ -159,8 +160,8 @@ def write_records(units: DataFrame, follower: Follower, out: str,
         spark = batch.sparkSession
         rows = batch.persist()
         try:
-            state = _state_before(spark, out, batch_id)
-            records, after = follower.step(rows, _restart_replaced(rows, state))
+            state = _restart_replaced(rows, _state_before(spark, out, batch_id))
+            records, after = follower.step(rows, scratch.write_table(state, "state"))
             records = transform(records) if transform else records
             records.write.mode("overwrite").parquet(_batch_path(out, "records", batch_id))
             after.write.mode("overwrite").parquet(_batch_path(out, "state", batch_id))
