@@ -21,6 +21,8 @@ def scan_units(spark: SparkSession, path, separator: str = "\n", encoding: str =
     if head is not None:
         return _head_units(spark, path, separator, encoding, head)
     text = F.col("value")
+    # Bytes of one separator, without the mark that some encodings put in front.
+    separator_bytes = len((separator * 2).encode(encoding)) - len(separator.encode(encoding))
     return (
         spark.read.option("lineSep", separator).option("encoding", encoding)
         .option("recursiveFileLookup", "true").text(path)
@@ -28,7 +30,7 @@ def scan_units(spark: SparkSession, path, separator: str = "\n", encoding: str =
             F.col("_metadata.file_path").alias("source"),
             F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.file_size").alias("size"),
-            (F.octet_length(text).cast("bigint") + len(separator.encode(encoding))).alias("width"),
+            (F.octet_length(text).cast("bigint") + separator_bytes).alias("width"),
             (text if encoding.upper() == "UTF-8"
              else F.decode(text.cast("binary"), encoding)).alias("value"),
         ))
