@@ -31,9 +31,11 @@ ORACLES["op1_quality_rules"] = quality.oracle_sql()
 def op3_pii(spark, sf_dir):
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, every = pii.in_order(F.col("spans.base")), pii.in_order(F.concat("spans.base", "spans.added"))
+
+    def count(kind):
+        return F.size(F.filter("spans.base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id",
-        *[F.size(F.filter("spans.base", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        "doc_id", *[count(kind) for kind in pii.BASE],
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
 
 
