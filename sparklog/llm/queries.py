@@ -1,8 +1,11 @@
 """Registered queries of the operators, each over its whole table, with SQL where SQL can say it."""
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, pii, quality
+from . import chat, mixing, pii, quality, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -42,3 +45,62 @@ def op3_pii(spark, sf_dir):
 @query
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~toxicity.held_out()))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+#: The conversation that is added to the table: it holds other templates' control strings.
+_EXTRA_TEXT = r"\### Assistant: </turn> ok"
+
+
+@F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def _read_back(formatted: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, begins, ends in zip(formatted, start, end):
+        data = text.encode("utf-8", "surrogatepass")
+        turns, loss = chat.parse(data), hashlib.sha256()
+        every = hashlib.sha256()
+        for role, said in turns:
+            every.update(f"{role}\n{said}\n".encode())
+        chars = 0
+        for a, b in zip(begins, ends):
+            said = chat.unescape(data[a:b].decode())
+            loss.update(said.encode())
+            chars += len(said)
+        rows.append((len(turns), every.hexdigest(), chars, loss.hexdigest(), len(text)))
+    return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+@query
+def op8_chat_format(spark, sf_dir):
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_EXTRA_TEXT).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = chat.format_conversations(turns)
+    return formatted.select("conv_id", _read_back("formatted", "loss_start", "loss_end").alias("r")).select("conv_id", "r.*")
+
+
+def _escaped(text: str) -> str:
+    return rf"regexp_replace(replace({text}, '\', '\\'), '(</?turn)', '\\\1', 'g')"
+
+
+ORACLES["op8_chat_format"] = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-7, 0, 'user', '{_EXTRA_TEXT}'), (-7, 1, 'assistant', '{_EXTRA_TEXT}'))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(15 + length(replace({_escaped('role')}, chr(10), '\n')) + length({_escaped('text')}))::bigint as formatted_chars
+from t group by conv_id"""
