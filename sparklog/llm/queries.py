@@ -5,7 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, pii, quality, simhash, toxicity
+from . import chat, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -104,3 +104,13 @@ select conv_id, count(*) as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(15 + length(replace({_escaped('role')}, chr(10), '\n')) + length({_escaped('text')}))::bigint as formatted_chars
 from t group by conv_id"""
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
