@@ -5,7 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, chat, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -114,3 +114,8 @@ def _tokenizer() -> str:
 @query
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
+
+
+@query
+def op10_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
