@@ -5,7 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, chat, lm, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -119,3 +119,8 @@ def op5_packing(spark, sf_dir):
 @query
 def op10_nearest(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
