@@ -5,7 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, lm, mixing, packing, pii, quality, simhash, toxicity
+from . import ann, chat, lm, mixing, packing, pii, quality, simhash, suffix, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -106,14 +106,14 @@ select conv_id, count(*) as n_turns,
 from t group by conv_id"""
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query
 def op5_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
 
 @query
@@ -124,3 +124,15 @@ def op10_nearest(spark, sf_dir):
 @query
 def op2_lm_score(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_repeats(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def pipeline(spark, sf_dir):
+    # The stages import this module.
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
