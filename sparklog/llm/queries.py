@@ -64,7 +64,9 @@ def op9_toxicity(spark, sf_dir):
 _EXTRA_TEXT = r"\### Assistant: </turn> ok"
 
 
-@F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+_READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
 def _read_back(formatted: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     rows = []
     for text, begins, ends in zip(formatted, start, end):
@@ -88,7 +90,7 @@ def op8_chat_format(spark, sf_dir):
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_EXTRA_TEXT).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     formatted = chat.format_conversations(turns)
-    return formatted.select("conv_id", _read_back("formatted", "loss_start", "loss_end").alias("r")).select("conv_id", "r.*")
+    return formatted.select("conv_id", F.pandas_udf(_read_back, _READ)("formatted", "loss_start", "loss_end").alias("r")).select("conv_id", "r.*")
 
 
 def _escaped(text: str) -> str:
