@@ -190,7 +190,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
 
     def search(graph: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(graph) or not len(ask):
-            return pd.DataFrame({"query_id": [], "ids": [], "score": []})
+            return pd.DataFrame({"query_id": [], "ids": [], "score": []}, dtype=object)
         graph = graph.sort_values("node")
         x, edges, entry = _matrix(graph["v"]), np.stack(graph["edges"].to_numpy()).astype(np.int64), int(graph["entry"].iloc[0])
         points = np.concatenate([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
