@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import scratch
 from ..functions.levels import parse_level
 from ..functions.times import parse_timestamp
-from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import glue_records, index_blocks
 from ..sources.files import scan_units
 from .common import apply_malformed_policy, count_quotes, join_small, strip_cr, to_records, with_once
@@ -85,15 +84,14 @@ def quote_parity(units: DataFrame, quote: str = '"') -> DataFrame:
     return units.withColumn("start", count_quotes(F.col("value"), quote) % 2 == 1)
 
 
-def csv_segments(units: DataFrame, header: bool = True, quote: str = '"',
-                 max_record_bytes: int = MAX_RECORD_BYTES) -> tuple[DataFrame, DataFrame | None]:
+def csv_segments(units: DataFrame, header: bool = True, quote: str = '"') -> tuple[DataFrame, DataFrame | None]:
     """Segments with a ``layout`` number, and the table of distinct header texts by number."""
     units = quote_parity(units, quote)
     blocks = index_blocks(units, quoted=True, header=header)
     headers = None
     if header:
         blocks, headers = number_headers(blocks)
-    return glued_csv(units, blocks, header, max_record_bytes), headers
+    return glued_csv(units, blocks, header), headers
 
 
 def number_headers(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +105,8 @@ def number_headers(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered, headers
 
 
-def glued_csv(units: DataFrame, blocks: DataFrame, header: bool, max_record_bytes: int) -> DataFrame:
-    segments = glue_records(units, blocks, quoted=True, header=header,
-                            max_record_bytes=max_record_bytes)
+def glued_csv(units: DataFrame, blocks: DataFrame, header: bool) -> DataFrame:
+    segments = glue_records(units, blocks, quoted=True, header=header)
     return segments.withColumn("raw", F.make_valid_utf8(strip_cr(F.col("raw"))))
 
 
@@ -148,19 +145,17 @@ def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '
         "message": _field(fields, at["message"]),
         "exception": _field(fields, at["exception"]),
         "attributes": attributes,
-        "malformed": F.when(F.col("raw").isNull(), F.lit("oversized"))
-                      .when(F.size(fields) != n_fields, F.lit("field count")),
+        "malformed": F.when(F.size(fields) != n_fields, F.lit("field count")),
     })), on_malformed)
 
 
 def read_csv(spark: SparkSession, path, layout: CsvLayout | None = None,
              delimiter: str | None = None, quote: str = '"', encoding: str = "UTF-8",
              time_patterns: tuple = (), on_malformed: str = "drop",
-             max_record_bytes: int = MAX_RECORD_BYTES, head: int | None = None) -> DataFrame:
+             head: int | None = None) -> DataFrame:
     """``layout`` reads files without a header line; otherwise each file's header decides."""
     units = scan_units(spark, path, encoding=encoding, head=head)
-    segments, headers = csv_segments(units, layout is None, quote,
-                                     max_record_bytes=max_record_bytes)
+    segments, headers = csv_segments(units, layout is None, quote)
     if layout is None:
         layout = header_layout(headers, delimiter, quote)
     return parse_csv(segments, layout, quote, time_patterns, on_malformed, delimiter)

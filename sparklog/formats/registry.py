@@ -9,20 +9,21 @@ from .csv import DELIMITERS, CsvLayout, parse_csv, read_csv
 from .log4j import EVENT_END, EVENT_START, _events, parse_log4j, read_log4j
 from .plain import parse_plain, read_plain
 from .common import strip_cr
-from .rules import RuleSet, parse_rules, read_rules
+from .rules import RuleSet, parse_rules, read_rules, rule_texts
 
 
 @dataclass(frozen=True)
 class LogFormat:
     """``sniff`` tests the first characters of a file and is null for formats that are only
-    used when asked for. ``payload`` splits one message into record texts; ``parse`` turns
-    rows with ``raw`` into records."""
+    used when asked for. ``payload`` splits one message into record texts, given the arguments
+    of ``parse`` if ``payload_args``; ``parse`` turns rows with ``raw`` into records."""
 
     name: str
     read: Callable[..., DataFrame]
     parse: Callable[..., DataFrame]
-    payload: Callable[[Column], Column]
+    payload: Callable[..., Column]
     sniff: Callable[[Column], Column] | None = None
+    payload_args: bool = False
 
 
 def _not_blank(head: Column) -> Column:
@@ -41,9 +42,10 @@ def sniff_log4j(head: Column) -> Column:
     return F.contains(head, F.lit(EVENT_START.rstrip()))
 
 
-def _one_record(text: Column) -> Column:
-    """A message is one record; its final line break does not belong to it."""
-    return F.array(F.regexp_replace(text, r"\r?\n\z", ""))
+def _quoted_lines(text: Column) -> Column:
+    """Lines of a message; a line break between quotes does not end one."""
+    lines = F.regexp_extract_all(text, F.lit(r'(?:[^"\n]++|"[^"]*+(?:"|\z))++'), F.lit(0))
+    return F.filter(F.transform(lines, strip_cr), lambda x: x != "")
 
 
 def _lines(text: Column) -> Column:
@@ -73,10 +75,11 @@ def sniffable() -> list[LogFormat]:
     return [f for f in _FORMATS.values() if f.sniff is not None]
 
 
-register_format(LogFormat("csv", read_csv, parse_csv, _one_record, sniff_csv))
+register_format(LogFormat("csv", read_csv, parse_csv, _quoted_lines, sniff_csv))
 register_format(LogFormat("log4j", read_log4j, parse_log4j, _closed_events, sniff_log4j))
 register_format(LogFormat("plain", read_plain, parse_plain, _lines))
-register_format(LogFormat("rules", read_rules, parse_rules, _one_record))
+register_format(LogFormat("rules", read_rules, parse_rules, lambda text, rules, *_, **__: rule_texts(text, rules),
+                          payload_args=True))
 
 __all__ = ["DELIMITERS", "CsvLayout", "LogFormat", "RuleSet", "get_format", "register_format",
            "sniff_csv", "sniff_log4j", "sniffable"]

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.levels import parse_level
 from ..functions.times import parse_timestamp
-from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import glue_records, index_blocks
 from ..sources.files import scan_units
 from .common import apply_malformed_policy, strip_cr, to_records, with_once
@@ -21,23 +20,32 @@ _DIALECT = "(?d)"
 
 @dataclass(frozen=True)
 class FieldRule:
-    """Fill ``slot`` with the first match in the text that is still unread.
+    """Fill ``slot`` with a match in the text that is still unread.
 
-    With ``state_from`` the rule only acts in that state; a match moves on to ``state_to``.
+    Rules without any states act once each, in their order. Where rules have states, the text is
+    scanned: of the rules that act in the current state the one whose match begins first is taken,
+    of those the longest, of those the first in the list; it fills its slot (again, if need be) and
+    moves on to ``state_to``, until none matches. A rule acts in the states of ``state_from``, one
+    name or several, or in all. The first state is INITIAL.
     """
 
     slot: str
     pattern: str
     group: int = 0
-    state_from: str | None = None
+    state_from: str | tuple[str, ...] | None = None
     state_to: str | None = None
 
+    @property
+    def states(self) -> tuple[str, ...]:
+        """The states in which the rule acts; none for all."""
+        return (self.state_from,) if isinstance(self.state_from, str) else tuple(self.state_from or ())
+
 
 @dataclass(frozen=True)
 class RuleSet:
-    """``start`` opens a record at its first match in a line. ``end`` (not part of the record)
-    closes it; without ``end`` a record lasts until the next start. ``definitions`` are named
-    patterns, used as ``{name}`` in all others."""
+    """``start`` opens a record at each of its matches in a line. ``end`` (not part of the record)
+    closes it; without ``end`` a record lasts until the next start. A match of either lies in one
+    line, its break included. ``definitions`` are named patterns, used as ``{name}`` in all others."""
 
     name: str
     start: str
@@ -72,7 +80,8 @@ class RuleSet:
     @classmethod
     def from_json(cls, text: str) -> "RuleSet":
         value = json.loads(text)
-        value["fields"] = tuple(FieldRule(**f) for f in value["fields"])
+        value["fields"] = tuple(FieldRule(**{**f, "state_from": tuple(f["state_from"]) if isinstance(
+            f["state_from"], list) else f["state_from"]}) for f in value["fields"])
         return cls(**value)
 
 
@@ -85,10 +94,50 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _pieces(text: Column, rules: RuleSet) -> Column:
+    """A text cut in front of every start; what is before the first one comes first, if anything."""
+    start = _DIALECT + rules.expand(rules.start)
+    found = F.regexp_extract_all(text, F.lit(start), F.lit(0))
+
+    def cut(starts):
+        return _let(F.split(text, start, -1), lambda parts: F.concat(
+            F.when(F.get(parts, 0) != "", F.slice(parts, 1, 1)).otherwise(F.array().cast("array<string>")),
+            F.transform(starts, lambda s, i: F.concat(s, F.get(parts, i + 1)))))
+
+    return _let(found, lambda starts: F.when(F.size(starts) > 0, cut(starts)).otherwise(F.array(text)))
+
+
+def rule_texts(text: Column, rules: RuleSet) -> Column:
+    """The records of a whole text, for instance of one message."""
+    begun = F.filter(_pieces(text, rules), lambda x: F.regexp_like(x, _regex(rules, f"^(?:{rules.start})")))
+    if rules.end:
+        return F.transform(begun, lambda x: _let(
+            F.regexp_instr(x, _regex(rules, rules.end)),
+            lambda at: F.when(at > 0, F.substr(x, F.lit(1), at - 1)).otherwise(x)))
+    return F.transform(begun, lambda x: F.regexp_replace(x, r"\r?\n\z", ""))
+
+
+def split_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
+    """Lines that hold several starts, or text before one, become several units."""
+    start = rules.expand(rules.start)
+    if start.startswith("^") and "|" not in start:
+        return units.withColumn("_whole", F.lit(True))
+    pieces = _pieces(F.col("value"), rules)
+    others = [c for c in units.columns if c not in ("value", "width")]
+    cut = units.select(*others, "width", F.octet_length("value").alias("_bytes"),
+                       F.size(pieces).alias("_n"), F.posexplode(pieces).alias("_at", "value"))
+    last = F.col("_at") == F.col("_n") - 1
+    # The break at the end of the line belongs to its last piece.
+    size = F.octet_length("value").cast("bigint")
+    return cut.select(*others, "value", last.alias("_whole"), F.when(
+        last, size + F.col("width") - F.col("_bytes")).otherwise(size).alias("width"))
+
+
 def mark_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
-    """``start`` and ``close`` per line; a line may open a record and close it."""
+    """``start`` and ``close`` per line or piece of one; it may open a record and close it."""
     start = _regex(rules, rules.start)
-    line = F.concat("value", F.lit("\n"))
+    units = split_lines(units, rules)
+    line = F.concat("value", F.when(F.col("_whole"), F.lit("\n")).otherwise(F.lit("")))
     close = F.lit(False)
     if rules.end:
         end = _regex(rules, rules.end)
@@ -96,14 +145,12 @@ def mark_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
         close = F.when(F.regexp_like("value", start), F.regexp_like(after, end)).otherwise(
             F.regexp_like(line, end))
         close = F.coalesce(close, F.lit(False))
-    return units.withColumns({"start": F.regexp_like("value", start), "close": close})
+    return units.withColumns({"start": F.regexp_like("value", start), "close": close}).drop("_whole")
 
 
-def rule_segments(units: DataFrame, rules: RuleSet,
-                  max_record_bytes: int = MAX_RECORD_BYTES, head: int | None = None) -> DataFrame:
+def rule_segments(units: DataFrame, rules: RuleSet) -> DataFrame:
     units = mark_lines(units, rules)
-    return cut_records(glue_records(units, index_blocks(units, False, False), False, False,
-                                    max_record_bytes), rules)
+    return cut_records(glue_records(units, index_blocks(units, False, False), False, False), rules)
 
 
 def cut_records(glued: DataFrame, rules: RuleSet) -> DataFrame:
@@ -125,13 +172,60 @@ def cut_records(glued: DataFrame, rules: RuleSet) -> DataFrame:
          .alias("raw"))
 
 
+_FIRST_STEPS = 16
+
+
+def scan_fields(raw: Column, rules: RuleSet) -> Column:
+    """The slots after a scan through all of ``raw``, see ``FieldRule``.
+
+    Every step reads a character at least, so as many steps as characters are enough. Most records
+    take a few; the others go on.
+    """
+    patterns = [_DIALECT + rules.expand(f.pattern) for f in rules.fields]
+
+    def candidate(s, i):
+        rule, pattern = rules.fields[i], patterns[i]
+        at = F.regexp_instr(s["rest"], F.lit(pattern))
+        if rule.states:
+            at = F.when(s["state"].isin(*rule.states), at).otherwise(F.lit(0))
+        return _let(at, lambda at: F.when(at > 0, _let(
+            F.length(F.regexp_extract(s["rest"], pattern, 0)),
+            lambda n: F.when(n > 0, F.struct(at.alias("at"), (-n).alias("n"), F.lit(i).alias("rule"))))))
+
+    def move(s, best):
+        text = F.substr(s["rest"], best["at"])
+        state, slots = s["state"], {name: s[name] for name in SLOTS}
+        for i, rule in enumerate(rules.fields):
+            chosen = best["rule"] == i
+            if rule.state_to:
+                state = F.when(chosen, F.lit(rule.state_to)).otherwise(state)
+            slots[rule.slot] = F.when(chosen, F.regexp_extract(s["rest"], patterns[i], rule.group)).otherwise(slots[rule.slot])
+        return F.struct(F.substr(text, 1 - best["n"]).alias("rest"), state.alias("state"), F.lit(True).alias("live"),
+                        *[slots[name].alias(name) for name in SLOTS])
+
+    def stop(s):
+        return F.struct(s["rest"].alias("rest"), s["state"].alias("state"), F.lit(False).alias("live"),
+                        *[s[name].alias(name) for name in SLOTS])
+
+    def step(s, _):
+        best = F.array_min(F.array(*[candidate(s, i) for i in range(len(rules.fields))]))
+        return F.when(s["live"], _let(best, lambda b: F.when(b.isNotNull(), move(s, b)).otherwise(stop(s)))).otherwise(s)
+
+    nothing = F.lit(None).cast("string")
+    start = F.struct(F.coalesce(raw, F.lit("")).alias("rest"), F.lit("INITIAL").alias("state"), F.lit(True).alias("live"),
+                     *[nothing.alias(name) for name in SLOTS])
+    begun = F.aggregate(F.sequence(F.lit(1), F.lit(_FIRST_STEPS)), start, step)
+    done = _let(begun, lambda s: F.when(s["live"], F.aggregate(
+        F.sequence(F.lit(0), F.length(s["rest"])), s, step)).otherwise(s))
+    return _let(done, lambda s: F.struct(*[F.when(s[name] != "", s[name]).alias(name) for name in SLOTS]))
+
+
 def _apply(rules: RuleSet, rule: FieldRule):
     """One rule as a step from the reading so far to the next one."""
     pattern = _DIALECT + rules.expand(rule.pattern)
 
     def step(s):
-        active = F.lit(True) if rule.state_from is None else s["state"] == rule.state_from
-        at = F.when(active, F.regexp_instr(s["rest"], F.lit(pattern))).otherwise(F.lit(0))
+        at = F.regexp_instr(s["rest"], F.lit(pattern))
 
         def take(p):
             def if_hit(value, name):
@@ -141,8 +235,6 @@ def _apply(rules: RuleSet, rule: FieldRule):
             slots = {rule.slot: if_hit(F.regexp_extract(s["rest"], pattern, rule.group), rule.slot)}
             return F.struct(
                 if_hit(F.substr(s["rest"], p["at"] + F.length(whole)), "rest").alias("rest"),
-                if_hit(F.lit(rule.state_to) if rule.state_to else s["state"], "state")
-                .alias("state"),
                 *[slots.get(name, s[name]).alias(name) for name in SLOTS])
 
         return _let(F.struct(at.alias("at")), take)
@@ -151,21 +243,29 @@ def _apply(rules: RuleSet, rule: FieldRule):
 
 
 def _is_chain(fields: tuple[FieldRule, ...]) -> bool | None:
-    """True when each rule waits for the one before, False when none waits, None otherwise."""
-    if all(f.state_from is None and f.state_to is None for f in fields):
+    """True when each rule waits for the one before and none can act again, False when no rule has
+    states, None otherwise."""
+    if _stateless(fields):
         return False
     state = "INITIAL"
     seen = {state}
     for f in fields:
-        if f.state_from != state:
+        if f.states != (state,):
             return None
+        if f is fields[-1] and f.state_to is None:
+            # It stays in its state, so it must read all that is left.
+            return True if f.pattern.startswith("(?s)") and f.pattern.endswith(".*") else None
         state = f.state_to or state
-        if f is not fields[-1] and state in seen:
+        if state in seen:
             return None
         seen.add(state)
     return True
 
 
+def _stateless(fields: tuple[FieldRule, ...]) -> bool:
+    return all(not f.states and f.state_to is None for f in fields)
+
+
 # Parts of a pattern that look at the text before it, or at other groups by number.
 _LOOKS_BACK = re.compile(r"(?<!\[)\^|\(\?<|\\[ABGZbzk1-9]")
 
@@ -201,10 +301,7 @@ def single_pattern(rules: RuleSet) -> tuple[str, dict[str, int]] | None:
 
 
 def extract_fields(raw: Column, rules: RuleSet) -> Column:
-    """Struct of the slot texts: each rule searches what the rules before it left unread.
-
-    Rules in a row become one pattern. Branching states are followed rule by rule.
-    """
+    """Struct of the slot texts. Rules in a row become one pattern, others are scanned."""
     single = single_pattern(rules)
     if single:
         pattern, groups = single
@@ -215,8 +312,9 @@ def extract_fields(raw: Column, rules: RuleSet) -> Column:
             return F.nullif(F.regexp_extract(raw, pattern, groups[name]), F.lit(""))
 
         return F.struct(*[slot(name).alias(name) for name in SLOTS])
-    current = F.struct(raw.alias("rest"), F.lit("INITIAL").alias("state"),
-                       *[F.lit(None).cast("string").alias(s) for s in SLOTS])
+    if not _stateless(rules.fields):
+        return scan_fields(raw, rules)
+    current = F.struct(raw.alias("rest"), *[F.lit(None).cast("string").alias(s) for s in SLOTS])
     for rule in rules.fields:
         current = _let(current, _apply(rules, rule))
     return _let(current, lambda c: F.struct(*[F.when(c[s] != "", c[s]).alias(s) for s in SLOTS]))
@@ -233,13 +331,11 @@ def parse_rules(segments: DataFrame, rules: RuleSet, on_malformed: str = "drop")
         "timestamp": parse_timestamp(slots["timestamp"], *patterns),
         "level": parse_level(slots["level"]),
         **{s: slots[s] for s in ("logger", "thread", "message", "exception")},
-        "malformed": F.when(F.col("raw").isNull(), F.lit("oversized")),
+        "malformed": F.lit(None).cast("string"),
     })), on_malformed)
 
 
 def read_rules(spark: SparkSession, path, rules: RuleSet, encoding: str = "UTF-8",
-               on_malformed: str = "drop",
-               max_record_bytes: int = MAX_RECORD_BYTES, head: int | None = None) -> DataFrame:
+               on_malformed: str = "drop", head: int | None = None) -> DataFrame:
     units = scan_units(spark, path, encoding=encoding, head=head)
-    return parse_rules(rule_segments(units, rules, max_record_bytes=max_record_bytes),
-                       rules, on_malformed)
+    return parse_rules(rule_segments(units, rules), rules, on_malformed)

@@ -24,7 +24,3 @@ RECORD_SCHEMA = T.StructType([
 RECORD_COLUMNS = tuple(RECORD_SCHEMA.fieldNames())
 
 SEGMENT_COLUMNS = ("source", "idx", "offset", "length", "raw")
-
-# A record above this size keeps its exact offset and length but no text: one Spark
-# string must fit into a task, whatever the file holds (a quote that is never closed).
-MAX_RECORD_BYTES = 64 * 1024 * 1024

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .. import scratch
-from ..model import MAX_RECORD_BYTES
 
 _KEY = ["source", "block"]
 
@@ -60,6 +59,27 @@ def _flags(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(bool)
 
 
+class _Check:
+    """Compares the bytes of each block with those that its table row has."""
+
+    def __init__(self):
+        self.block, self.seen, self.expected = None, 0, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        width, expected = batch.column("width").to_numpy(), batch.column("expected")
+        block = batch.column("block_no")
+        for lo, hi in _runs(batch):
+            if block[lo].as_py() != self.block:
+                self.finish()
+                self.block, self.seen = block[lo].as_py(), 0
+                self.expected = expected[lo].as_py()
+            self.seen += int(width[lo:hi].sum())
+
+    def finish(self) -> None:
+        if self.seen != self.expected:
+            raise ValueError(_MOVED)
+
+
 def _key(batch: pa.RecordBatch, row: int) -> tuple[str, int]:
     return batch.column("source")[row].as_py(), batch.column("block")[row].as_py()
 
@@ -68,8 +88,9 @@ def _key(batch: pa.RecordBatch, row: int) -> tuple[str, int]:
 
 def _running_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the sums of ``weight`` and ``width`` over the block's earlier rows."""
-    block, carry = None, (0, 0)
+    block, carry, check = None, (0, 0), _Check()
     for batch in batches:
+        check.add(batch)
         runs = _runs(batch)
         if not runs:
             continue
@@ -86,6 +107,7 @@ def _running_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         block, carry = blocks[-1], tuple(ends)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, *sums], names=[*batch.schema.names, "idx", "offset"])
+    check.finish()
 
 
 def _byte_order_mark(total: Column, separator_bytes: int) -> Column:
@@ -107,20 +129,32 @@ def _origin(blocks: DataFrame, origin: DataFrame | None) -> DataFrame:
                           "offset0": F.coalesce("offset0", F.lit(0))}))
 
 
-def _place(units: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
+_MOVED = ("the files were split in another way than when their blocks were written; "
+          "keep spark.sql.files.* and the files as they are between the two reads")
+
+
+def _place(units: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str,
+           some: bool = False) -> DataFrame:
     """Put the number of its block, and ``columns``, in the place of a unit's source and block,
     keeping units of a block together in order. Paths need not pass through Python then.
 
+    Both scans must split the files alike. A unit of an unknown block is an error, and
+    ``expected`` lets the task compare the bytes of each block; with ``some`` the table has
+    chosen blocks only, and units of others are left out.
+
     The block table was counted. Up to the broadcast bound the scan is not moved at all;
     beyond it units and blocks meet by a shuffle on the block, which no hot source can skew
     because a block is one file split, and are put back into file order.
     """
-    small = blocks.select(*_KEY, "block_no", *columns)
-    kept = ["block_no", *columns, *[c for c in units.columns if c not in (*_KEY, "size")]]
+    small = blocks.select(*_KEY, "block_no", F.col("bytes").alias("expected"), *columns)
+    how = "inner" if some else "left"
+    known = F.coalesce("block_no", F.raise_error(F.lit(_MOVED)).cast("bigint")).alias("block_no")
+    kept = [known, "expected", *columns,
+            *[c for c in units.columns if c not in (*_KEY, "size")]]
     if n_blocks <= scratch.MAX_BROADCAST_ROWS:
-        return units.join(F.broadcast(small), _KEY).select(*kept)
+        return units.join(F.broadcast(small), _KEY, how).select(*kept)
     ordered = units.withColumn("_order", F.monotonically_increasing_id())
-    return (ordered.join(small.hint("shuffle_hash"), _KEY)
+    return (ordered.join(small.hint("shuffle_hash"), _KEY, how)
             .sortWithinPartitions("block_no", "_order").select(*kept))
 
 
@@ -133,7 +167,7 @@ def _restore(rows: DataFrame, blocks: DataFrame, n_blocks: int, *columns: str) -
     return (rows.join(small, "block_no")
             .withColumns({"idx": F.col("idx") + F.col("_idx0"),
                           "offset": F.col("offset") + F.col("_offset0")})
-            .drop("block_no", "_idx0", "_offset0"))
+            .drop("block_no", "expected", "_idx0", "_offset0"))
 
 
 def _write_blocks(blocks: DataFrame) -> DataFrame:
@@ -244,9 +278,9 @@ class _Gluer:
     """Joins the lines of one block to records; keeps only the record that is still open.
     Numbers and offsets count from the begin of the block."""
 
-    def __init__(self, block_no: int, flags: int, quoted: bool, parts: bool, limit: int):
+    def __init__(self, block_no: int, flags: int, quoted: bool, parts: bool):
         self.block_no, self.flags = block_no, flags
-        self.quoted, self.parts, self.limit = quoted, parts, limit
+        self.quoted, self.parts = quoted, parts
         self.open_head = bool(flags & _OPEN_HEAD)
         self.skip_first = bool(flags & _HEADER)
         self.toggles, self.offset = int(self.open_head), 0
@@ -271,23 +305,16 @@ class _Gluer:
             end = int(np.argmax(close)) + 1
             values, width = values.slice(0, end), width[:end]
         self.open_bytes += int(width.sum())
-        if self.open_bytes <= self.limit:
-            self.open_text.append(values)
-        else:
-            self.open_text = []
+        self.open_text.append(values)
 
     def _flush(self, at_block_end: bool):
         """The record that was open: a whole record, or a part when it crosses the block."""
         part = self.in_head or (at_block_end and bool(self.flags & _OPEN_TAIL))
         if part != self.parts or (self.in_head and not (self.open_head and self.open_bytes)):
             return None
-        text = None
-        if self.open_bytes <= self.limit:
-            lines = pa.concat_arrays(self.open_text) if self.open_text else pa.array([], pa.string())
-            whole = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
-            text = pc.binary_join(whole, "\n")
-        else:
-            text = pa.nulls(1, pa.string())
+        lines = pa.concat_arrays(self.open_text) if self.open_text else pa.array([], pa.string())
+        whole = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+        text = pc.binary_join(whole, "\n")
         return self._row([self.open_idx], [self.open_from], [self.open_bytes], text)
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -347,8 +374,6 @@ class _Gluer:
         else:
             raw = pc.binary_join(
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), "\n")
-        if (length > self.limit).any():
-            raw = pc.if_else(pa.array(length <= self.limit), raw, pa.scalar(None, pa.string()))
         return self._row(idx, offset, length, raw)
 
     def finish(self):
@@ -357,10 +382,11 @@ class _Gluer:
         return self._flush(at_block_end=True)
 
 
-def _glue(quoted: bool, parts: bool, limit: int) -> Callable:
+def _glue(quoted: bool, parts: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gluer = None
+        gluer, check = None, _Check()
         for batch in batches:
+            check.add(batch)
             for lo, hi in _runs(batch):
                 block_no = batch.column("block_no")[lo].as_py()
                 if gluer is None or gluer.block_no != block_no:
@@ -368,8 +394,9 @@ def _glue(quoted: bool, parts: bool, limit: int) -> Callable:
                     if last:
                         yield last
                     flags = batch.column("flags")[lo].as_py()
-                    gluer = _Gluer(block_no, flags, quoted, parts, limit)
+                    gluer = _Gluer(block_no, flags, quoted, parts)
                 yield from gluer.add(batch.slice(lo, hi - lo))
+        check.finish()
         last = gluer and gluer.finish()
         if last:
             yield last
@@ -432,28 +459,26 @@ def index_blocks(units: DataFrame, quoted: bool, header: bool, origin: DataFrame
     return _write_blocks(_start_states(summary, quoted, origin, hold_open))
 
 
-def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool,
-                 max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+def glue_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool) -> DataFrame:
     """Records as ``source, idx, offset, length, raw, layout``.
 
     ``quoted`` reads ``start`` as "this line has an odd number of quotes"; otherwise ``start``
     opens a record and ``close`` ends it. Records inside of a block never move. Only records
-    that cross a block are cut into parts, at most two per block, and meet in a shuffle.
+    that cross a block are cut into parts, at most two per block, and meet in a shuffle. A
+    record may be as long as one string can be (2 GB); a longer one is an error.
     """
     n_blocks, n_crossing = blocks.agg(
         F.count("*"), F.count_if(F.expr(_CROSSING))).first()
-    whole = _run_glue(units, blocks, n_blocks, quoted, header, False, max_record_bytes)
+    whole = _run_glue(units, blocks, n_blocks, quoted, header, False)
     if not n_crossing:
         return whole
-    stitched = _stitched(units, blocks, n_blocks, quoted, header, max_record_bytes)
-    return whole.unionByName(stitched.join(_unfinished(blocks), ["source", "idx"], "left_anti"))
+    return whole.unionByName(_stitched(units, blocks, n_blocks, quoted, header, "left_anti"))
 
 
-def unfinished_records(units: DataFrame, blocks: DataFrame, quoted: bool, header: bool,
-                       max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+def unfinished_records(units: DataFrame, blocks: DataFrame, quoted: bool,
+                       header: bool) -> DataFrame:
     """The record that is still open at the end of each source."""
-    return _stitched(units, blocks, blocks.count(), quoted, header, max_record_bytes).join(
-        _unfinished(blocks), ["source", "idx"], "left_semi")
+    return _stitched(units, blocks, blocks.count(), quoted, header, "left_semi")
 
 
 _CROSSING = "open_tail or state = 1"
@@ -464,7 +489,7 @@ def _unfinished(blocks: DataFrame) -> DataFrame:
             .select("source", F.col("unfinished_idx").alias("idx")).distinct())
 
 
-def _run_glue(units, blocks, n_blocks, quoted, header, parts, max_record_bytes) -> DataFrame:
+def _run_glue(units, blocks, n_blocks, quoted, header, parts) -> DataFrame:
     if "layout" not in blocks.columns:
         blocks = blocks.withColumn("layout", F.lit(0).cast("bigint"))
     first = F.lit(_HEADER if header else 0)
@@ -475,30 +500,28 @@ def _run_glue(units, blocks, n_blocks, quoted, header, parts, max_record_bytes)
     close = F.col("close") if "close" in units.columns else F.lit(False)
     narrow = units.select(*_KEY, F.col("width").cast("int").alias("width"), "value", "start",
                           close.alias("close"))
-    glued = _place(narrow, blocks, n_blocks, "flags").mapInArrow(
-        _glue(quoted, parts, max_record_bytes), from_arrow_schema(_PIECES))
+    glued = _place(narrow, blocks, n_blocks, "flags", some=parts).mapInArrow(
+        _glue(quoted, parts), from_arrow_schema(_PIECES))
     columns = ("layout", "block") if parts else ("layout",)
     return _restore(glued, blocks, n_blocks, *columns).select(
         "source", "idx", "offset", "length", "raw", *columns)
 
 
-def _stitched(units, blocks, n_blocks, quoted, header, max_record_bytes) -> DataFrame:
-    """Records that cross a block, put together from their parts. A text above the limit is
-    not gathered at all: the running size of its parts is checked before they are collected."""
-    parts = _run_glue(units, blocks.where(_CROSSING), n_blocks, quoted, header, True,
-                      max_record_bytes)
-    so_far = F.sum("length").over(W.partitionBy("source", "idx").orderBy("block"))
-    text = F.when(so_far <= max_record_bytes, F.col("raw"))
+def _stitched(units, blocks, n_blocks, quoted, header, unfinished: str) -> DataFrame:
+    """Records that cross a block, put together from their parts.
+
+    Records that are never finished are known from the block table. They are left out, or only
+    they are taken (``unfinished`` is the kind of join), before any text is gathered.
+    """
+    parts = _run_glue(units, blocks.where(_CROSSING), n_blocks, quoted, header, True)
     return (
-        parts.where("idx >= 0")
-        .withColumn("piece", F.struct("block", text.alias("raw")))
+        parts.where("idx >= 0").join(_unfinished(blocks), ["source", "idx"], unfinished)
         .groupBy("source", "idx")
         .agg(F.min("offset").alias("offset"), F.sum("length").alias("length"),
-             F.array_sort(F.collect_list("piece")).alias("pieces"),
+             F.array_sort(F.collect_list(F.struct("block", "raw"))).alias("pieces"),
              F.first("layout").alias("layout"))
         .select("source", "idx", "offset", "length",
-                F.when(F.col("length") <= max_record_bytes,
-                       F.array_join(F.transform("pieces", lambda p: p["raw"]), "\n")).alias("raw"),
+                F.array_join(F.transform("pieces", lambda p: p["raw"]), "\n").alias("raw"),
                 "layout"))
 
 

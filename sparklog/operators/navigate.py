@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..model import LEVELS
-from .numbering import BUCKET, bucket_of
+from .numbering import BUCKET, bucket_of, join_cells
 
 
 def next_record(df: DataFrame, level: str, after: int = -1) -> DataFrame:
@@ -39,7 +39,7 @@ def next_by_level(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
     inside = W.partitionBy(*cell).orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
     near = marked.select(*cell, "idx", *[F.min(f"_{n}").over(inside).alias(f"_near_{n}")
                                          for n in names.values()])
-    return near.join(later, cell).select(
+    return join_cells(near, later, cell).select(
         "source", "idx", *[F.coalesce(f"_near_{n}", f"_later_{n}").alias(n)
                            for n in names.values()])
 

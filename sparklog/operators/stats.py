@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..model import LEVELS
-from .numbering import BUCKET, bucket_of, dense_number
+from .numbering import BUCKET, bucket_of, dense_number, join_cells
 
 # Fixed value: records per statistics batch.
 BATCH_RECORDS = 8192
@@ -77,15 +77,15 @@ def debounced(df: DataFrame, *by: str, time: str = "timestamp", order: str = "id
     last_before = (placed.groupBy(*cell).agg(F.max_by(time, order).alias("_last"))
                    .select(*cell, F.lag("_last").over(buckets).alias("_before")))
     inside = W.partitionBy(*cell).orderBy(order)
-    marked = placed.join(last_before, cell).withColumn(
+    marked = join_cells(placed, last_before, cell).withColumn(
         "_previous", F.coalesce(F.lag(time).over(inside), F.col("_before")))
     starts = F.col("_previous").isNull() | (
         F.col(time) > F.col("_previous") + F.expr(f"interval '{quiet}'"))
     marked = marked.withColumn("_starts", starts.cast("bigint"))
     before = (marked.groupBy(*cell).agg(F.sum("_starts").alias("_n"))
               .select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")))
-    numbered = marked.withColumn("_burst", F.sum("_starts").over(
-        inside.rowsBetween(W.unboundedPreceding, 0))).join(before, cell)
+    numbered = join_cells(marked.withColumn("_burst", F.sum("_starts").over(
+        inside.rowsBetween(W.unboundedPreceding, 0))), before, cell)
     return (numbered.withColumn("_burst", F.col("_base") + F.col("_burst"))
             .groupBy(*by, "_burst").agg(
                 F.min_by(time, order).alias("first_at"), F.max_by(time, order).alias("last_at"),

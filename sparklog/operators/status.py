@@ -34,6 +34,8 @@ def record_status(segments: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def filtered_status(df: DataFrame, predicate, progress: str = "progress") -> DataFrame:
-    """Matches so far, and progress over all records, matching or not."""
+    """Matches so far, progress over all records, matching or not, and whether saved data are
+    still read: as long as the progress is below 100."""
     return df.groupBy("source").agg(
-        F.count_if(predicate).alias("count"), F.max(progress).alias("progress"))
+        F.count_if(predicate).alias("count"), F.max(progress).alias("progress"),
+        (F.max(progress) < 100).alias("is_processing_saved_data"))

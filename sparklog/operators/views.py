@@ -71,9 +71,8 @@ def zip_starts_ends(starts: DataFrame, ends: DataFrame) -> DataFrame:
 def preview_lines(spark: SparkSession, path, n: int = 20) -> DataFrame:
     """First lines of each file as ``source, line_no, line``; no file is read further."""
     lines = scan_units(spark, path, head=n)
-    return (lines.groupBy("source").agg(F.collect_list("value").alias("lines"))
-            .select("source", F.posexplode("lines").alias("line_no", "line"))
-            .withColumn("line", strip_cr(F.col("line"))))
+    return lines.select("source", F.col("piece").alias("line_no"),
+                        strip_cr(F.col("value")).alias("line"))
 
 
 def preview_records(records: DataFrame, n: int = 5) -> DataFrame:

@@ -215,17 +215,17 @@ def mixed_level_counts(spark, sf_dir):
 
 @query("csv_delimiter", LR + "select distinct src, ';' as delimiter from lr")
 def csv_delimiter(spark, sf_dir):
-    heads = read_heads(spark, log_files(spark, sf_dir, "csv"))
-    header = F.substring_index("head", "\r\n", 1)
-    return _with_src(heads, csv_format.guess_delimiter(header).alias("delimiter"))
+    lines = scan_units(spark, log_files(spark, sf_dir, "csv"), head=1)
+    header = F.regexp_replace("value", r"\r\z", "")
+    return _with_src(lines, csv_format.guess_delimiter(header).alias("delimiter"))
 
 
 @query("csv_header_map", LR + """
 select distinct src, 7 as n_fields, 0 as time_at, 1 as level_at, 2 as logger_at,
   3 as message_at, 4 as exception_at, '5=user,6=k' as attributes from lr""")
 def csv_header_map(spark, sf_dir):
-    heads = read_heads(spark, log_files(spark, sf_dir, "csv")).select(
-        "source", F.substring_index("head", "\n", 1).alias("header"))
+    heads = scan_units(spark, log_files(spark, sf_dir, "csv"), head=1).select(
+        "source", F.col("value").alias("header"))
     extra = F.transform("attributes", lambda a: F.concat(a["position"], F.lit("="), a["name"]))
     return _with_src(
         csv_format.header_layout(heads), "n_fields", F.col("timestamp_at").alias("time_at"),
@@ -632,7 +632,7 @@ _VIEW = LR + """, view as (select *, row_number() over (partition by source orde
 def _view(spark, sf_dir):
     # Small buckets, so that the given tables fill several of them.
     return views.filtered_view(log_records(spark, sf_dir),
-                               F.col("level").isin("Error", "Fatal"), bucket=1000)
+                               F.col("level").isin("Error", "Fatal"))
 
 
 @query("filtered_index", _VIEW + "select src, idx, local_idx, message from view")
@@ -690,7 +690,8 @@ def zip_starts_ends(spark, sf_dir):
 
 @query("filtered_status", LR + """
 select source, count(*) filter (level = 'Error') as count,
-  cast(max(100 * (idx + 1) // 8000) as bigint) as progress from lr group by source""")
+  cast(max(100 * (idx + 1) // 8000) as bigint) as progress,
+  max(100 * (idx + 1) // 8000) < 100 as is_processing_saved_data from lr group by source""")
 def filtered_status(spark, sf_dir):
     df = log_records(spark, sf_dir).withColumn(
         "progress", F.floor(F.lit(100) * (F.col("idx") + 1) / 8000))
@@ -716,7 +717,7 @@ def level_counts_wide(spark, sf_dir):
 select source, level, row_number() over (partition by source, level order by idx) - 1 as pos, idx
 from lr where level is not null""")
 def level_index(spark, sf_dir):
-    return stats.level_index(log_records(spark, sf_dir), bucket=1000)
+    return stats.level_index(log_records(spark, sf_dir))
 
 
 @query("record_count", LR + "select count(*) as count from lr where level = 'Warn'")
@@ -760,7 +761,7 @@ def next_record(spark, sf_dir):
     for name in LEVELS) + """ from lr
 window w as (partition by source order by idx rows between 1 following and unbounded following)""")
 def next_by_level(spark, sf_dir):
-    return navigate.next_by_level(log_records(spark, sf_dir), bucket=1000)
+    return navigate.next_by_level(log_records(spark, sf_dir))
 
 
 @query("last_record", """
@@ -799,7 +800,7 @@ select user_id, min(ts) as first_at, max(ts) as last_at, max(event_id) as event_
 from b group by user_id, burst""")
 def debounced_events(spark, sf_dir):
     return stats.debounced(table(spark, sf_dir, "events"), "user_id", time="ts",
-                           order="event_id", quiet="30 minutes", bucket=1000)
+                           order="event_id", quiet="30 minutes")
 
 
 # ------------------------------------------------------------------ streams
@@ -856,8 +857,7 @@ def stream_level_counts(spark, sf_dir):
 def stream_filtered_view(spark, sf_dir):
     out = new_path(spark, "filtered-view")
     records = log_records(spark, sf_dir, stream=True)
-    _finish(follow.write_filtered_view(records, F.col("level").isin("Error", "Fatal"), out,
-                                       bucket=1000), out)
+    _finish(follow.write_filtered_view(records, F.col("level").isin("Error", "Fatal"), out), out)
     return follow.read_written(spark, out, "view").select("source", "idx", "local_idx", "message")
 
 

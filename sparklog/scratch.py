@@ -4,6 +4,7 @@ They are written as Parquet under ``spark.checkpoint.dir``, the folder all nodes
 """
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     root = os.path.join(tempfile.gettempdir(), "sparklog-" + spark.sparkContext.applicationId)
     spark.conf.set("spark.checkpoint.dir", root)

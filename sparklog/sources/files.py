@@ -16,7 +16,7 @@ def scan_units(spark: SparkSession, path, separator: str = "\n", encoding: str =
     """One row per piece between two separators, with its file, split and size in bytes.
 
     ``\\r`` stays in the value, so byte offsets and quoted line breaks survive. ``head`` keeps
-    to the first pieces of each file and does not read on.
+    to the first pieces of each file, numbered in ``piece``, and does not read on.
     """
     if head is not None:
         return _head_units(spark, path, separator, encoding, head)
@@ -79,11 +79,16 @@ def _head_units(spark: SparkSession, path, separator: str, encoding: str, head:
 
     def first_pieces(source: str, size: int):
         system, name = _open(source)
-        text, chunk = b"", b"-"
+        chunks, chunk, found, last = [], b"-", 0, b""
         with system.open_input_stream(name) as stream:
-            while chunk and text.count(end) < head:
+            while chunk and found < head:
                 chunk = stream.read(1 << 16)
-                text += chunk
+                chunks.append(chunk)
+                # Each chunk is searched once, with the end of the one before.
+                last = last[len(last) - len(end) + 1:] if len(end) > 1 else b""
+                found += (last + chunk).count(end)
+                last += chunk
+        text = b"".join(chunks)
         marked = text.startswith(b"\xef\xbb\xbf")
         *pieces, rest = text[3 * marked:].split(end)
         if not chunk and rest:
@@ -100,8 +105,9 @@ def _head_units(spark: SparkSession, path, separator: str, encoding: str, head:
                     pa.repeat(pa.scalar(source), n), pa.repeat(pa.scalar(0, pa.int64()), n),
                     pa.repeat(pa.scalar(known, pa.int64()), n),
                     pa.array([len(x) + len(end) for x in pieces], pa.int64()),
-                    pa.array([x.decode(encoding, "replace") for x in pieces], pa.string())],
-                    names=["source", "block", "size", "width", "value"])
+                    pa.array([x.decode(encoding, "replace") for x in pieces], pa.string()),
+                    pa.array(range(n), pa.int32())],
+                    names=["source", "block", "size", "width", "value", "piece"])
 
     return list_files(spark, path).mapInArrow(
-        read, "source string, block bigint, size bigint, width bigint, value string")
+        read, "source string, block bigint, size bigint, width bigint, value string, piece int")

@@ -1,5 +1,6 @@
 """Entry points: files of one or of mixed formats, and tables of message payloads."""
 
+import re
 from functools import reduce
 from urllib.parse import unquote
 
@@ -38,8 +39,8 @@ def read_logs(spark: SparkSession, path, format: str = "auto",
 
 
 def _plain_paths(sources: list[str]) -> list[str]:
-    """File URIs back to paths: a scan takes paths with their characters as they are."""
-    return [unquote(s) for s in sources]
+    """File URIs back to paths. A scan takes characters as they are, but for those of patterns."""
+    return [re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(s)) for s in sources]
 
 
 def from_payloads(payloads: DataFrame, format: str, *args, value: str = "value",
@@ -57,6 +58,7 @@ def from_payloads(payloads: DataFrame, format: str, *args, value: str = "value",
     kept = [c for c in payloads.columns if c != value]
     rows = payloads.where(F.octet_length(value) > 0).select(
         *([F.struct(*kept).alias("origin")] if kept else []),
-        F.explode(fmt.payload(text)).alias("raw"))
+        F.explode(fmt.payload(text, *args, **kwargs) if fmt.payload_args else fmt.payload(text))
+        .alias("raw"))
     records = fmt.parse(rows, *args, **kwargs)
     return records.drop("source", "idx", "offset", "length")

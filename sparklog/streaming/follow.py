@@ -16,7 +16,6 @@ from .. import scratch
 from ..formats import csv, log4j, plain, rules
 from ..formats.common import join_small
 from ..formats.rules import RuleSet
-from ..model import MAX_RECORD_BYTES
 from ..operators.blocks import (
     glue_records, index_blocks, number_blocks, unfinished_records)
 from ..operators.numbering import BUCKET, dense_number
@@ -74,11 +73,6 @@ def _with_carried(units: DataFrame, state: DataFrame) -> DataFrame:
     return units.unionByName(carried)
 
 
-def _carried_opens(lines: DataFrame) -> DataFrame:
-    """A carried record too large to keep its text still opens."""
-    return lines.withColumn("start", F.coalesce("start", F.lit(True)))
-
-
 def _check_policy(on_malformed: str) -> None:
     if on_malformed not in ("drop", "keep"):
         raise ValueError("a followed source knows on_malformed 'drop' and 'keep'")
@@ -106,34 +100,33 @@ def follow_log4j(precision: str = "s", attributes: bool = False,
 
 
 def follow_csv(delimiter: str | None = None, quote: str = '"', time_patterns: tuple = (),
-               on_malformed: str = "drop", max_record_bytes: int = MAX_RECORD_BYTES) -> Follower:
+               on_malformed: str = "drop") -> Follower:
     _check_policy(on_malformed)
 
     def step(units, state):
-        lines = _carried_opens(csv.quote_parity(_with_carried(units, state), quote))
+        lines = csv.quote_parity(_with_carried(units, state), quote)
         blocks = index_blocks(lines, quoted=True, header=True, origin=state, hold_open=True)
         known = state.select("source", F.col("header").alias("known_header"))
         blocks = blocks.join(known, "source", "left").withColumn(
             "file_header", F.coalesce("file_header", "known_header")).drop("known_header")
         blocks, headers = csv.number_headers(blocks)
         layout = csv.header_layout(headers, delimiter, quote)
-        records = csv.parse_csv(csv.glued_csv(lines, blocks, True, max_record_bytes), layout,
+        records = csv.parse_csv(csv.glued_csv(lines, blocks, True), layout,
                                 quote, time_patterns, on_malformed, delimiter)
-        still_open = unfinished_records(lines, blocks, True, True, max_record_bytes)
+        still_open = unfinished_records(lines, blocks, True, True)
         return records, _advance(state, blocks, True, still_open)
     return Follower("\n", step)
 
 
-def follow_rules(ruleset: RuleSet, on_malformed: str = "drop",
-                 max_record_bytes: int = MAX_RECORD_BYTES) -> Follower:
+def follow_rules(ruleset: RuleSet, on_malformed: str = "drop") -> Follower:
     """Without an end rule the last record stays open until the next one starts."""
     _check_policy(on_malformed)
 
     def step(units, state):
-        lines = _carried_opens(rules.mark_lines(_with_carried(units, state), ruleset))
+        lines = rules.mark_lines(_with_carried(units, state), ruleset)
         blocks = index_blocks(lines, quoted=False, header=False, origin=state, hold_open=True)
-        glued = glue_records(lines, blocks, False, False, max_record_bytes)
-        still_open = unfinished_records(lines, blocks, False, False, max_record_bytes)
+        glued = glue_records(lines, blocks, False, False)
+        still_open = unfinished_records(lines, blocks, False, False)
         return (rules.parse_rules(rules.cut_records(glued, ruleset), ruleset, on_malformed),
                 _advance(state, blocks, False, still_open))
     return Follower("\n", step)

@@ -35,27 +35,17 @@ def csv_records(data: bytes, header=True):
 
 
 def rule_records(data: bytes, start: str, end: str | None):
-    out, current = [], None
-    for at, line in lines_with_offsets(data):
-        hit = re.search(start.encode(), line)
-        if hit:
-            if current:
-                out.append(current)
-            current = [at + hit.start(), [line[hit.start():]], False]
-        elif current and not current[2]:
-            current[1].append(line)
-        if current and end and not current[2]:
-            body = b"".join(current[1])
-            probe = body if body.endswith(b"\n") else body + b"\n"
-            cut = re.search(end.encode(), probe)
-            if cut:
-                current[1], current[2] = [body[:cut.start()]], True
-    if current:
-        out.append(current)
+    """A record lasts from a start to its end, or else to the next start."""
+    starts = [at + hit.start() for at, line in lines_with_offsets(data)
+              for hit in re.finditer(start.encode(), line)]
     result = []
-    for i, (at, parts, closed) in enumerate(out):
-        body = b"".join(parts)
-        result.append((i, at, len(body), body.decode() if closed else _text(parts)))
+    for i, at in enumerate(starts):
+        body = data[at:starts[i + 1] if i + 1 < len(starts) else len(data)]
+        cut = re.search(end.encode(), body if body.endswith(b"\n") else body + b"\n") if end else None
+        if cut:
+            body = body[:cut.start()]
+        text = body if cut else re.sub(rb"\r?\n\Z", b"", body)
+        result.append((i, at, len(body), text.decode()))
     return result
 
 

@@ -110,18 +110,34 @@ def test_small_batches_and_no_broadcast(spark, tmp_path, split_bytes, monkeypatc
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_oversized_records_keep_their_place(spark, tmp_path, split_bytes):
-    long = '"' + "x\n" * 300 + '"'
+def test_long_records_keep_their_text(spark, tmp_path, split_bytes):
+    long = '"' + "x\n" * 3_000_000 + '"'
     data = f"level;message\nInfo;a\nInfo;{long}\nInfo;b\n".encode()
     (tmp_path / "a.log").write_bytes(data)
-    want = [(i, o, n, t if n <= 100 else None) for i, o, n, t in brute.csv_records(data)]
-    for split in (40, 150, 10_000):
+    for split in (1_000_000, 100_000_000):
         split_bytes(split)
-        segments, _ = csv.csv_segments(scan_units(spark, str(tmp_path)), max_record_bytes=100)
-        assert collected(segments)["a.log"] == want
-    records = csv.read_csv(spark, str(tmp_path), max_record_bytes=100, on_malformed="keep")
-    assert [r[0] for r in records.orderBy("idx").select("malformed").collect()] == [
-        None, "oversized", None]
+        records = csv.read_csv(spark, str(tmp_path))
+        assert [r[0] for r in records.orderBy("idx").select(F.length("message")).collect()] == [1, 6_000_000, 1]
+
+
+def test_unfinished_records_are_not_gathered(spark, tmp_path, split_bytes):
+    split_bytes(50)
+    (tmp_path / "a.log").write_text('level;message\nInfo;a\nInfo;"' + "never closed\n" * 100)
+    segments, _ = csv.csv_segments(scan_units(spark, str(tmp_path)))
+    assert [r["raw"] for r in segments.collect()] == ["Info;a"]
+
+
+@pytest.mark.parametrize("first, second", [(500, 900), (900, 500), (500, 100_000)])
+def test_other_splits_are_an_error(spark, tmp_path, split_bytes, first, second):
+    (tmp_path / "a.log").write_text("level;message\n" + "".join(f"Info;line {i}\n" for i in range(400)))
+    for read in (csv.read_csv, plain.read_plain):
+        split_bytes(first)
+        records = read(spark, str(tmp_path))
+        assert records.count() >= 400
+        split_bytes(second)
+        with pytest.raises(Exception, match="split in another way"):
+            # Plans are made anew for each action.
+            records.select("idx", "message").collect()
 
 
 def test_text_is_not_shuffled(spark, write_file):

@@ -14,27 +14,27 @@ from sparklog.operators.detect import detect_format
 from sparklog.sources.files import read_heads
 from sparklog.sources.reader import from_payloads, read_logs
 
-STAMP = "[0-9]{2}[.][0-9]{2}[.][0-9]{4}[T][0-9]{2}[:][0-9]{2}[:][0-9]{2}"
+STAMP = r"\d\d\.\d\d\.\d{4}T\d\d:\d\d:\d\d"
 LAYOUT = CsvLayout(5, timestamp=0, level=1, message=2, logger=3, exception=4)
 
 
-def event(level="INFO", ms="1361281966733", message="Istcua orojurf bysgurnl t.", user="user1",
+def event(level="INFO", ms="1402909876543", message="Lifted 14 of 20 boxes.", user="dock7",
           extra=""):
-    return (f'<log4j:event logger="ConsoleApplication1.Program" level="{level}" '
+    return (f'<log4j:event logger="Harbour.Crane.Loader" level="{level}" '
             f'timestamp="{ms}" thread="1">  <log4j:message>{message}</log4j:message>  '
-            f'<log4j:properties>    <log4j:data name="log4japp" value="ConsoleApplication1.exe'
-            f'(6512)" />    <log4j:data name="log4jmachinename" value="{user}" />{extra}  '
+            f'<log4j:properties>    <log4j:data name="log4japp" value="crane-loader'
+            f'(77)" />    <log4j:data name="log4jmachinename" value="{user}" />{extra}  '
             f'</log4j:properties></log4j:event>')
 
 
 # ------------------------------------------------------------------ csv
 
 def test_csv_one_line_without_header(spark, write_file, rows):
-    text = '2012-03-05 13:56:12;warn;Program;"Test message";TextException\r\n'
+    text = '2020-06-09 04:30:01;warn;Crane;"Hook is empty";HoistError\r\n'
     layout = CsvLayout(5, timestamp=0, level=1, logger=2, message=3, exception=4)
     df = csv.read_csv(spark, write_file(text), layout)
     assert rows(df, "idx", "offset", "length", "level", "logger", "message", "exception") == [
-        (0, 0, len(text), "Warn", "Program", "Test message", "TextException")]
+        (0, 0, len(text), "Warn", "Crane", "Hook is empty", "HoistError")]
 
 
 @pytest.mark.parametrize("delimiter", [";", ","])
@@ -48,11 +48,11 @@ def test_csv_header(spark, delimiter):
 
 def test_csv_lines_inside_quotes(spark, write_file, rows):
     header = "time;level;message;logger;exception\r\n"
-    record = '2012-01-01 00:00:00;Info;"Quoted \r\n field \r \n";Program;Exception\r\n'
+    record = '2018-02-03 00:00:00;Info;"Box \r\n by box \r \n";Crane;Exception\r\n'
     df = csv.read_csv(spark, write_file(header + record))
     assert rows(df, "offset", "length", "timestamp", "level", "message", "logger",
                 "exception") == [
-        (37, len(record), datetime(2012, 1, 1), "Info", "Quoted \r\n field \r \n", "Program",
+        (37, len(record), datetime(2018, 2, 3), "Info", "Box \r\n by box \r \n", "Crane",
          "Exception")]
 
 
@@ -116,23 +116,23 @@ def test_long_quoted_row(spark, write_file):
 # ------------------------------------------------------------------ log4j
 
 def test_log4j_two_events(spark, write_file, rows):
-    second = event("WARN", "1361281966808", "Ebo ohow aco inldrfb pameenegy.", "user2")
+    second = event("WARN", "1402909876600", "Set down on deck two.", "dock8")
     path = write_file(event() + second)
     df = log4j.read_log4j(spark, path)
-    assert rows(df, "idx", "offset", "length") == [(0, 0, 342), (1, 342, 347)]
+    assert rows(df, "idx", "offset", "length") == [(0, 0, len(event())), (1, len(event()), len(second))]
 
 
 def test_log4j_fields(spark, write_file, rows):
-    extra = '<log4j:data name="exception" value="TestException" />'
+    extra = '<log4j:data name="exception" value="CraneFault" />'
     path = write_file(event(extra=extra))
     df = log4j.read_log4j(spark, path, attributes=True)
     assert rows(df, "timestamp", "level", "logger", "thread", "message", "exception",
                 "attributes") == [
-        (datetime(2013, 2, 19, 13, 52, 47), "Info", "ConsoleApplication1.Program", "1",
-         "Istcua orojurf bysgurnl t.", "TestException",
-         {"log4japp": "ConsoleApplication1.exe(6512)", "log4jmachinename": "user1"})]
+        (datetime(2014, 6, 16, 9, 11, 17), "Info", "Harbour.Crane.Loader", "1",
+         "Lifted 14 of 20 boxes.", "CraneFault",
+         {"log4japp": "crane-loader(77)", "log4jmachinename": "dock7"})]
     exact = log4j.read_log4j(spark, path, precision="ms")
-    assert exact.first().timestamp == datetime(2013, 2, 19, 13, 52, 46, 733000)
+    assert exact.first().timestamp == datetime(2014, 6, 16, 9, 11, 16, 543000)
 
 
 def test_log4j_many_events_over_splits(spark, write_file, split_bytes):
@@ -140,7 +140,7 @@ def test_log4j_many_events_over_splits(spark, write_file, split_bytes):
     split_bytes(50_000)
     df = log4j.read_log4j(spark, path)
     got = df.agg(F.count("*"), F.countDistinct("idx"), F.max("idx"), F.min("length")).first()
-    assert tuple(got) == (1200, 1200, 1199, 342)
+    assert tuple(got) == (1200, 1200, 1199, len(event()))
 
 
 def test_log4j_odd_events(spark, write_file, rows):
@@ -149,8 +149,8 @@ def test_log4j_odd_events(spark, write_file, rows):
         + '<log4j:event logger="x" level="no"></log4j:event>' + event()[:100])
     df = log4j.read_log4j(spark, path)
     assert rows(df, "idx", "offset", "level", "message", "timestamp", "exception")[1:] == [
-        (2, 4 + 342 + 321 + 1, "Info", "a < b\nc", datetime(2013, 2, 19, 13, 52, 47), None),
-        (3, 4 + 342 + 321 + 1 + len(event(message="a &lt; b\r\nc")), None, None, None, None)]
+        (2, 4 + len(event() + event(message="<oops")) + 1, "Info", "a < b\nc", datetime(2014, 6, 16, 9, 11, 17), None),
+        (3, 4 + len(event() + event(message="<oops")) + 1 + len(event(message="a &lt; b\r\nc")), None, None, None, None)]
     kept = log4j.read_log4j(spark, path, on_malformed="keep")
     assert rows(kept, "idx", "malformed") == [(0, None), (1, "xml"), (2, None), (3, None)]
     assert log4j.read_log4j(spark, path, index=False).count() == 3
@@ -180,23 +180,23 @@ RULES = RuleSet(
     "stamped", start=STAMP, end=r"\r\n", timestamp_format="MM.dd.yyyyTHH:mm:ss", fields=(
         FieldRule("timestamp", STAMP, state_from="INITIAL", state_to="T"),
         FieldRule("level", "TRACE|DEBUG|INFO|WARN|ERROR|FATAL", state_from="T", state_to="L"),
-        FieldRule("message", r"[^\r\n]+", state_from="L")))
+        FieldRule("message", r"[^\r\n]+", state_from="L", state_to="END")))
 
 
 def test_rules(spark, write_file, rows):
-    path = write_file("01.01.2012T15:41:23 DEBUG Hello world!\r\n"
-                      "02.01.2012T10:23:03 WARN Bye bye!")
+    path = write_file("11.07.2019T08:15:42 DEBUG Anchor up!\r\n"
+                      "12.08.2019T21:04:59 WARN Engine off")
     df = rules.read_rules(spark, path, RULES)
     assert rows(df, "raw", "length", "timestamp", "level", "message") == [
-        ("01.01.2012T15:41:23 DEBUG Hello world!", 38, datetime(2012, 1, 1, 15, 41, 23), "Debug",
-         " Hello world!"),
-        ("02.01.2012T10:23:03 WARN Bye bye!", 33, datetime(2012, 2, 1, 10, 23, 3), "Warn",
-         " Bye bye!")]
+        ("11.07.2019T08:15:42 DEBUG Anchor up!", 36, datetime(2019, 11, 7, 8, 15, 42), "Debug",
+         " Anchor up!"),
+        ("12.08.2019T21:04:59 WARN Engine off", 35, datetime(2019, 12, 8, 21, 4, 59), "Warn",
+         " Engine off")]
 
 
 def test_rules_step_by_step_equals_one_pattern(spark, monkeypatch):
-    texts = [("01.01.2012T15:41:23 DEBUG Hello",), ("DEBUG x 01.01.2012T15:41:23",), ("x",),
-             ("01.01.2012T15:41:23",), ("WARN INFO a\nb",)]
+    texts = [("11.07.2019T08:15:42 DEBUG Hello",), ("DEBUG x 11.07.2019T08:15:42",), ("x",),
+             ("11.07.2019T08:15:42",), ("WARN INFO a\nb",)]
     df = spark.createDataFrame(texts, "raw string")
     loose = RuleSet("loose", "x", fields=(FieldRule("level", "INFO|WARN|DEBUG"),
                                           FieldRule("timestamp", STAMP),
@@ -210,6 +210,70 @@ def test_rules_step_by_step_equals_one_pattern(spark, monkeypatch):
         assert once == steps
 
 
+def fields_of(spark, ruleset, *texts):
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    return [r[0] for r in df.select(rules.extract_fields(F.col("raw"), ruleset)).collect()]
+
+
+def test_first_match_in_the_text_wins(spark):
+    late = RuleSet("late", "x", fields=(FieldRule("message", r"(?s)\S.*", state_from="TEXT"),
+                                        FieldRule("level", "[A-Z]+", state_from="INITIAL", state_to="TEXT")))
+    got, = fields_of(spark, late, "INFO hello")
+    assert (got.level, got.message) == ("INFO", "hello")
+    fork = RuleSet("fork", "x", fields=(
+        FieldRule("level", "ERROR", state_from="INITIAL", state_to="E"),
+        FieldRule("level", "WARN", state_from="INITIAL", state_to="W"),
+        FieldRule("exception", r"\S.*", state_from="E"), FieldRule("message", r"\S.*", state_from="W")))
+    got, = fields_of(spark, fork, "WARN disk then ERROR boom")
+    assert (got.level, got.message, got.exception) == ("WARN", "disk then ERROR boom", None)
+
+
+def test_rule_in_two_states_and_back_to_the_first(spark):
+    ruleset = RuleSet("cargo", "x", fields=(
+        FieldRule("logger", r"ship=(\w+)", 1, state_from="INITIAL", state_to="SHIP"),
+        FieldRule("thread", r"quay=(\w+)", 1, state_from=("INITIAL", "SHIP"), state_to="QUAY"),
+        FieldRule("message", r"say:[^;]+", state_from=("SHIP", "QUAY"), state_to="INITIAL")))
+    a, b, c = fields_of(spark, ruleset, "ship=Ada quay=4 say:one;", "quay=5 say:two; ship=Bea say:three;", "say:none")
+    assert (a.logger, a.thread, a.message) == ("Ada", "4", "say:one")
+    assert (b.logger, b.thread, b.message) == ("Bea", "5", "say:three")
+    assert (c.logger, c.thread, c.message) == (None, None, None)
+    many, = fields_of(spark, ruleset, "".join(f"ship=s{i} say:m{i};" for i in range(40)))
+    assert (many.logger, many.message) == ("s39", "say:m39")
+    assert RuleSet.from_json(ruleset.to_json()) == ruleset
+
+
+def test_longest_match_then_first_rule(spark):
+    ruleset = RuleSet("r", "x", fields=(FieldRule("level", "ab", state_from="INITIAL", state_to="X"),
+                                        FieldRule("message", "abc", state_from="INITIAL", state_to="X"),
+                                        FieldRule("thread", "xyz", state_from="INITIAL", state_to="X"),
+                                        FieldRule("logger", "x.z", state_from="INITIAL", state_to="X")))
+    a, b = fields_of(spark, ruleset, "abc", "xyz")
+    assert (a.level, a.message, b.thread, b.logger) == (None, "abc", "xyz", None)
+
+
+def test_several_records_on_a_line(spark, write_file, rows, split_bytes):
+    closed = RuleSet("brackets", r"\[", end=r"\]", fields=(FieldRule("message", r"(?s)\w.*"),))
+    text = "[a one][b two]\n[c three]\ntail [d\nfour] x [e"
+    for split in (5, 1000):
+        split_bytes(split)
+        df = rules.read_rules(spark, write_file(text), closed)
+        assert rows(df, "idx", "offset", "length", "message") == [
+            (0, 0, 6, "a one"), (1, 7, 6, "b two"), (2, 15, 8, "c three"), (3, 30, 7, "d\nfour"), (4, 41, 2, "e")]
+    split_bytes(1000)
+    open_ = RuleSet("hashes", "#", fields=(FieldRule("message", r"(?s)\w.*"),))
+    df = rules.read_rules(spark, write_file("#one\nmore #two#é three\nend\n", "b.log"), open_)
+    assert rows(df, "offset", "length", "message") == [(0, 10, "one\nmore "), (10, 4, "two"), (14, 14, "three\nend")]
+
+
+def test_payloads_of_several_records(spark):
+    df = spark.createDataFrame([(b'info;a\r\nwarn;"b\r\nc"\r\n',), (b"error;d",), (b"",)], "value binary")
+    got = from_payloads(df, "csv", CsvLayout(2, level=0, message=1)).select("level", "message").collect()
+    assert sorted(map(tuple, got)) == [("Error", "d"), ("Info", "a"), ("Warn", "b\r\nc")]
+    df = spark.createDataFrame([(b"lead <one>\n<two\nlines> <three>",)], "value binary")
+    ruleset = RuleSet("angles", "<", end=">", fields=(FieldRule("message", r"(?s)\w.*"),))
+    assert [r.message for r in from_payloads(df, "rules", ruleset).collect()] == ["one", "two\nlines", "three"]
+
+
 def test_rules_branching_states(spark):
     ruleset = RuleSet("branches", "x", fields=(
         FieldRule("level", "E:", state_from="INITIAL", state_to="ERR"),
@@ -253,7 +317,7 @@ def test_mixed_folder(spark, tmp_path, write_file):
     write_file("plain\n", "d/3.log")
     df = read_logs(spark, str(tmp_path / "d"))
     assert sorted((r.level or "", r.message) for r in df.collect()) == [
-        ("", "plain"), ("Info", "Istcua orojurf bysgurnl t."), ("Info", "a")]
+        ("", "plain"), ("Info", "Lifted 14 of 20 boxes."), ("Info", "a")]
     with pytest.raises(ValueError):
         read_logs(spark, str(tmp_path), quote="'")
     with pytest.raises(ValueError):

@@ -12,6 +12,7 @@ from sparklog.model import LEVELS
 from sparklog.operators import navigate, stats, status, views
 from sparklog.operators.numbering import dense_number
 from sparklog.operators.search import search
+from sparklog.sources.reader import read_logs
 
 RECORD = ("source string, idx bigint, timestamp timestamp_ntz, level string, logger string, "
           "message string, exception string")
@@ -132,7 +133,7 @@ def test_status(spark):
     assert [tuple(r.status) for r in seen] == [(1, True, 10), (2, True, 22)]
     df = spark.createDataFrame([("s", "A", 20), ("s", "B", 21), ("s", "B", 22)],
                                "source string, message string, progress int")
-    assert tuple(status.filtered_status(df, F.col("message") == "B").first()) == ("s", 2, 22)
+    assert tuple(status.filtered_status(df, F.col("message") == "B").first()) == ("s", 2, 22, True)
 
 
 # ------------------------------------------------------------------ statistics and navigation
@@ -276,3 +277,27 @@ def test_exception_lines(spark):
     assert values(spark, lambda c: exceptions.render_frame(exceptions.stack_frame(c)),
                   "  at A.B.C[T].<M>(X x) in /s/f.cs:line 7", "   at A.B.Run()", "text") == [
         "   at A.B.C[T].<M>(X x) in f.cs:line 7", "   at A.B.Run()", None]
+
+
+def test_null_keys_are_groups(spark):
+    rows = [(None, i, datetime(2024, 1, 1, 0, 0, i), "Error") for i in range(3)] + [("s", 0, datetime(2024, 1, 1), "Error")]
+    df = spark.createDataFrame(rows, "source string, idx long, timestamp timestamp_ntz, level string")
+    assert stats.debounced(df, "source", bucket=2).count() == 2
+    assert views.filtered_view(df, bucket=2).count() == 4
+    assert navigate.next_by_level(df, bucket=2).count() == 4
+
+
+def test_preview_keeps_the_order_of_lines(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"{i}.log").write_text("".join(f"{i}-{n}\n" for n in range(30)))
+    got = views.preview_lines(spark, str(tmp_path), 20).collect()
+    assert len(got) == 2400
+    assert all(r["line"].split("-")[1] == str(r["line_no"]) for r in got)
+
+
+def test_routing_of_names_with_pattern_characters(spark, tmp_path):
+    for name in ("a[1].log", "a1.log", "{b}.log", "c*.log", "d?.log", "e%20 f.log"):
+        (tmp_path / name).write_text(f"line of {name}\n")
+    (tmp_path / "z[2].log").write_text("level;message\ninfo;line of z\n")
+    got = sorted(r["message"] for r in read_logs(spark, str(tmp_path)).collect())
+    assert got == sorted([f"line of {n}" for n in ("a[1].log", "a1.log", "{b}.log", "c*.log", "d?.log", "e%20 f.log")] + ["line of z"])

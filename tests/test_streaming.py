@@ -100,16 +100,15 @@ def test_replaced_file_begins_anew(spark, tmp_path):
         (0, "new"), (0, "one"), (1, "two"), (2, "three")]
 
 
-def test_oversized_open_record(spark, tmp_path):
+def test_long_open_record_keeps_its_text(spark, tmp_path):
     path, out = tmp_path / "a.log", tmp_path / "out"
-    make = lambda: follow.follow_csv(on_malformed="keep", max_record_bytes=30)
     path.write_text('level;message\ninfo;"' + "x\n" * 40)
-    advance(spark, path, make(), out)
+    advance(spark, path, follow.follow_csv(on_malformed="keep"), out)
     path.write_text(path.read_text() + 'y"\nwarn;b\n')
-    advance(spark, path, make(), out)
+    advance(spark, path, follow.follow_csv(on_malformed="keep"), out)
     got = follow.read_written(spark, str(out)).orderBy("idx").collect()
     assert [(r.idx, r.offset, r.length, r.malformed, r.message) for r in got] == [
-        (0, 14, 89, "oversized", ""), (1, 103, 7, None, "b")]
+        (0, 14, 89, None, "x\n" * 40 + "y"), (1, 103, 7, None, "b")]
 
 
 @pytest.mark.parametrize("separator", ["\n", "<end>"])
