@@ -26,19 +26,19 @@ def running_status(segments: DataFrame) -> DataFrame:
 
 def write_latest(result: DataFrame, out: str) -> DataStreamWriter:
     """Keep the newest full result readable: each micro-batch writes the whole result to its
-    own folder, and ``read_latest`` takes the newest complete one."""
+    own folder, then its number, and ``read_latest`` takes the newest one that has a number."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        (batch.sparkSession.range(batch_id, batch_id + 1, 1, 1)
+         .write.mode("append").parquet(f"{out}/done"))
 
     return result.writeStream.outputMode("complete").foreachBatch(write)
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
     """Newest result of ``write_latest``: the value any late reader sees first."""
-    # Partition values come from folder names; the maximum needs no file content.
-    all_results = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
-    newest = all_results.agg(F.max("batch_id")).first()[0]
-    return all_results.where(F.col("batch_id") == newest).drop("batch_id")
+    newest = spark.read.schema("id bigint").parquet(f"{out}/done").agg(F.max("id")).first()[0]
+    return spark.read.parquet(f"{out}/batch_id={newest}")
 
 
 def write_level_index(records: DataFrame, out: str) -> DataStreamWriter:
