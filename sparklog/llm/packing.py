@@ -12,13 +12,15 @@ Every task packs the rows that it scans; nothing is shuffled, and no task needs
 A task holds the open sequences of its rows only: pieces are ids, not tokens.
 
 Tokenizers are read from a file by name; a word and the space before it are tokenized once per task
-and kept, in a table of bounded size.
+and kept, in a table of bounded size (see ``Tokens``).
 
 Defined results: a null text is empty, and an empty text is its end id alone; repeated rows are packed
 each for itself; other columns are not read; ids of sequences are unique, not consecutive; an empty
 table gives an empty one.
 """
 
+import string
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,39 +33,75 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "offset long, ids binary")
 END = 0
 _KEPT_WORDS = 300_000
+_PUNCTUATION = string.punctuation
+
+
+#: How byte-level tokenizers of this kind cut a text before they merge bytes. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The character that stands for each byte in such a vocabulary: itself where it can be printed, else
+    the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit numbers.
+    """Ids of texts as little-endian 32-bit numbers, as the tokenizer of a file gives them.
 
     A text is split before single spaces, where this kind of tokenizer always begins a new token, so
-    that pieces can be kept. A text with two spaces in a row is tokenized as a whole.
+    that pieces can be kept; so is a word before the punctuation at its end. New pieces are merged by
+    the tokenizer's ranks, pieces with a special token by the tokenizer itself. A text with two spaces in a
+    row is tokenized as a whole.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        byte_of = _byte_of()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        for t in self.special:
+            vocab.pop(t, None)
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kept: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        new = set()
-        for words in split:
-            if words:
-                new.update(words[1:])
-        new = sorted(new - self.kept.keys())
-        if len(self.kept) + len(new) > _KEPT_WORDS:
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _one(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranks.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word after a space."""
+        letters = word.rstrip(_PUNCTUATION)
+        if len(letters) == len(word) or not letters.isalpha():
+            return self._one(" " + word)
+        tail = word[len(letters):]
+        if tail not in self.tails:
+            if len(self.tails) > _KEPT_WORDS:
+                self.tails = {}
+            self.tails[tail] = self._one(tail)
+        if letters not in self.kept:
+            self.kept[letters] = self._one(" " + letters)
+        return self.kept[letters] + self.tails[tail]
+
+    def of(self, text: str) -> bytes:
+        if "  " in text:
+            return self._one(text)
+        if len(self.kept) > _KEPT_WORDS:
             self.kept.clear()
-            new = sorted({w for words in split if words for w in words[1:]})
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            self.kept.update(zip(part, self._encode([" " + w for w in part])))
-        whole = self._encode([t if words is None else words[0] for t, words in zip(texts, split)])
-        get = self.kept.__getitem__
-        return [first if words is None else first + b"".join(map(get, words[1:])) for first, words in zip(whole, split)]
+        first, *words = text.split(" ")
+        kept = self.kept
+        for w in set(words).difference(kept):
+            kept[w] = self._word(w)
+        return self._one(first) + b"".join(map(kept.__getitem__, words))
 
 
 class Packer:
@@ -174,17 +212,14 @@ def _pack(path: str, size: int, with_ids: bool, powers_of_two: bool):
 
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            doc_ids = batch.column(0)
-            for first in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1).slice(first, 256).to_pylist()]
-                for doc_id, ids in zip(doc_ids.slice(first, 256).to_pylist(), tokens.of(texts)):
-                    ids += end
-                    total = len(ids) // 4
-                    full = total // size * size
-                    for start in range(0, full, size):
-                        done.append([((doc_id, start, ids[4 * start:4 * (start + size)], total), size)])
-                    if full < total:
-                        packer.place((doc_id, full, ids[4 * full:], total), total - full)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = tokens.of(text.as_py() or "") + end
+                total = len(ids) // 4
+                full = total // size * size
+                for start in range(0, full, size):
+                    done.append([((doc_id, start, ids[4 * start:4 * (start + size)], total), size)])
+                if full < total:
+                    packer.place((doc_id, full, ids[4 * full:], total), total - full)
                 if len(done) >= 4096:
                     yield results()
         packer.close(_cut, powers_of_two)

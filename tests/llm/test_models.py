@@ -166,7 +166,7 @@ def test_toxicity_of_odd_rows(docs, no_docs, spark):
 
 # ------------------------------------------------------------------ packing
 
-SPACED = ["a  b", " a", "a ", "a\n b", "a \nb", "\n\n a", "a   b", "\t x", "it's <|endoftext|> here<|endoftext|> x", " ", "  ", "x" * 9000]
+SPACED = ["a  b", " a", "a ", "a\n b", "a \nb", "\n\n a", "a   b", "\t x", "it's <|endoftext|> here<|endoftext|> x", "don't stop' 's x's. y'll, z'!! a.b c..d e\u0301. f² 12. _a_ é, ´a` <|endoftext|>. \u00a0b \u2003 c", " ", "  ", "x" * 9000]
 
 
 @pytest.mark.parametrize("size, powers", [(64, True), (64, False), (1024, True)])
