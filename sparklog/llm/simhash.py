@@ -271,12 +271,16 @@ def as_hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the near-duplicates: of each component the row with the smallest doc_id stays,
+def keep_first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each ``label`` of ``found`` (doc_id, text_md5, label), the row of ``docs`` with the smallest doc_id stays,
     and the smallest digest of the text among rows of that id. A null id comes last."""
-    found = near_duplicates(docs, **options)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
     stays = found.groupBy("label").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.text_md5").alias("_m"))
     return (docs.withColumn("_md5", F.md5(whole("text")))
             .join(stays, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_md5") == F.col("_m")), "left_semi")
             .dropDuplicates(["doc_id", "_md5"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the near-duplicates; of each component the row stays that ``keep_first_of`` says."""
+    return keep_first_of(docs, near_duplicates(docs, **options))
