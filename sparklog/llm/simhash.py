@@ -138,17 +138,16 @@ class GrayIndex:
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of each node's component under the links a-b."""
     label = np.arange(n)
-    while len(a):
+    while True:
+        # Labels are roots here. Only roots are hooked, so ends that have met stay together.
         la, lb = label[a], label[b]
-        low = np.minimum(la, lb)
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        label = label[label]
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-    while (label != label[label]).any():
-        label = label[label]
-    return label
+        apart = la != lb
+        if not apart.any():
+            return label
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label != label[label]).any():
+            label = label[label]
 
 
 def local_links(keys: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

@@ -88,6 +88,29 @@ def test_long_chain_is_one_component(spark):
     assert all(labels[i] == 0 for i in range(301)) and labels[1001] == 1000
 
 
+def test_permuted_chains_are_one_component():
+    path = [0, 9, 3, 6, 5, 4, 7, 2, 8, 1]
+    assert not simhash._roots(np.array(path[:-1]), np.array(path[1:]), 10).any()
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(2, 60))
+        path, order = rng.permutation(n), rng.permutation(n - 1)
+        assert not simhash._roots(path[:-1][order], path[1:][order], n).any()
+    # Neighbours of a chain are two bits apart, all others more; its order is not the index's.
+    for _ in range(30):
+        chain, p = [], 0
+        for bits in rng.permutation(48)[:46].reshape(-1, 2):
+            chain.append(p)
+            p ^= int((1 << int(bits[0])) | (1 << int(bits[1])))
+        prints = np.array(chain, np.uint64)[rng.permutation(len(chain))]
+        a, b = simhash.local_links(np.zeros(len(prints), np.int64), prints, 2)
+        roots = _components(chain, 0)
+        for x, y in zip(a.tolist(), b.tolist()):
+            low, high = sorted((roots[x], roots[y]))
+            roots = {k: low if v == high else v for k, v in roots.items()}
+        assert len(set(roots.values())) == 1
+
+
 def test_one_of_each_group_stays(docs, no_docs):
     out = simhash.keep_first(docs)
     assert out.columns == docs.columns
