@@ -2,8 +2,9 @@
 
 Vectors get one more component, ``sqrt(M^2 - |x|^2)`` with M the largest length, and queries a zero
 there: the nearest by distance is then the one of largest inner product. Equal vectors are one
-node, which knows its smallest ids. Nodes are dealt into shards of bounded size by their hash, and
-each shard becomes a graph: points are added in batches of growing size, a greedy beam search from the medoid
+node, which knows its smallest ids. Nodes are dealt into shards of bounded size by bands of their lengths, a
+factor of 16 each, and by their hash. M is the shard's own, and its vectors are divided by it, so that lengths far apart
+cost no precision. Each shard becomes a graph: points are added in batches of growing size, a greedy beam search from the medoid
 over the graph so far proposes neighbours, and relaxed pruning keeps a neighbour only if no kept one
 is nearer to it than ``1 / alpha`` of its distance, so that edges stay diverse. Edges go both ways and are
 pruned again where a node has too many.
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import scratch
+from .text import let
 
 
 # ------------------------------------------------------------------ graphs
@@ -156,6 +158,33 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by the largest component of all, and their lengths: no square overflows."""
+    x = x / np.abs(x).max()
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def _points(x: np.ndarray) -> np.ndarray:
+    x, size = _lengths(x)
+    size, x = size / size.max(), x / size.max()
+    return np.concatenate([x, np.sqrt(np.maximum(1 - size * size, 0))[:, None]], axis=1).astype(np.float32)
+
+
+def _asked(q: np.ndarray) -> np.ndarray:
+    """Queries of length 1 in the graph's space; their order of the nodes is the same."""
+    q = q / np.abs(q).max(axis=1)[:, None]
+    q = q / np.sqrt((q * q).sum(axis=1))[:, None]
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+
+
+def _band(v: Column) -> Column:
+    """The power of 16 that is next to a vector's length."""
+    def of(most):
+        square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+        return F.floor((F.log2(most) + F.log2(square) / 2) / 4 + 0.5)
+    return let(F.array_max(F.transform(v, F.abs)), of)
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int = 8_192, block_rows: int = 4_096,
             degree: int = 32, beam: int = 96, alpha: float = 1.2) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for the rows of ``vectors`` (vec_id,
@@ -163,27 +192,27 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v")).where(
         F.col("vec_id").isNotNull() & usable(F.col("v")))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     # Of equal vectors, the smallest ids: the limit works before the shuffle.
     first = rows.distinct().withColumn("_n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
-    nodes = scratch.write_table(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(square), F.lit(0.0)).alias("longest")).first()
-    n_shards, longest = max(1, -(-size["n"] // shard_rows)), size["longest"]
-    shard = F.concat_ws(":", F.size("v").cast("string"), F.pmod(F.xxhash64("v"), F.lit(n_shards)).cast("string"))
+    nodes = scratch.write_table(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("size", F.size("v")).withColumn(
+        "band", _band(F.col("v"))), "nodes")
+    # One row for each length of vectors and power of 16.
+    bands = scratch.write_table(nodes.groupBy("size", "band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("n_shards")), "bands")
+    name = lambda number: F.concat_ws(":", *[x.cast("string") for x in (F.col("size"), F.col("band"), number)])
+    dealt = nodes.join(F.broadcast(bands), ["size", "band"]).select("v", "ids", name(F.pmod(F.xxhash64("v"), F.col("n_shards"))).alias("shard"))
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf["v"])
         # An order of its own, whatever order the shuffle brings the rows in.
         order = np.lexsort(x.T[::-1])
         pdf, x = pdf.iloc[order].reset_index(drop=True), x[order]
-        points = np.concatenate([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
-        edges, entry = build_graph(points, degree, beam, alpha)
+        edges, entry = build_graph(_points(x), degree, beam, alpha)
         pdf["node"] = np.arange(len(x))
         pdf["edges"] = list(edges.astype(np.int32))
         pdf["entry"] = entry
         return pdf[["shard", "node", "v", "ids", "edges", "entry"]]
 
-    index = scratch.write_table(nodes.withColumn("shard", shard).groupBy("shard").applyInPandas(
+    index = scratch.write_table(dealt.groupBy("shard").applyInPandas(
         graph, "shard string, node long, v array<double>, ids array<long>, edges array<int>, entry long"), "graphs")
     asked = scratch.write_table(rows.where(queries).distinct().withColumnRenamed("vec_id", "query_id"), "queries")
     n_blocks = max(1, -(-asked.count() // block_rows))
@@ -193,12 +222,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
             return pd.DataFrame({"query_id": [], "ids": [], "score": []}, dtype=object)
         graph = graph.sort_values("node")
         x, edges, entry = _matrix(graph["v"]), np.stack(graph["edges"].to_numpy()).astype(np.int64), int(graph["entry"].iloc[0])
-        points = np.concatenate([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
+        points = _points(x)
         ids, parts = graph["ids"].to_numpy(), []
         for begin in range(0, len(ask), 512):
             part = ask.iloc[begin:begin + 512]
             q = _matrix(part["v"])
-            found, _ = beam_search(points, edges, entry, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), beam)
+            found, _ = beam_search(points, edges, entry, _asked(q), beam)
             score = np.where(found >= 0, np.einsum("qcd,qd->qc", x[found], q), -np.inf)
             top = np.argsort(-score, axis=1, kind="stable")[:, :k + 1]
             found, score = np.take_along_axis(found, top, 1), np.take_along_axis(score, top, 1)
@@ -207,9 +236,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
         return pd.concat(parts)
 
     blocks = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    shards = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda i: F.concat_ws(":", F.size("v").cast("string"), i.cast("string")))
-    ask = (asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-           .select("query_id", "v", "block", F.explode(shards).alias("shard")))
+    shards = bands.select("size", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1), name)).alias("shard"))
+    ask = (asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn("size", F.size("v"))
+           .join(F.broadcast(shards), "size").select("query_id", "v", "block", "shard"))
     found = (index.select("*", F.explode(blocks).alias("block")).groupBy("shard", "block")
              .cogroup(ask.groupBy("shard", "block")).applyInPandas(search, "query_id long, ids array<long>, score double"))
     each = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")

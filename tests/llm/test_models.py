@@ -378,6 +378,22 @@ def test_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("length", [3e4, 3e38])
+def test_one_huge_vector_hides_no_others(spark, length):
+    x = _vectors().astype(float)
+    x[555] *= length / np.abs(x[555]).max()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, hit = {}, 0
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    for q in range(0, 900, 20):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:20]
+        assert len(got[q]) == 20 and all(v == pytest.approx(s[i], rel=1e-12) for i, v in got[q].items())
+        hit += len(set(got[q]) & set(want))
+    assert hit >= 0.95 * 20 * 45
+
+
 def test_copies_go_to_the_smallest_ids(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(60, [2.0, 1.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 40).orderBy("rank").collect()
