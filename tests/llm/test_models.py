@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -316,6 +317,18 @@ def test_states_cross_windows_and_probabilities_add_up():
         at += n
 
 
+def test_memory_follows_tokens_beside_one_long_text():
+    net = lm.Network(head=10, hidden=4, bin_size=4)
+    lengths = np.array([20_000] + [2] * 511)
+    ids = np.random.default_rng(2).integers(0, 10 + lm._FORMS, lengths.sum())
+    tracemalloc.start()
+    got = lm.run(net, ids, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Steps times lanes would take 92 MB.
+    assert peak < 10e6 and (got < 0).all()
+
+
 def test_scores(docs, no_docs):
     rows = make_docs()
     got = lm.score(docs, head=24, hidden=8, epochs=2, window=8).collect()
