@@ -5,6 +5,7 @@ import math
 import random
 import re
 import tracemalloc
+import uuid
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -346,6 +347,26 @@ def test_scores(docs, no_docs):
     assert lm.score(no_docs).count() == 0
 
 
+def test_training_takes_every_token(spark, monkeypatch, tmp_path):
+    # One text longer than the former limit of tokens, and more documents than the former limit.
+    docs = spark.createDataFrame([(i, "a b") for i in range(4_500)] + [(5_000, "x y z " * 520_000)], "doc_id long, text string").repartition(3)
+    learned = docs.where(~lm.held_out())
+    want = learned.count() + learned.selectExpr("sum(size(split(trim(text), ' ')))").first()[0]
+    assert learned.where("doc_id = 5000").count() == 1
+
+    def count(net, ids, lengths, *_):
+        assert len(ids) == lengths.sum()
+        (tmp_path / uuid.uuid4().hex).write_text(f"{len(lengths)} {len(ids)}")
+    monkeypatch.setattr(lm, "train", count)
+    parts = lm.split_corpus(docs)
+    # In this process, as the workers don't see the replaced function.
+    monkeypatch.setattr(type(parts), "mapInArrow", lambda frame, f, schema: spark.createDataFrame(
+        [(b.column(0)[0].as_py(),) for b in f(pa.Table.from_pylist([r.asDict() for r in frame.collect()]).to_batches())], schema))
+    lm.fit(parts, ["a", "b", "\n"], np.ones(1 + lm._FORMS), want, 4, 32, 2)
+    seen = np.array([[int(x) for x in f.read_text().split()] for f in tmp_path.iterdir()])
+    assert seen.sum(axis=0).tolist() == [2 * learned.count(), 2 * want]
+
+
 def test_unseen_texts_are_likelier_than_by_single_words(spark):
     rng = random.Random(8)
     follow = {f"w{i}": [f"w{(3 * i + j) % 40}" for j in range(2)] for i in range(40)}
