@@ -1,6 +1,7 @@
 """SimHash, chat, toxicity, packing, the language model and the graph search."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -347,6 +348,11 @@ def test_scores(docs, no_docs):
     assert lm.score(no_docs).count() == 0
 
 
+def test_sizes_of_the_model():
+    sizes = {k: p.default for k, p in inspect.signature(lm.score).parameters.items()}
+    assert (sizes["head"], sizes["hidden"], sizes["epochs"]) == (2_048, 32, 3)
+
+
 def test_training_takes_every_token(spark, monkeypatch, tmp_path):
     # One text longer than the former limit of tokens, and more documents than the former limit.
     docs = spark.createDataFrame([(i, "a b") for i in range(4_500)] + [(5_000, "x y z " * 520_000)], "doc_id long, text string").repartition(3)
