@@ -43,7 +43,8 @@ KINDS = (*BASE, "account", "name")
 CANDIDATES = (
     ("email", r"(?i)[(\[{]\s?at\s?[)\]}]",
      r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\s?[(\[{]\s?at\s?[)\]}]\s?[a-z0-9-]{1,63}(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[a-z0-9-]{1,63}){1,4}"),
-    ("phone", r"[0-9]{3}[\x20.-][0-9]{4}|[0-9]{4}[\x20/-][0-9]{5}",
+    # What the pattern needs in every match.
+    ("phone", r"[0-9]{2}(?:\)\x20?|[\x20./-])[0-9]{3,5}[\x20.-]?[0-9]{3}",
      r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,5}[\x20.-]?[0-9]{3,5}(?![0-9.-])"),
     ("account", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("name", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora)\b",

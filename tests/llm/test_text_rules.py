@@ -100,6 +100,13 @@ def test_base_spans_like_plain_python(spark):
     assert ("email", 7) in added and ("phone", 7) in added
 
 
+def test_phone_candidates_alone_in_a_document(spark):
+    numbers = ["(089) 123456", "(089)123456", "089/1234567", "030/123 456", "12 345678", "212.555-0187"]
+    rows = [(f"call {n} today",) for n in numbers]
+    got = spark.createDataFrame(rows, "text string").select(pii.candidate_spans(F.col("text")).alias("c")).collect()
+    assert [[x["s"] for x in r["c"] if x["kind"] == "phone"] for r in got] == [[n] for n in numbers]
+
+
 def test_redaction(spark, no_docs):
     rows = [(1, "to x@y.de, 1.2.3.4!", 19), (2, "nothing", 7), (3, None, None)]
     out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
