@@ -35,4 +35,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back from there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete what ``write_table`` wrote, once nothing will read ``table`` again."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
