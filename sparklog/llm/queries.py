@@ -5,7 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, lm, mixing, packing, pii, quality, simhash, suffix, toxicity
+from . import ann, chat, clusters, codes, lm, mixing, oracles, packing, pii, quality, sharding, simhash, suffix, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -133,6 +133,35 @@ def op4_repeats(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query
+def op11_vector_codes(spark, sf_dir):
+    found, books = codes.fit(table(spark, sf_dir, "embeddings"))
+    if books is None:
+        return codes.with_errors(found).select("vec_id", F.lit(None).cast("string").alias("code"), "error", "label_error",
+                                               F.lit(None).cast("string").alias("codebooks_sha256"))
+    return codes.with_errors(found).select("vec_id", codes.as_hex(F.col("code"), books.parts).alias("code"), "error", "label_error",
+                                           F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+ORACLES["op11_vector_codes"] = oracles.vector_codes()
+
+
+@query
+def op12_sharding(spark, sf_dir):
+    text, doc_id = F.col("record.text"), F.col("record.doc_id")
+    return sharding.shards(table(spark, sf_dir, "documents")).select(
+        doc_id.alias("doc_id"), sharding.record_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_clusters(spark, sf_dir):
+    return clusters.with_inertia(*clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op13_clusters"] = oracles.clusters()
+
+
 @query
 def pipeline(spark, sf_dir):
     # The stages import this module.
