@@ -5,8 +5,8 @@ Parquet and read again. All but the last return the columns of ``documents``:
 
 * ``toxicity`` drops documents that the classifier rejects. It learns from the table ``labels`` and the stage's own
   documents.
-* ``near_duplicates`` keeps one document of each component, the one of the smallest id. Links are pairs whose sets of
-  five-word shingles have a Jaccard similarity of 0.8 or more, each confirmed by the sets.
+* ``near_duplicates`` keeps one document of each component, the one of the smallest id. Links are pairs of SimHash
+  fingerprints of three-word shingles that differ in two bits at most, as in the operator's own query.
 * ``personal_data`` replaces each span by its kind in brackets.
 * ``mixing`` makes the text of each document the words that the mix takes of it, so often as it takes them, and
   drops those of which it takes nothing.
@@ -18,7 +18,7 @@ The other stages have the parameters of the operators' own queries. ``n_chars``
 from pyspark.sql import DataFrame, SparkSession
 
 from sparklog import scratch
-from sparklog.llm import mixing, packing, pii, similar, toxicity
+from sparklog.llm import mixing, packing, pii, simhash, toxicity
 from sparklog.llm.queries import table, tokenizer
 
 #: SQL can't express the classifier, the components or the tokenizer: the stages are tested against brute force.
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_first(docs)
+    return simhash.keep_first(docs, shingle=3, limit=2)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
