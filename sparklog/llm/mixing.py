@@ -136,19 +136,20 @@ def take(sizes: DataFrame, share: float, most: float, block: int, shard_words: i
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has them: the text holds the words taken, so often as they are taken, and
     documents of which nothing is taken are gone. A part of a document is its first words, with the
-    white space between them; copies are joined by a line break."""
-    keyed = docs.withColumn("_text", whole("text"))
-    taken = mix(docs, **options).groupBy("doc_id", "size", "source").agg(F.max("taken").alias("taken"))
-    t = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken")
-    joined = keyed.withColumn("_size", word_count(F.col("_text"))).join(
-        t, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    copies = F.floor(F.col("taken") / F.col("_size")).cast("int")
-    rest = (F.col("taken") % F.col("_size")).cast("int")
+    white space between them; copies are joined by a line break. ``n_chars`` follows the text; other columns, of any
+    name, stay as they are."""
+    taken = mix(docs, **options).groupBy("doc_id", "size", "source").agg(F.max("taken").alias("taken")).select(
+        F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("size").alias("taken_size"), "taken")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col("doc_id").cast("long").alias("own_id"),
+                       F.col("source").cast("string").alias("own_source"), whole("text").alias("whole"))
+    joined = rows.withColumn("size", word_count(F.col("whole"))).join(
+        taken, F.col("own_id").eqNullSafe(F.col("taken_id")) & F.col("own_source").eqNullSafe(F.col("taken_source")) & (F.col("size") == F.col("taken_size")))
+    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
     # Each piece ends where a word ends.
-    pieces = F.split("_text", rf"(?<={WORD})(?={SPACE})")
+    pieces = F.split("whole", rf"(?<={WORD})(?={SPACE})")
     part = F.array_join(F.slice(pieces, F.lit(1), rest), "")
-    text = F.array_join(F.concat(F.array_repeat("_text", copies), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>"))), "\n")
-    out = joined.where("taken > 0").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.array_join(F.concat(F.array_repeat("whole", copies), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>"))), "\n")
+    out = joined.where("taken > 0").withColumn("mixed", text)
+    changed = {"text": F.col("mixed")} | ({"n_chars": F.length("mixed").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[changed.get(c, F.col("record")[c]).alias(c) for c in docs.columns])

@@ -265,36 +265,56 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _running_max(values: Column, block: int = 256) -> Column:
+    """Largest of the first 1, 2, ... elements of an array that is cheap to refer to; blocks bound the work per element."""
+    n_blocks = F.ceil(F.size(values) / block).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.array_max(F.slice(values, j * block + 1, block)))
+
+    def reach(tops):
+        of_block = lambda i: F.floor(i / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.greatest(
+            F.array_max(F.slice(tops, F.lit(1), of_block(i))), F.array_max(F.slice(values, of_block(i) * block + 1, i % block + 1))))
+    return let(tops, reach)
+
+
+def _cuts(spans: Column) -> Column:
+    """Spans in order of their start, those that overlap as one, named after the first."""
+    def with_reach(ends):
+        return let(_running_max(ends), lambda reach: let(
+            F.filter(F.sequence(F.lit(0), F.size(reach) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1))),
+            lambda first: F.transform(first, lambda f, k: F.struct(
+                F.get(spans, f)["start"].alias("start"),
+                F.get(reach, F.coalesce(F.get(first, k + 1), F.size(reach)) - 1).alias("end"), F.get(spans, f)["kind"].alias("kind")))))
+    return let(F.transform(spans, lambda x: x["end"]), with_reach)
+
+
+def _replaced(text: Column, cuts: Column, block: int = 256) -> Column:
+    """``text`` with each cut replaced. A substring counts characters from the begin of its string, so the text is first
+    divided into stretches of ``block`` cuts."""
+    end_before = lambda k: F.when(k > 0, F.get(cuts, k - 1)["end"]).otherwise(0)
+    piece = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def stretch(j):
+        part, origin = F.slice(cuts, j * block + 1, block), end_before(j * block)
+        return let(F.struct(piece(text, origin, F.element_at(part, -1)["end"]).alias("t"), part.alias("p"), origin.alias("o")), lambda s: F.array_join(
+            F.transform(s["p"], lambda c, i: F.concat(
+                piece(s["t"], F.when(i > 0, F.get(s["p"], i - 1)["end"]).otherwise(s["o"]) - s["o"], c["start"] - s["o"]),
+                F.lit("["), F.upper(c["kind"]), F.lit("]"))), ""))
+    n = F.ceil(F.size(cuts) / block).cast("int")
+    tail = F.substring(text, (end_before(F.size(cuts)) + 1).cast("int"), F.length(text))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), stretch), ""), tail)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets. Spans that overlap are replaced as
-    one, named after the first."""
-    found = detect(docs, text)
-    spans = F.sort_array(F.transform(F.concat("spans.base", "spans.added"), lambda x: F.struct(
+    one, named after the first. ``n_chars`` follows the text; other columns, of any name, stay as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(f"`{text}`").alias("text"))
+    in_place = F.sort_array(F.transform(F.concat("spans.base", "spans.added"), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    # The end of all spans so far: with spans in order of start, those that begin before it are parts of it.
-    t = whole(f"`{text}`")
-    def cut(s):
-        reach = lambda i: F.array_max(F.transform(F.slice(s, F.lit(1), i + 1), lambda x: x["end"]))
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= reach(i - 1)))
-        def joined(first):
-            last = lambda k: F.when(k + 1 < F.size(first), F.get(first, k + 1) - 1).otherwise(F.size(s) - 1)
-            begin = lambda k: F.get(s, F.get(first, k))["start"]
-            pieces = F.transform(F.sequence(F.lit(0), F.size(first) - 1), lambda k: F.concat(
-                F.substring(t, (F.when(k > 0, reach(last(k - 1))).otherwise(0) + 1).cast("int"),
-                            (begin(k) - F.when(k > 0, reach(last(k - 1))).otherwise(0)).cast("int")),
-                F.lit("["), F.upper(F.get(s, F.get(first, k))["kind"]), F.lit("]")))
-            tail = F.substring(t, (reach(F.size(s) - 1) + 1).cast("int"), F.length(t))
-            return F.concat(F.array_join(pieces, ""), tail)
-        return let(first, joined)
-    out = found.withColumn("_sorted", spans)
-    replaced = F.when(F.size("_sorted") > 0, let(F.col("_sorted"), cut)).otherwise(F.col(f"`{text}`"))
-    out = out.withColumn("_new", replaced)
-    columns = []
-    for c in docs.columns:
-        if c == text:
-            columns.append(F.col("_new").alias(text))
-        elif c == "n_chars":
-            columns.append(F.when(F.size("_sorted") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars")).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return out.select(*columns)
+    found = detect(rows).withColumn("in_place", in_place)
+    some = F.size("in_place") > 0
+    new = F.when(some, let(F.col("in_place"), lambda s: let(_cuts(s), lambda cuts: _replaced(F.col("text"), cuts))))
+    found = found.select("record", some.alias("some"), F.explode(F.array(new)).alias("new"))
+    old = lambda c: F.col("record")[c]
+    changed = {text: F.col("new")} | ({"n_chars": F.length("new").cast("long")} if "n_chars" in docs.columns else {})
+    return found.select(*[(F.when(F.col("some"), changed[c]).otherwise(old(c)) if c in changed else old(c)).alias(c) for c in docs.columns])

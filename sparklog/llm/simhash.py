@@ -272,12 +272,14 @@ def as_hex(bits: Column) -> Column:
 
 def keep_first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of each ``label`` of ``found`` (doc_id, text_md5, label), the row of ``docs`` with the smallest doc_id stays,
-    and the smallest digest of the text among rows of that id. A null id comes last."""
+    and the smallest digest of the text among rows of that id. A null id comes last. Rows are carried as one
+    struct, so columns of any name come back as they were."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    stays = found.groupBy("label").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.text_md5").alias("_m"))
-    return (docs.withColumn("_md5", F.md5(whole("text")))
-            .join(stays, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_md5") == F.col("_m")), "left_semi")
-            .dropDuplicates(["doc_id", "_md5"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    stays = found.groupBy("label").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("stays_id"), F.col("f.text_md5").alias("stays_md5"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col("doc_id").alias("own_id"),
+                       F.md5(whole("text")).alias("own_md5"))
+    return (rows.join(stays, F.col("own_id").eqNullSafe(F.col("stays_id")) & (F.col("own_md5") == F.col("stays_md5")), "left_semi")
+            .dropDuplicates(["own_id", "own_md5"]).select("record.*"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -190,7 +190,6 @@ def held_out(parts: int = 5):
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that the classifier calls toxic."""
-    columns = docs.columns
-    scored = score(docs, fit(docs, labels, ~held_out(), **options))
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in columns])
+    """``docs`` without those that the classifier calls toxic; their columns, of any name, stay as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), "text")
+    return score(rows, fit(docs, labels, ~held_out(), **options)).where("predicted = 0").select("record.*")

@@ -114,6 +114,22 @@ def test_redaction(spark, no_docs):
     assert pii.redact(no_docs).count() == 0
 
 
+def test_redaction_of_many_spans_and_of_columns_with_clashing_names(spark):
+    text = "".join(f"é w{i} a{i}@b.de, 10.0.0.{i % 200} 🙂" for i in range(3000))
+    rows = [(1, text, 5, 1, 2, 3), (2, "x", 5, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, record int, in_place int, new int")
+    out = {r["doc_id"]: tuple(r) for r in pii.redact(df).collect()}
+    assert out[1] == (1, "".join(f"é w{i} [EMAIL], [IP] 🙂" for i in range(3000)), 5, 1, 2, 3) and out[2] == rows[1]
+
+
+def test_overlapping_spans_are_one_cut(spark):
+    spans = [(0, 4, "a"), (2, 9, "b"), (3, 5, "c"), (9, 12, "d"), (20, 21, "e")] + [(30 + 2 * i, 31 + 2 * i, "f") for i in range(600)]
+    df = spark.createDataFrame([(spans, "x" * 1300)], "s array<struct<start:long,end:long,kind:string>>, t string")
+    row = df.select(pii._cuts(F.col("s")).alias("c"), pii._replaced(F.col("t"), pii._cuts(F.col("s"))).alias("r")).first()
+    assert [tuple(c) for c in row["c"]] == [(0, 9, "a"), (9, 12, "d"), (20, 21, "e")] + spans[5:]
+    assert row["r"] == "[A][D]" + "x" * 8 + "[E]" + "x" * 9 + "[F]x" * 600 + "x" * (1300 - 30 - 1200)
+
+
 def test_reliabilities_and_classifier():
     # Good labelers agree on the first pattern, and on its absence in the second.
     rows = [((1, 1, 1, 0, 0), 3, 80), ((-1, -1, 0, -1, 0), 3, 200), ((1, 1, 0, 0, 1), 2, 100), ((1, -1, 0, 0, 0), 3, 10)]
@@ -186,6 +202,9 @@ def test_mixed_texts(docs, no_docs, by_id):
         else:
             words = _WORDS.findall(source[i])
             assert _WORDS.findall(rows[i]["text"]) == (words * 3)[:n] and rows[i]["n_chars"] == len(rows[i]["text"])
+    clash = docs.where("doc_id < 100").withColumns({c: F.lit(c) for c in ("size", "taken", "record", "whole", "own_id", "mixed")})
+    assert {tuple(r) for r in mixing.apply_mix(clash, block=8).collect()} == {
+        (*r, "size", "taken", "record", "whole", "own_id", "mixed") for r in map(tuple, rows.values())}
     assert mixing.mix(no_docs).count() == 0 and mixing.apply_mix(no_docs).count() == 0
 
 
