@@ -116,11 +116,12 @@ def _field(fields: Column, position: Column | int | None) -> Column:
     return F.coalesce(F.get(fields, position), F.lit(""))
 
 
-def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '"',
+def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame | None, quote: str = '"',
               time_patterns: tuple = (), on_malformed: str = "drop",
               delimiter: str | None = None) -> DataFrame:
     """Fields to record columns. ``layout`` is explicit or the table made by
-    ``header_layout`` (for the same ``delimiter``) with a ``layout`` number to join on."""
+    ``header_layout`` (for the same ``delimiter``) with a ``layout`` number to join on; without one
+    the segments have that table's columns themselves."""
     fields = F.col("fields")
     if isinstance(layout, CsvLayout):
         df = with_once(segments, "fields", split_fields(F.col("raw"), layout.delimiter, quote))
@@ -129,7 +130,7 @@ def parse_csv(segments: DataFrame, layout: CsvLayout | DataFrame, quote: str = '
         pairs = [x for name, i in layout.attributes.items() for x in (F.lit(name), _field(fields, i))]
         attributes = F.create_map(*pairs) if pairs else F.lit(None)
     else:
-        df = join_small(segments, layout, "layout", "inner")
+        df = segments if layout is None else join_small(segments, layout, "layout", "inner")
         df = with_once(df, "fields", F.coalesce(*[
             F.when(F.col("delimiter") == d, split_fields(F.col("raw"), d, quote))
             for d in ((delimiter,) if delimiter else DELIMITERS)]))

@@ -16,6 +16,8 @@ from .common import apply_malformed_policy, strip_cr, to_records, with_once
 SLOTS = ("timestamp", "level", "logger", "thread", "message", "exception")
 # Only \n ends a line.
 _DIALECT = "(?d)"
+# A line break that a pattern asks for by itself: outside of sets and of what is to be absent.
+_BREAK = re.compile(r"(?:(?<=[^\\])|^)(?:\\\\)*(?:\\[nR]|\n)(?![^\[\]]*\])")
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,10 @@ class FieldRule:
 
 @dataclass(frozen=True)
 class RuleSet:
-    """``start`` opens a record at each of its matches in a line. ``end`` (not part of the record)
-    closes it; without ``end`` a record lasts until the next start. A match of either lies in one
-    line, its break included. ``definitions`` are named patterns, used as ``{name}`` in all others."""
+    """``start`` opens a record at each of its matches in a line; it may look at the text around it in that line.
+    ``end`` (not part of the record) closes it; without ``end`` a record lasts until the next start. An end is looked
+    for from the start on and lies in one line, its break included. A start with a line break is refused.
+    ``definitions`` are named patterns, used as ``{name}`` in all others."""
 
     name: str
     start: str
@@ -60,6 +63,8 @@ class RuleSet:
             raise ValueError(f"unknown slots {unknown}; use {SLOTS}")
         for pattern in (self.start, self.end or "", *[f.pattern for f in self.fields]):
             self.expand(pattern)
+        if _BREAK.search(self.expand(self.start)):
+            raise ValueError("a start lies in one line, so its pattern can't hold a line break")
 
     def expand(self, pattern: str) -> str:
         """Replace ``{name}`` by its definition; repetition counts such as ``{2}`` stay."""
@@ -94,22 +99,30 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _pieces(text: Column, rules: RuleSet) -> Column:
-    """A text cut in front of every start; what is before the first one comes first, if anything."""
-    start = _DIALECT + rules.expand(rules.start)
-    found = F.regexp_extract_all(text, F.lit(start), F.lit(0))
+#: Characters that no text should hold; they mark the places of matches.
+_STOP, _FILL = "\ufdd1", "\ufdd0"
 
-    def cut(starts):
-        return _let(F.split(text, start, -1), lambda parts: F.concat(
-            F.when(F.get(parts, 0) != "", F.slice(parts, 1, 1)).otherwise(F.array().cast("array<string>")),
-            F.transform(starts, lambda s, i: F.concat(s, F.get(parts, i + 1)))))
 
-    return _let(found, lambda starts: F.when(F.size(starts) > 0, cut(starts)).otherwise(F.array(text)))
+def _pieces(text: Column, pattern: str) -> Column:
+    """A text cut in front of every match: what is before the first one, if only nothing, and then the
+    matches, each with the text up to the next one.
+
+    Every match is found in the whole text, so patterns may look around and may match nothing. A text that
+    holds the filling character gets a mark with a longer run of it than any text of that length has.
+    """
+    fill = F.when(F.contains(text, F.lit(_FILL)), F.length(text) + 1).otherwise(F.lit(1))
+    mark = F.concat(F.lit(_STOP), F.repeat(F.lit(_FILL), fill), F.lit(_STOP))
+    return _let(mark, lambda m: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(m, F.lit("$0"))), m, -1))
+
+
+def _start_pattern(rules: RuleSet) -> str:
+    # A text of several lines is matched as its lines would be.
+    return "(?dm)" + rules.expand(rules.start)
 
 
 def rule_texts(text: Column, rules: RuleSet) -> Column:
     """The records of a whole text, for instance of one message."""
-    begun = F.filter(_pieces(text, rules), lambda x: F.regexp_like(x, _regex(rules, f"^(?:{rules.start})")))
+    begun = _let(_pieces(text, _start_pattern(rules)), lambda p: F.slice(p, F.lit(2), F.size(p)))
     if rules.end:
         return F.transform(begun, lambda x: _let(
             F.regexp_instr(x, _regex(rules, rules.end)),
@@ -118,34 +131,27 @@ def rule_texts(text: Column, rules: RuleSet) -> Column:
 
 
 def split_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
-    """Lines that hold several starts, or text before one, become several units."""
+    """Lines with ``start``; those that hold several starts, or text before one, become several units."""
     start = rules.expand(rules.start)
     if start.startswith("^") and "|" not in start:
-        return units.withColumn("_whole", F.lit(True))
-    pieces = _pieces(F.col("value"), rules)
+        return units.withColumns({"start": F.regexp_like("value", _regex(rules, rules.start)), "_whole": F.lit(True)})
     others = [c for c in units.columns if c not in ("value", "width")]
-    cut = units.select(*others, "width", F.octet_length("value").alias("_bytes"),
-                       F.size(pieces).alias("_n"), F.posexplode(pieces).alias("_at", "value"))
+    cut = units.select(*others, "width", F.octet_length("value").alias("_bytes"), _pieces(F.col("value"), _start_pattern(rules)).alias("_p"))
+    cut = cut.select(*others, "width", "_bytes", F.size("_p").alias("_n"), F.posexplode("_p").alias("_at", "value"))
     last = F.col("_at") == F.col("_n") - 1
     # The break at the end of the line belongs to its last piece.
     size = F.octet_length("value").cast("bigint")
-    return cut.select(*others, "value", last.alias("_whole"), F.when(
-        last, size + F.col("width") - F.col("_bytes")).otherwise(size).alias("width"))
+    return (cut.where((F.col("value") != "") | (F.col("_at") > 0) | (F.col("_n") == 1))
+            .select(*others, "value", (F.col("_at") > 0).alias("start"), last.alias("_whole"), F.when(
+                last, size + F.col("width") - F.col("_bytes")).otherwise(size).alias("width")))
 
 
 def mark_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
     """``start`` and ``close`` per line or piece of one; it may open a record and close it."""
-    start = _regex(rules, rules.start)
     units = split_lines(units, rules)
     line = F.concat("value", F.when(F.col("_whole"), F.lit("\n")).otherwise(F.lit("")))
-    close = F.lit(False)
-    if rules.end:
-        end = _regex(rules, rules.end)
-        after = F.substr(line, F.regexp_instr("value", start))
-        close = F.when(F.regexp_like("value", start), F.regexp_like(after, end)).otherwise(
-            F.regexp_like(line, end))
-        close = F.coalesce(close, F.lit(False))
-    return units.withColumns({"start": F.regexp_like("value", start), "close": close}).drop("_whole")
+    close = F.coalesce(F.regexp_like(line, _regex(rules, rules.end)), F.lit(False)) if rules.end else F.lit(False)
+    return units.withColumn("close", close).drop("_whole")
 
 
 def rule_segments(units: DataFrame, rules: RuleSet) -> DataFrame:
@@ -154,22 +160,15 @@ def rule_segments(units: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def cut_records(glued: DataFrame, rules: RuleSet) -> DataFrame:
-    """Whole lines down to the text from the start match to the end match."""
+    """Whole lines from a start match on, down to the text in front of the end match."""
     text = F.concat("raw", F.lit("\n"))
-    first = F.regexp_instr(text, _regex(rules, rules.start))
-    df = glued.withColumns({
-        "_lead": F.octet_length(F.substr(text, F.lit(1), first - 1)),
-        "_body": F.substr(text, first)})
-    df = df.withColumn("_end", F.regexp_instr("_body", _regex(rules, rules.end)) if rules.end
-                       else F.lit(0))
-    cut = F.substr("_body", F.lit(1), F.col("_end") - 1)
-    open_body = F.substr("_body", F.lit(1), F.length("_body") - 1)
+    at = F.regexp_instr(text, _regex(rules, rules.end)) if rules.end else F.lit(0)
+    df = glued.withColumns({"_text": text, "_end": at})
+    cut = F.substr("_text", F.lit(1), F.col("_end") - 1)
     return df.select(
-        "source", "idx", (F.col("offset") + F.coalesce("_lead", F.lit(0))).alias("offset"),
-        F.when(F.col("_end") > 0, F.octet_length(cut).cast("bigint"))
-         .otherwise(F.col("length") - F.coalesce("_lead", F.lit(0))).alias("length"),
-        F.make_valid_utf8(F.when(F.col("_end") > 0, cut).otherwise(strip_cr(open_body)))
-         .alias("raw"))
+        "source", "idx", "offset",
+        F.when(F.col("_end") > 0, F.octet_length(cut).cast("bigint")).otherwise(F.col("length")).alias("length"),
+        F.make_valid_utf8(F.when(F.col("_end") > 0, cut).otherwise(strip_cr(F.col("raw")))).alias("raw"))
 
 
 _FIRST_STEPS = 16

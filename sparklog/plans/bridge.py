@@ -5,7 +5,7 @@ renderers write these as files of each format for the readers to take apart agai
 are ranges of events; their length grows with the table, so the number of files stays bounded.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import scratch
 from ..formats.rules import FieldRule, RuleSet
@@ -77,21 +77,24 @@ def log_records(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataF
         user.cast("string").alias("user"), k.alias("k"))
 
 
-def render_csv(lr: DataFrame) -> DataFrame:
-    """Rows ``src, ord, value``; one in 97 records has a field too many."""
+def csv_line() -> Column:
+    """A record as delimited text; one in 97 has a field too many."""
     def quoted(c):
         return F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')),
                         F.lit('"'))
 
-    line = F.concat_ws(
+    return F.concat(F.concat_ws(
         ";", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         F.coalesce("level", F.lit("Notice")), "logger", quoted(F.col("message")),
         quoted(F.col("exception")), "user", "k",
-        F.when(F.col("idx") % 97 == 96, F.lit("extra")))
+        F.when(F.col("idx") % 97 == 96, F.lit("extra"))), F.lit("\r"))
+
+
+def render_csv(lr: DataFrame) -> DataFrame:
+    """Rows ``src, ord, value``."""
     header = lr.select("src").distinct().select(
         "src", F.lit(-1).cast("bigint").alias("ord"), F.lit(CSV_HEADER + "\r").alias("value"))
-    return lr.select("src", F.col("idx").alias("ord"),
-                     F.concat(line, F.lit("\r")).alias("value")).unionByName(header)
+    return lr.select("src", F.col("idx").alias("ord"), csv_line().alias("value")).unionByName(header)
 
 
 def log4j_event(lr: DataFrame) -> DataFrame:
@@ -152,6 +155,24 @@ def log_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return _WRITTEN[key]
 
 
+def payload_stream(spark: SparkSession, sf_dir: str, texts: DataFrame, name: str) -> DataFrame:
+    """Stream of payloads ``origin, at, part, value`` made of ``texts`` (origin, at, text): each text is cut at
+    two of its bytes, inside of characters too. Three micro-batches bring the thirds of each origin."""
+    data = F.encode("text", "UTF-8")
+    place = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "origin", "at"), F.octet_length("text") + 1).cast("int")
+    cuts = F.array(F.lit(0), F.least("a", "b"), F.greatest("a", "b"), F.octet_length("text"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.substr(
+        data, F.get(cuts, i) + 1, F.get(cuts, i + 1) - F.get(cuts, i)))
+    payloads = texts.withColumns({"a": place(1), "b": place(2)}).select(
+        "origin", "at", F.posexplode(parts).alias("part", "value")).where(F.octet_length("value") > 0)
+    path = scratch.new_path(spark, f"payloads-{name}")
+    files, rows = 4, source_rows(table(spark, sf_dir, "events"))
+    third = F.expr(f"at * 3 div {rows}")
+    for n in range(3):
+        payloads.where(third == n).repartition(files, "origin").write.mode("append").parquet(path)
+    return (spark.readStream.schema(payloads.schema).option("maxFilesPerTrigger", files).parquet(path))
+
+
 def file_src(source="source"):
     """Source number of a rendered file, from its folder."""
     return F.regexp_extract(source, r"/src=(\d+)/", 1).cast("bigint")

@@ -13,7 +13,7 @@ from ..scratch import new_path
 from ..sources.files import list_files, read_heads, scan_units
 from ..sources.reader import from_payloads, read_logs
 from ..sources.tail import tail_units
-from ..streaming import follow, live
+from ..streaming import follow, live, payloads
 from . import bridge
 from .bridge import LINE_RULES, RULES, file_src, log_files, log_records, table
 from .oracle import CSV_TEXT, EVENT_TEXT, LR, PLAIN_TEXT, RULES_TEXT
@@ -206,6 +206,42 @@ def payload_rules_multi(spark, sf_dir):
         "origin.idx", "level", "message", "exception")
 
 
+def _framed(spark, stream, name, **options):
+    out = new_path(spark, f"framed-{name}")
+    chunks = payloads.frame_payloads(stream, ["origin"], ["at", "part"], between="", **options)
+    _finish(payloads.write_payload_records(chunks, out), out)
+    return follow.read_written(spark, out)
+
+
+@query("payload_split", EVENT_TEXT + """
+select source as origin, level, logger, thread, event_time as "timestamp", message, exception
+from xml where idx % 101 <> 0""")
+def payload_split(spark, sf_dir):
+    events = bridge.log4j_event(log_records(spark, sf_dir)).where("idx % 101 <> 0")
+    texts = events.select(F.col("source").alias("origin"), F.col("idx").alias("at"), F.col("event").alias("text"))
+    stream = bridge.payload_stream(spark, sf_dir, texts, "split")
+    return _framed(spark, stream, "split", format="log4j").select(
+        "origin.origin", "level", "logger", "thread", "timestamp", "message", "exception")
+
+
+@query("payload_auto", EVENT_TEXT + """
+select 'log4j' as kind, src, level, message from xml where idx % 101 <> 0
+union all select 'csv', src, level, replace(message, '"', '""') from lr where idx % 97 <> 96
+union all select 'plain', src, null, unnest(string_split(message, crlf))
+from (select src, message, chr(13) || chr(10) as crlf from lr)""")
+def payload_auto(spark, sf_dir):
+    lr = log_records(spark, sf_dir)
+    origin = lambda kind: F.concat(F.lit(f"{kind}-"), "src").alias("origin")
+    csv_texts = lr.select(origin("csv"), F.col("idx").alias("at"), F.concat(
+        F.when(F.col("idx") == 0, F.lit(bridge.CSV_HEADER + "\r\n")).otherwise(F.lit("")), bridge.csv_line(), F.lit("\n")).alias("text"))
+    plain_texts = lr.select(origin("plain"), F.col("idx").alias("at"), F.concat("message", F.lit("\r\n")).alias("text"))
+    events = bridge.log4j_event(lr).where("idx % 101 <> 0").select(
+        origin("log4j"), F.col("idx").alias("at"), F.col("event").alias("text"))
+    stream = bridge.payload_stream(spark, sf_dir, csv_texts.unionByName(plain_texts).unionByName(events), "auto")
+    return _framed(spark, stream, "auto").select(
+        F.split("origin.origin", "-")[0].alias("kind"), F.split("origin.origin", "-")[1].cast("bigint").alias("src"), "level", "message")
+
+
 # ------------------------------------------------------------------ detection
 
 _KINDS = """select src, kind, fmt from (select distinct src from lr),
@@ -406,6 +442,16 @@ def rules_segments(spark, sf_dir):
     return _with_src(rules.rule_segments(units, LINE_RULES), "idx", "offset", "length", "raw")
 
 
+@query("rules_look_around", RULES_TEXT + """
+select src, idx, "offset" + 20 as "offset", cast(strlen(raw) - 20 + 2 as bigint) as length, substr(raw, 21, 9) as head
+from ruled""")
+def rules_look_around(spark, sf_dir):
+    units = scan_units(spark, log_files(spark, sf_dir, "rules"))
+    levels = rules.RuleSet("behind stamps", start="(?<={stamp} )(?=[A-Z])", definitions=RULES.definitions)
+    segments = rules.rule_segments(units, levels).withColumn("head", F.substring("raw", 1, 9))
+    return _with_src(segments, "idx", "offset", "length", "head")
+
+
 @query("rules_parse", RULES_TEXT + """
 select src, idx, date_trunc('second', "timestamp") as "timestamp", level, message, "offset",
   cast(strlen(raw) + 2 as bigint) as length from ruled""")
@@ -486,9 +532,7 @@ _LINES = LR + r""", lines as (
   select src, idx, unnest(string_split(exception, crlf)) as line,
     cast(generate_subscripts(string_split(exception, crlf), 1) - 1 as int) as line_no
   from (select *, chr(13) || chr(10) as crlf from lr) where exception <> '')"""
-_HEADER = r"'^((?:\w+[.])+)(\w+): (.*)'"
-_FRAME = (r"'^\s+\w+\s+((?:\w+[.])+)([\w\[\],<>]+)[.](<.ctor>\w+|[\w\[\],<>]+)[(]([^)]+)?[)]"
-          r"(?:\s+\w+\s+(.+):\w+\s+(\d+))?'")
+_HEADER, _FRAME = f"'{exceptions.HEADER_PATTERN}'", f"'{exceptions.FRAME_PATTERN}'"
 
 
 def _exception_lines(spark, sf_dir):

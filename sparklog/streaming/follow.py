@@ -63,14 +63,13 @@ def _advance(state: DataFrame, blocks: DataFrame, header: bool = False,
     return seen.select(*columns).unionByName(kept.select(*columns))
 
 
-def _with_carried(units: DataFrame, state: DataFrame) -> DataFrame:
-    """Open records of sources with new text come back as a unit in front of that text."""
-    carried = (state.where("carry_bytes > 0")
-               .join(units.select("source").distinct(), "source", "left_semi")
-               .select("source", F.col("next_offset").alias("block"),
-                       F.lit(0).cast("bigint").alias("size"),
-                       F.col("carry_bytes").alias("width"), F.col("carry").alias("value")))
-    return units.unionByName(carried)
+def _carried(units: DataFrame, state: DataFrame) -> DataFrame:
+    """Open records of sources with new text, as a unit in front of that text."""
+    return (state.where("carry_bytes > 0")
+            .join(units.select("source").distinct(), "source", "left_semi")
+            .select("source", F.col("next_offset").alias("block"),
+                    F.lit(0).cast("bigint").alias("size"),
+                    F.col("carry_bytes").alias("width"), F.col("carry").alias("value")))
 
 
 def _check_policy(on_malformed: str) -> None:
@@ -104,7 +103,7 @@ def follow_csv(delimiter: str | None = None, quote: str = '"', time_patterns: tu
     _check_policy(on_malformed)
 
     def step(units, state):
-        lines = csv.quote_parity(_with_carried(units, state), quote)
+        lines = csv.quote_parity(units.unionByName(_carried(units, state)), quote)
         blocks = index_blocks(lines, quoted=True, header=True, origin=state, hold_open=True)
         known = state.select("source", F.col("header").alias("known_header"))
         blocks = blocks.join(known, "source", "left").withColumn(
@@ -123,7 +122,9 @@ def follow_rules(ruleset: RuleSet, on_malformed: str = "drop") -> Follower:
     _check_policy(on_malformed)
 
     def step(units, state):
-        lines = rules.mark_lines(_with_carried(units, state), ruleset)
+        # What is still open is known to begin with a start and to have no end.
+        still = _carried(units, state).withColumns({"start": F.lit(True), "close": F.lit(False)})
+        lines = rules.mark_lines(units, ruleset).unionByName(still)
         blocks = index_blocks(lines, quoted=False, header=False, origin=state, hold_open=True)
         glued = glue_records(lines, blocks, False, False)
         still_open = unfinished_records(lines, blocks, False, False)

@@ -1,8 +1,10 @@
 """Fixtures of each format, and decisions on odd input."""
 
 import gzip
+import random
 from datetime import datetime
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,46 +16,49 @@ from sparklog.operators.detect import detect_format
 from sparklog.sources.files import read_heads
 from sparklog.sources.reader import from_payloads, read_logs
 
-STAMP = r"\d\d\.\d\d\.\d{4}T\d\d:\d\d:\d\d"
-LAYOUT = CsvLayout(5, timestamp=0, level=1, message=2, logger=3, exception=4)
+STAMP = r"\d{4}/\d\d/\d\d-\d\d:\d\d"
 
 
-def event(level="INFO", ms="1402909876543", message="Lifted 14 of 20 boxes.", user="dock7",
-          extra=""):
-    return (f'<log4j:event logger="Harbour.Crane.Loader" level="{level}" '
-            f'timestamp="{ms}" thread="1">  <log4j:message>{message}</log4j:message>  '
-            f'<log4j:properties>    <log4j:data name="log4japp" value="crane-loader'
-            f'(77)" />    <log4j:data name="log4jmachinename" value="{user}" />{extra}  '
-            f'</log4j:properties></log4j:event>')
+def event(level="DEBUG", ms="1402909876543", message="tide at 4 m", more=""):
+    """An event with its tags on lines of their own, and as many properties as asked for."""
+    return (f'<log4j:event timestamp="{ms}" thread="pier-2" level="{level}" logger="tide.gauge">\n'
+            f"<log4j:message>{message}</log4j:message>\n"
+            f'<log4j:properties><log4j:data name="gauge" value="north"/>{more}</log4j:properties>\n</log4j:event>')
 
 
 # ------------------------------------------------------------------ csv
 
-def test_csv_one_line_without_header(spark, write_file, rows):
-    text = '2020-06-09 04:30:01;warn;Crane;"Hook is empty";HoistError\r\n'
-    layout = CsvLayout(5, timestamp=0, level=1, logger=2, message=3, exception=4)
-    df = csv.read_csv(spark, write_file(text), layout)
-    assert rows(df, "idx", "offset", "length", "level", "logger", "message", "exception") == [
-        (0, 0, len(text), "Warn", "Crane", "Hook is empty", "HoistError")]
+def test_csv_without_header(spark, write_file, rows):
+    text = "fatal|7|left|mast|extra\nError|8|\"over | board\"|sail\n|9||keel"
+    df = csv.read_csv(spark, write_file(text), CsvLayout(4, "|", level=0, logger=2, message=3, attributes={"watch": 1}))
+    want = brute.csv_records(text.encode(), header=False)[1:]
+    assert rows(df, "idx", "offset", "length") == [r[:3] for r in want]
+    assert rows(df, "level", "logger", "message", "timestamp", "exception", "attributes") == [
+        ("Error", "over | board", "sail", None, "", {"watch": "8"}), (None, "", "keel", None, "", {"watch": "9"})]
 
 
 @pytest.mark.parametrize("delimiter", [";", ","])
-def test_csv_header(spark, delimiter):
-    header = delimiter.join(["time", "level", "message", "logger", "exception"])
-    got = csv.header_layout(spark.createDataFrame([(header,)], "header string")).first()
-    assert (got.delimiter, got.n_fields) == (delimiter, 5)
-    assert (got.timestamp_at, got.level_at, got.message_at, got.logger_at,
-            got.exception_at) == (0, 1, 2, 3, 4)
-
-
-def test_csv_lines_inside_quotes(spark, write_file, rows):
-    header = "time;level;message;logger;exception\r\n"
-    record = '2018-02-03 00:00:00;Info;"Box \r\n by box \r \n";Crane;Exception\r\n'
-    df = csv.read_csv(spark, write_file(header + record))
-    assert rows(df, "offset", "length", "timestamp", "level", "message", "logger",
-                "exception") == [
-        (37, len(record), datetime(2018, 2, 3), "Info", "Box \r\n by box \r \n", "Crane",
-         "Exception")]
+def test_csv_header_in_any_order(spark, delimiter):
+    rng, names = random.Random(4), ["time", "level", "message", "logger", "exception", "ship", "Berth", "crew"]
+    for _ in range(6):
+        rng.shuffle(names)
+        got = csv.header_layout(spark.createDataFrame([(delimiter.join(names),)], "header string")).first()
+        assert (got.delimiter, got.n_fields) == (delimiter, 8)
+        assert [got.timestamp_at, got.level_at, got.message_at, got.logger_at, got.exception_at] == [
+            names.index(n) for n in ("time", "level", "message", "logger", "exception")]
+        assert [(a.name, a.position) for a in got.attributes] == [
+            (n, i) for i, n in enumerate(names) if n in ("ship", "Berth", "crew")]
+
+
+def test_csv_quoted_fields_over_lines(spark, write_file, rows):
+    rng = random.Random(11)
+    said = ["".join(rng.choice(["sea", " ", "\n", "\r\n", ";", "\n\n", "é"]) for _ in range(9)) for _ in range(30)]
+    text = "ship;message;level;time\n" + "".join(
+        f'{i};"{m}";{rng.choice(["warn", "fatal"])};2017-12-{1 + i % 28:02} 10:20:30{rng.choice([chr(10), chr(13) + chr(10)])}' for i, m in enumerate(said))
+    df = csv.read_csv(spark, write_file(text))
+    assert rows(df, "idx", "offset", "length") == [r[:3] for r in brute.csv_records(text.encode())]
+    assert rows(df, "message", "timestamp", "attributes") == [
+        (m, datetime(2017, 12, 1 + i % 28, 10, 20, 30), {"ship": str(i)}) for i, m in enumerate(said)]
 
 
 def test_csv_odd_input(spark, write_file, rows):
@@ -115,32 +120,30 @@ def test_long_quoted_row(spark, write_file):
 
 # ------------------------------------------------------------------ log4j
 
-def test_log4j_two_events(spark, write_file, rows):
-    second = event("WARN", "1402909876600", "Set down on deck two.", "dock8")
-    path = write_file(event() + second)
-    df = log4j.read_log4j(spark, path)
-    assert rows(df, "idx", "offset", "length") == [(0, 0, len(event())), (1, len(event()), len(second))]
+def test_log4j_events_with_and_without_properties(spark, write_file, rows):
+    bare = '<log4j:event level="WARN" timestamp="1402909876600"><log4j:message>é</log4j:message></log4j:event>'
+    text = event() + " \n" + bare + bare + event(message="") + "\n" + event(more='<log4j:data name="x" value=""/>')
+    df = log4j.read_log4j(spark, write_file(text), attributes=True)
+    assert rows(df, "idx", "offset", "length", "raw") == brute.log4j_segments(text.encode())
+    assert rows(df, "level", "logger", "thread", "message", "attributes") == [
+        ("Debug", "tide.gauge", "pier-2", "tide at 4 m", {"gauge": "north"}), *[("Warn", None, None, "é", None)] * 2,
+        ("Debug", "tide.gauge", "pier-2", "", {"gauge": "north"}),
+        ("Debug", "tide.gauge", "pier-2", "tide at 4 m", {"gauge": "north", "x": ""})]
 
 
-def test_log4j_fields(spark, write_file, rows):
-    extra = '<log4j:data name="exception" value="CraneFault" />'
-    path = write_file(event(extra=extra))
-    df = log4j.read_log4j(spark, path, attributes=True)
-    assert rows(df, "timestamp", "level", "logger", "thread", "message", "exception",
-                "attributes") == [
-        (datetime(2014, 6, 16, 9, 11, 17), "Info", "Harbour.Crane.Loader", "1",
-         "Lifted 14 of 20 boxes.", "CraneFault",
-         {"log4japp": "crane-loader(77)", "log4jmachinename": "dock7"})]
-    exact = log4j.read_log4j(spark, path, precision="ms")
-    assert exact.first().timestamp == datetime(2014, 6, 16, 9, 11, 16, 543000)
+def test_log4j_exception_and_time(spark, write_file, rows):
+    path = write_file(event(ms="1402909876543", more='<log4j:data value="Flood&#10; at dock" name="exception"/>'))
+    assert rows(log4j.read_log4j(spark, path), "timestamp", "exception") == [
+        (datetime(2014, 6, 16, 9, 11, 17), "Flood\n at dock")]
+    assert log4j.read_log4j(spark, path, precision="ms").first().timestamp == datetime(2014, 6, 16, 9, 11, 16, 543000)
 
 
-def test_log4j_many_events_over_splits(spark, write_file, split_bytes):
-    path = write_file(event() * 1200)
-    split_bytes(50_000)
-    df = log4j.read_log4j(spark, path)
-    got = df.agg(F.count("*"), F.countDistinct("idx"), F.max("idx"), F.min("length")).first()
-    assert tuple(got) == (1200, 1200, 1199, len(event()))
+def test_log4j_events_of_all_lengths_over_splits(spark, write_file, split_bytes, rows):
+    rng = random.Random(8)
+    text = "".join(event(message="é" * rng.randrange(400)) + "\n" * rng.randrange(3) for _ in range(700))
+    path = write_file(text)
+    split_bytes(7_001)
+    assert rows(log4j.read_log4j(spark, path), "idx", "offset", "length", "raw") == brute.log4j_segments(text.encode())
 
 
 def test_log4j_odd_events(spark, write_file, rows):
@@ -149,7 +152,7 @@ def test_log4j_odd_events(spark, write_file, rows):
         + '<log4j:event logger="x" level="no"></log4j:event>' + event()[:100])
     df = log4j.read_log4j(spark, path)
     assert rows(df, "idx", "offset", "level", "message", "timestamp", "exception")[1:] == [
-        (2, 4 + len(event() + event(message="<oops")) + 1, "Info", "a < b\nc", datetime(2014, 6, 16, 9, 11, 17), None),
+        (2, 4 + len(event() + event(message="<oops")) + 1, "Debug", "a < b\nc", datetime(2014, 6, 16, 9, 11, 17), None),
         (3, 4 + len(event() + event(message="<oops")) + 1 + len(event(message="a &lt; b\r\nc")), None, None, None, None)]
     kept = log4j.read_log4j(spark, path, on_malformed="keep")
     assert rows(kept, "idx", "malformed") == [(0, None), (1, "xml"), (2, None), (3, None)]
@@ -159,8 +162,9 @@ def test_log4j_odd_events(spark, write_file, rows):
 # ------------------------------------------------------------------ plain text and encodings
 
 def test_plain(spark, write_file, rows):
-    df = read_logs(spark, write_file("first\r\n\r\nsecond\n"), "plain")
-    assert rows(df, "idx", "offset", "message") == [(0, 0, "first"), (1, 9, "second")]
+    text = "\n\r\nahoy\n\n\nland é\r\n  \r\nlast"
+    df = read_logs(spark, write_file(text), "plain")
+    assert rows(df, "idx", "offset", "length", "message") == brute.plain_records(text.encode())
     marked = read_logs(spark, write_file(b"\xef\xbb\xbfa\nb\xff"), "plain")
     assert rows(marked, "idx", "offset", "length", "message") == [
         (0, 3, 2, "a"), (1, 5, 2, "b�")]
@@ -177,26 +181,49 @@ def test_encodings_and_compression(spark, write_file, rows):
 # ------------------------------------------------------------------ rules
 
 RULES = RuleSet(
-    "stamped", start=STAMP, end=r"\r\n", timestamp_format="MM.dd.yyyyTHH:mm:ss", fields=(
+    "deck log", start=STAMP + " +<", end=r">\n", timestamp_format="yyyy/MM/dd-HH:mm", fields=(
         FieldRule("timestamp", STAMP, state_from="INITIAL", state_to="T"),
-        FieldRule("level", "TRACE|DEBUG|INFO|WARN|ERROR|FATAL", state_from="T", state_to="L"),
-        FieldRule("message", r"[^\r\n]+", state_from="L", state_to="END")))
+        FieldRule("thread", r"deck (\d)", 1, state_from="T", state_to="D"),
+        FieldRule("level", "WARN|INFO", state_from="D", state_to="L"),
+        FieldRule("message", r"(?s)\w.*", state_from="L", state_to="END")))
 
 
 def test_rules(spark, write_file, rows):
-    path = write_file("11.07.2019T08:15:42 DEBUG Anchor up!\r\n"
-                      "12.08.2019T21:04:59 WARN Engine off")
-    df = rules.read_rules(spark, path, RULES)
-    assert rows(df, "raw", "length", "timestamp", "level", "message") == [
-        ("11.07.2019T08:15:42 DEBUG Anchor up!", 36, datetime(2019, 11, 7, 8, 15, 42), "Debug",
-         " Anchor up!"),
-        ("12.08.2019T21:04:59 WARN Engine off", 35, datetime(2019, 12, 8, 21, 4, 59), "Warn",
-         " Engine off")]
+    text = ("lost\n2019/11/07-08:15 <deck 3 INFO rope\n  and chain>\nbetween\n2019/11/07-08:16   <deck 4 WARN fog>\n"
+            "2019/11/07-08:17 <deck 5 none")
+    df = rules.read_rules(spark, write_file(text), RULES)
+    assert rows(df, "idx", "offset", "length", "raw") == brute.rule_records(text.encode(), RULES.start, RULES.end)
+    assert rows(df, "timestamp", "thread", "level", "message") == [
+        (datetime(2019, 11, 7, 8, 15), "3", "Info", "rope\n  and chain"), (datetime(2019, 11, 7, 8, 16), "4", "Warn", "fog"),
+        (datetime(2019, 11, 7, 8, 17), "5", None, None)]
+
+
+@pytest.mark.parametrize("start", ["(?<=[a-z] ){0}", "(?={0})", "(?<![a-z] ){0}", "(?:^|(?<=;)){0}", "^(?={0})", "{0}(?=x)|(?<=x){0}"])
+@pytest.mark.parametrize("end", [None, "(?=!)", r"\r?\n"])
+def test_starts_that_look_around_at_any_split(spark, write_file, rows, split_bytes, start, end):
+    start = start.format("#\\d")
+    lines = ["#1x one", "sea #2 two!", "x#3x;#4 é #5", "none", "#6", "a #7;#8 #9!!", "", "end #1"]
+    text = "".join(x + b for x, b in zip(lines, ["\n", "\r\n", "\n", "\n", "\r\n", "\n", "\n", ""]))
+    path = write_file(text)
+    split_bytes(5)
+    df = rules.read_rules(spark, path, RuleSet("around", start, end, (FieldRule("message", r"(?s)#.*"),)))
+    want = brute.rule_records(text.encode(), start, end)
+    assert len(want) > 1 and rows(df, "idx", "offset", "length", "raw") == want
+
+
+def test_marks_in_the_text_and_starts_with_line_breaks(spark, write_file, rows):
+    text = "a\ufdd1\ufdd0\ufdd1b #1\ufdd0\ufdd0 #2\ufdd1\n"
+    df = rules.read_rules(spark, write_file(text), RuleSet("marks", "(?<= )#"))
+    assert rows(df, "idx", "offset", "length", "raw") == brute.rule_records(text.encode(), "(?<= )#", None)
+    for start in ("BEGIN\\n--", "a\nb", r"x\R"):
+        with pytest.raises(ValueError):
+            RuleSet("broken", start)
+    assert RuleSet("sets", r"[^\n]#|\\n")
 
 
 def test_rules_step_by_step_equals_one_pattern(spark, monkeypatch):
-    texts = [("11.07.2019T08:15:42 DEBUG Hello",), ("DEBUG x 11.07.2019T08:15:42",), ("x",),
-             ("11.07.2019T08:15:42",), ("WARN INFO a\nb",)]
+    texts = [("2019/11/07-08:15 <deck 3 INFO Hello",), ("deck 1 INFO x 2019/11/07-08:15",), ("x",),
+             ("2019/11/07-08:15",), ("WARN INFO a\nb",)]
     df = spark.createDataFrame(texts, "raw string")
     loose = RuleSet("loose", "x", fields=(FieldRule("level", "INFO|WARN|DEBUG"),
                                           FieldRule("timestamp", STAMP),
@@ -317,7 +344,7 @@ def test_mixed_folder(spark, tmp_path, write_file):
     write_file("plain\n", "d/3.log")
     df = read_logs(spark, str(tmp_path / "d"))
     assert sorted((r.level or "", r.message) for r in df.collect()) == [
-        ("", "plain"), ("Info", "Lifted 14 of 20 boxes."), ("Info", "a")]
+        ("", "plain"), ("Debug", "tide at 4 m"), ("Info", "a")]
     with pytest.raises(ValueError):
         read_logs(spark, str(tmp_path), quote="'")
     with pytest.raises(ValueError):
@@ -345,7 +372,7 @@ def test_payloads(spark):
     assert sorted((r.origin.n, r.level, r.message) for r in got.collect()) == [
         (1, "Info", "a"), (3, "Warn", "b\nc")]
     events = spark.createDataFrame([(event() + event("WARN"),)], "value string")
-    assert [r.level for r in from_payloads(events, "log4j").collect()] == ["Info", "Warn"]
+    assert [r.level for r in from_payloads(events, "log4j").collect()] == ["Debug", "Warn"]
     lines = spark.createDataFrame([("a\r\n\nb",)], "value string")
     assert [r.message for r in from_payloads(lines, "plain").collect()] == ["a", "b"]
 

@@ -1,0 +1,152 @@
+"""Streams of payloads give the records of the whole text, wherever it is cut."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparklog.formats.csv import CsvLayout
+from sparklog.formats.rules import FieldRule, RuleSet
+from sparklog.streaming import follow, payloads
+
+MARKS = RuleSet("marks", start="^#", fields=(FieldRule("message", "[a-zé]+"),))
+CLOSED = RuleSet("closed", start="<", end=">", fields=(FieldRule("message", "[a-zé]+"),))
+EVENT = '<log4j:event level="INFO" logger="é"><log4j:message>{}</log4j:message></log4j:event>'
+
+TEXTS = {
+    "csv": 'level;message;who\r\nInfo;"aé\r\nb;""q""";w\r\nWarn;c\r\nError;"🙂\n\n";x\r\nFatal;d;y\r\n',
+    "log4j": "noise " + "".join(EVENT.format(f"aé{i}\n🙂") for i in range(5)),
+    "plain": "first line é\r\n\r\nsecond 🙂\nthird\r\n",
+}
+MESSAGES = {
+    "csv": [("Info", 'aé\r\nb;""q""'), ("Error", "🙂\n\n"), ("Fatal", "d")],
+    "log4j": [("Info", f"aé{i}\n🙂") for i in range(5)],
+    "plain": [(None, "first line é"), (None, "second 🙂"), (None, "third")],
+}
+
+
+def cut(text, rng, n):
+    data = text.encode()
+    at = sorted(rng.sample(range(1, len(data)), n))
+    return [data[a:b] for a, b in zip([0, *at], [*at, len(data)])]
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_framing_loses_nothing_at_any_cut(name):
+    rng = random.Random(name)
+    for _ in range(300):
+        origin = payloads._Origin(None, "auto", {}, "UTF-8")
+        for part in cut(TEXTS[name], rng, rng.randint(1, 30)):
+            origin.add(part)
+            # What a restart goes on from.
+            state, rows = origin.state(), origin.rows
+            origin = payloads._Origin(state, "auto", {}, "UTF-8")
+            origin.rows = rows
+        assert origin.format == name and origin.rest == b""
+        text = "".join(row[3] for row in origin.rows)
+        assert text == (TEXTS[name].split("\r\n", 1)[1] if name == "csv" else TEXTS[name])
+        assert all(row[1] == ("level;message;who" if name == "csv" else None) for row in origin.rows)
+        assert [row[2] for row in origin.rows] == list(range(len(origin.rows)))
+
+
+@pytest.mark.parametrize("rules,text,open_text", [(MARKS, "x\n#a\nb\n#cé\n", "#cé\n"), (CLOSED, "x<a>y<b\n>z<cé", "<cé")])
+def test_framing_of_rules_holds_the_open_record(rules, text, open_text):
+    rng = random.Random(5)
+    for _ in range(100):
+        origin = payloads._Origin(None, "rules", {"rules": {"rules": rules}}, "UTF-8")
+        for part in cut(text, rng, 5):
+            origin.add(part)
+        assert "".join(r[3] for r in origin.rows) + origin.rest.decode() == text
+        assert origin.rest.decode().endswith(open_text) and not "".join(r[3] for r in origin.rows).count(open_text)
+        origin.add(b"", final=True)
+        assert "".join(r[3] for r in origin.rows) == text and origin.rest == b""
+
+
+@pytest.mark.parametrize("text,final,want", [
+    ("time;lev", False, None), ("time;level\r", False, None), ("time;level\r\n", False, "csv"), ("\n\nA|Message\n", False, "csv"),
+    ("time;level", True, "csv"), ("hello\n", False, "plain"), ("hello\n<log4j:ev", False, None), ("x<log4j:event level", False, "log4j"),
+    ("hello\n<log4j:ev", True, "plain"), ("", False, None), ("a" * 5000, False, "plain"), ("﻿level;x\n", False, "csv")])
+def test_detection_waits_until_a_format_shows(text, final, want):
+    assert payloads.sniff(text, final) == want
+
+
+SCHEMA = "origin string, n int, value binary, text string"
+
+
+def append(spark, folder, rows):
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.mode("append").parquet(str(folder))
+
+
+def run(spark, folder, out, options=None, **framing):
+    stream = spark.readStream.schema(SCHEMA).parquet(str(folder))
+    chunks = payloads.frame_payloads(stream, ["origin"], ["n"], options=options, **framing)
+    (payloads.write_payload_records(chunks, str(out), options).option("checkpointLocation", f"{out}/progress")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def written(spark, out):
+    found = follow.read_written(spark, str(out)).select("origin.*", "level", "message").orderBy("origin", "chunk", "pos")
+    result = {}
+    for r in found.collect():
+        result.setdefault(r["origin"], []).append((r["level"], r["message"]))
+    return result
+
+
+def test_mixed_origins_over_restarts(spark, tmp_path):
+    rng, rows = random.Random(2), []
+    for name, text in TEXTS.items():
+        for k in range(2):
+            parts = cut(text, rng, 12)
+            if name == "csv" and k:
+                head, body = text.split("\r\n", 1)
+                parts = [f"{head}\r\n".encode(), *cut(body, rng, 12)]
+            rows += [(f"{name}-{k}", n, p, "clash") for n, p in enumerate(parts)]
+    rows += [("csv-0", 50, None, None), ("plain-0", 51, b"", None), (None, 1, b"no origin\n", None)]
+    for begin, end in ((0, 4), (4, 7), (7, 99)):
+        # Each run ends the query and starts it again from its checkpoint.
+        append(spark, tmp_path / "in", [r for r in rows if begin <= r[1] < end])
+        run(spark, tmp_path / "in", tmp_path / "out", between="")
+    got = written(spark, tmp_path / "out")
+    assert got.pop(None) == [(None, "no origin")]
+    assert got == {f"{name}-{k}": MESSAGES[name] for name in TEXTS for k in range(2)}
+
+
+def test_payloads_that_end_lines_and_explicit_layouts(spark, tmp_path):
+    rows = [("a", 1, b"Info;one", ""), ("a", 2, b"Warn;two\r", ""), ("b", 1, b'Error;"x', ""), ("b", 2, b'y"', "")]
+    append(spark, tmp_path / "in", rows)
+    run(spark, tmp_path / "in", tmp_path / "out", {"csv": {"layout": CsvLayout(2, level=0, message=1)}}, format="csv")
+    assert written(spark, tmp_path / "out") == {"a": [("Info", "one"), ("Warn", "two")], "b": [("Error", "x\ny")]}
+    append(spark, tmp_path / "rules-in", [("a", 1, b"x\n#one\n#t", ""), ("a", 2, b"wo\nmore\n#three", "")])
+    run(spark, tmp_path / "rules-in", tmp_path / "rules-out", {"rules": {"rules": MARKS}}, format="rules", between="")
+    assert written(spark, tmp_path / "rules-out") == {"a": [(None, "one"), (None, "two")]}
+    with pytest.raises(ValueError):
+        run(spark, tmp_path / "in", tmp_path / "none", format="unknown")
+
+
+def test_a_timer_gives_out_what_stays_open(spark, tmp_path):
+    append(spark, tmp_path / "in", [("a", 1, b"done\nopen", "")])
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    chunks = payloads.frame_payloads(stream, ["origin"], ["n"], between="", format="plain", flush_after_ms=500)
+    out = tmp_path / "out"
+    query = (payloads.write_payload_records(chunks, str(out)).option("checkpointLocation", f"{out}/progress").start())
+    try:
+        query.processAllAvailable()
+        deadline = time.time() + 60
+        while time.time() < deadline and len(written(spark, out).get("a", [])) < 2:
+            time.sleep(0.5)
+        assert written(spark, out) == {"a": [(None, "done"), (None, "open")]}
+        append(spark, tmp_path / "in", [("a", 2, b" next\n", "")])
+        query.processAllAvailable()
+        assert written(spark, out)["a"][2:] == [(None, " next")]
+    finally:
+        query.stop()
+
+
+def test_chunks_of_one_origin_are_dealt_out(spark):
+    chunks = spark.range(400).select(F.lit("a").alias("origin"), F.lit("plain").alias("format"), F.lit(None).cast("string").alias("header"),
+                                     F.col("id").alias("chunk"), F.lit("x\ny\n").alias("text"))
+    records = payloads.chunk_records(chunks)
+    assert records.count() == 800 and records.select("origin.chunk", "origin.pos").distinct().count() == 800
+    spread = chunks.repartition("origin", "chunk").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < 200
