@@ -443,7 +443,8 @@ def rules_segments(spark, sf_dir):
 
 
 @query("rules_look_around", RULES_TEXT + """
-select src, idx, "offset" + 20 as "offset", cast(strlen(raw) - 20 + 2 as bigint) as length, substr(raw, 21, 9) as head
+select src, idx, "offset" + 20 as "offset", cast(strlen(raw) + 2 - case when lead(idx) over (
+    partition by src order by idx) is null then 20 else 0 end as bigint) as length, substr(raw, 21, 9) as head
 from ruled""")
 def rules_look_around(spark, sf_dir):
     units = scan_units(spark, log_files(spark, sf_dir, "rules"))
