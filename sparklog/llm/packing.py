@@ -11,16 +11,13 @@ asked for, where sequences need no padding.
 Every task packs the rows that it scans; nothing is shuffled, and no task needs another one.
 A task holds the open sequences of its rows only: pieces are ids, not tokens.
 
-Tokenizers are read from a file by name; a word and the space before it are tokenized once per task
-and kept, in a table of bounded size (see ``Tokens``).
+Tokenizers are read from a file by name (see ``Tokens``).
 
 Defined results: a null text is empty, and an empty text is its end id alone; repeated rows are packed
 each for itself; other columns are not read; ids of sequences are unique, not consecutive; an empty
 table gives an empty one.
 """
 
-import string
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,8 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, ids binary")
 END = 0
-_KEPT_WORDS = 300_000
-_PUNCTUATION = string.punctuation
 
 
 #: How byte-level tokenizers of this kind cut a text before they merge bytes. Fixed value.
@@ -51,10 +46,8 @@ def _byte_of() -> dict[str, int]:
 class Tokens:
     """Ids of texts as little-endian 32-bit numbers, as the tokenizer of a file gives them.
 
-    A text is split before single spaces, where this kind of tokenizer always begins a new token, so
-    that pieces can be kept; so is a word before the punctuation at its end. New pieces are merged by
-    the tokenizer's ranks, pieces with a special token by the tokenizer itself. A text with two spaces in a
-    row is tokenized as a whole.
+    A text is cut by the pattern and merged by the tokenizer's ranks in one call; a text with a special token
+    goes to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -68,40 +61,13 @@ class Tokens:
             vocab.pop(t, None)
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kept: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
 
-    def _one(self, text: str) -> bytes:
+    def of(self, text: str) -> bytes:
         if any(t in text for t in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
-            ids = self.ranks.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """A word after a space."""
-        letters = word.rstrip(_PUNCTUATION)
-        if len(letters) == len(word) or not letters.isalpha():
-            return self._one(" " + word)
-        tail = word[len(letters):]
-        if tail not in self.tails:
-            if len(self.tails) > _KEPT_WORDS:
-                self.tails = {}
-            self.tails[tail] = self._one(tail)
-        if letters not in self.kept:
-            self.kept[letters] = self._one(" " + letters)
-        return self.kept[letters] + self.tails[tail]
-
-    def of(self, text: str) -> bytes:
-        if "  " in text:
-            return self._one(text)
-        if len(self.kept) > _KEPT_WORDS:
-            self.kept.clear()
-        first, *words = text.split(" ")
-        kept = self.kept
-        for w in set(words).difference(kept):
-            kept[w] = self._word(w)
-        return self._one(first) + b"".join(map(kept.__getitem__, words))
+            ids = self.ranks.encode_to_numpy(text, disallowed_special=())
+        return ids.astype("<u4").tobytes()
 
 
 class Packer:
