@@ -10,6 +10,7 @@ from ..functions import exceptions, levels, text, times
 from ..model import LEVELS
 from ..operators import detect, navigate, search as searching, stats, status, views
 from ..scratch import new_path
+from ..sources import pages
 from ..sources.files import list_files, read_heads, scan_units
 from ..sources.reader import from_payloads, read_logs
 from ..sources.tail import tail_units
@@ -92,6 +93,42 @@ def page_records(spark, sf_dir):
         "src", "idx", "timestamp", "level", "message")
 
 
+def _paged(spark, sf_dir, kind, segments):
+    """Segments of the rendered files of a kind, read through an index of their pages."""
+    path = new_path(spark, f"pages-{kind}")
+    pages.write_page_index(segments, path)
+    return pages.read_pages(spark, path)
+
+
+@query("ranged_record", EVENT_TEXT + """
+select src, idx, "offset", length, event_time as "timestamp", level, message from (
+  select *, cast(sum(strlen(raw)) over (partition by src order by idx) - strlen(raw) + idx as bigint) as "offset",
+    cast(strlen(raw) as bigint) as length from xml) where idx = 1234 and idx % 101 <> 0""")
+def ranged_record(spark, sf_dir):
+    units = scan_units(spark, log_files(spark, sf_dir, "log4j"), log4j.EVENT_END)
+    segments = _paged(spark, sf_dir, "log4j", log4j.log4j_segments(units))
+    return _with_src(log4j.parse_log4j(views.read_record(segments, 1234)), "idx", "offset", "length", "timestamp", "level", "message")
+
+
+@query("ranged_page", PLAIN_TEXT + """
+select src, idx, "offset", length, line as message from plain where src = 1 and idx between 1000 and 1099""")
+def ranged_page(spark, sf_dir):
+    segments = _paged(spark, sf_dir, "plain", _plain_segments(spark, sf_dir))
+    # The name of a source comes from the listing of files.
+    file = list_files(spark, log_files(spark, sf_dir, "plain")).where(file_src() == 1).first()
+    page = views.page_records(segments, 1000, 100, file["source"] if file else "none")
+    return _with_src(plain.parse_plain(page), "idx", "offset", "length", "message")
+
+
+@query("ranged_detail", RULES_TEXT + """
+select idx, message, cast(null as varchar) as exception from ruled where idx in (77, 2048, 3999) and src = 0""")
+def ranged_detail(spark, sf_dir):
+    units = scan_units(spark, log_files(spark, sf_dir, "rules"))
+    segments = _paged(spark, sf_dir, "rules", rules.rule_segments(units, RULES))
+    chosen = segments.where(F.col("idx").isin(77, 2048, 3999)).where(file_src() == 0)
+    return rules.parse_rules(chosen, RULES).select("idx", "message", "exception")
+
+
 @query("batch_lookup", LR + """
 , asked as (select 'events-' || (value_id % 3) as source, value_id * 37 as idx from (
     select o_custkey as value_id from orders where o_custkey is not null group by o_custkey))
