@@ -16,7 +16,8 @@ from .rules import RuleSet, parse_rules, read_rules, rule_texts
 class LogFormat:
     """``sniff`` tests the first characters of a file and is null for formats that are only
     used when asked for. ``payload`` splits one message into record texts, given the arguments
-    of ``parse`` if ``payload_args``; ``parse`` turns rows with ``raw`` into records."""
+    of ``parse`` if ``payload_args``; ``parse`` turns rows with ``raw`` into records. Files are scanned in
+    pieces between two of ``separator``."""
 
     name: str
     read: Callable[..., DataFrame]
@@ -24,6 +25,7 @@ class LogFormat:
     payload: Callable[..., Column]
     sniff: Callable[[Column], Column] | None = None
     payload_args: bool = False
+    separator: str = "\n"
 
 
 def _not_blank(head: Column) -> Column:
@@ -76,7 +78,8 @@ def sniffable() -> list[LogFormat]:
 
 
 register_format(LogFormat("csv", read_csv, parse_csv, _quoted_lines, sniff_csv))
-register_format(LogFormat("log4j", read_log4j, parse_log4j, _closed_events, sniff_log4j))
+register_format(LogFormat("log4j", read_log4j, parse_log4j, _closed_events, sniff_log4j,
+                          separator=EVENT_END))
 register_format(LogFormat("plain", read_plain, parse_plain, _lines))
 register_format(LogFormat("rules", read_rules, parse_rules, lambda text, rules, *_, **__: rule_texts(text, rules),
                           payload_args=True))

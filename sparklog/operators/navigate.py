@@ -44,6 +44,34 @@ def next_by_level(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
                            for n in names.values()])
 
 
+def next_of_cursors(df: DataFrame, cursors: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Rows of ``cursors`` (source, after, ...) with the number of the next record of each level behind ``after``, null for none.
+
+    Cursors and leveled records of a bucket pass by once in falling order, each level's last number seen being
+    the next one; later buckets come from a table with one row per bucket. Equal cursors are
+    looked up once, so a bucket holds no more cursors than numbers.
+    """
+    names = {level: f"next_{level.lower()}" for level in LEVELS}
+    cell = ["source", "_bucket"]
+    asked = cursors.select("source", F.col("after").cast("bigint").alias("idx"), F.lit(True).alias("_asks"),
+                           *[F.lit(None).cast("bigint").alias(n) for n in names.values()]).where("idx is not null").distinct()
+    leveled = df.where(F.col("level").isNotNull()).select(
+        "source", F.col("idx").cast("bigint").alias("idx"), F.lit(False).alias("_asks"),
+        *[F.when(F.col("level") == level, F.col("idx")).cast("bigint").alias(n) for level, n in names.items()])
+    rows = asked.unionByName(leveled).withColumn("_bucket", bucket_of("idx", bucket))
+    behind = W.partitionBy("source").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    later = (rows.groupBy(*cell).agg(*[F.min(n).alias(n) for n in names.values()])
+             .select(*cell, *[F.min(n).over(behind).alias(f"_later_{n}") for n in names.values()]))
+    # A record with the cursor's own number comes after it, so it is not behind the cursor.
+    inside = W.partitionBy(*cell).orderBy(F.desc("idx"), F.desc("_asks")).rowsBetween(W.unboundedPreceding, -1)
+    near = rows.select(*cell, "idx", "_asks", *[F.min(n).over(inside).alias(n) for n in names.values()]).where("_asks")
+    found = join_cells(near, later, cell).select(
+        F.col("source").alias("_source"), F.col("idx").alias("_after"),
+        *[F.coalesce(n, f"_later_{n}").alias(n) for n in names.values()])
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("after") == F.col("_after"))
+    return cursors.join(found, same, "left").drop("_source", "_after")
+
+
 def last_record(df: DataFrame) -> DataFrame:
     """The last record of each source; only one candidate per task and source is shuffled."""
     columns = [c for c in df.columns if c != "source"]

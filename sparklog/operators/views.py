@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..formats.common import strip_cr
-from ..sources.files import scan_units
+from ..formats.registry import get_format
+from ..sources.files import UNREAD, scan_units
+from ..sources.reader import read_logs
 from .numbering import BUCKET, dense_number
 
 
@@ -68,6 +70,15 @@ def zip_starts_ends(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return left.join(right, ["source", "ordinal"])
 
 
+def zip_lists(df: DataFrame, starts: Column, ends: Column) -> DataFrame:
+    """The same where each row has the lists of both, in ``source``: nothing is shuffled."""
+    lists = df.select("source", starts.alias("starts"), ends.alias("ends"))
+    n = F.least(F.size("starts"), F.size("ends"))
+    pairs = F.arrays_zip(F.slice("starts", F.lit(1), n).alias("start_at"), F.slice("ends", F.lit(1), n).alias("end_at"))
+    return (lists.where(n > 0).select("source", F.posexplode(pairs).alias("ordinal", "pair"))
+            .select("source", "ordinal", "pair.*"))
+
+
 def preview_lines(spark: SparkSession, path, n: int = 20) -> DataFrame:
     """First lines of each file as ``source, line_no, line``; no file is read further."""
     lines = scan_units(spark, path, head=n)
@@ -91,3 +102,16 @@ def preview_records(records: DataFrame, n: int = 5) -> DataFrame:
     place = F.row_number().over(W.partitionBy("source").orderBy("idx"))
     return (records.withColumn("_place", place).where(F.col("_place") <= n)
             .select("source", "idx", report.alias("report")))
+
+
+def preview_files(spark: SparkSession, path, format: str, n: int = 5, lines: int = 64, **kwargs) -> DataFrame:
+    """``preview_records`` of the files below ``path``. It reads the first ``lines`` lines of each file, and eight times as many
+    as long as a file that goes on shows less than ``n`` records: records may be of any length."""
+    while True:
+        records = read_logs(spark, path, format, head=lines, **kwargs)
+        units = scan_units(spark, path, get_format(format).separator, head=lines)
+        short = records.groupBy("source").agg(F.count("*").alias("_n")).where(F.col("_n") >= n)
+        going_on = units.where(F.col("size") == UNREAD).select("source").distinct()
+        if going_on.join(short, "source", "left_anti").isEmpty():
+            return preview_records(records, n)
+        lines *= 8

@@ -189,7 +189,7 @@ select src, idx, 'Record #' || (idx + 1)
   || case when csv_exception <> '' then chr(10) || '  Exception: ' || csv_exception else '' end
   as report from csv where idx < 5""")
 def preview_records(spark, sf_dir):
-    return _with_src(views.preview_records(_csv(spark, sf_dir, head=1000)), "idx", "report")
+    return _with_src(views.preview_files(spark, log_files(spark, sf_dir, "csv"), "csv"), "idx", "report")
 
 
 @query("payload_records", EVENT_TEXT + """
@@ -797,13 +797,8 @@ select s2.page_id as source, cast(s2.n - 1 as int) as ordinal, cast(s2."at" as i
 from s2 join e2 on s2.page_id = e2.page_id and s2.n = e2.n
 where s2.n < s2.m and e2.n < e2.m""")
 def zip_starts_ends(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source"), "html")
-
-    def at(literal):
-        return pages.select("source", F.posexplode(
-            text.occurrences(F.col("html"), literal)).alias("ordinal", "at"))
-
-    return views.zip_starts_ends(at("<li>"), at("</li>"))
+    html = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source"), "html")
+    return views.zip_lists(html, text.occurrences(F.col("html"), "<li>"), text.occurrences(F.col("html"), "</li>"))
 
 
 @query("filtered_status", LR + """
@@ -882,6 +877,19 @@ def next_by_level(spark, sf_dir):
     return navigate.next_by_level(log_records(spark, sf_dir))
 
 
+@query("next_of_cursors", LR + """, asked as (
+  select o_orderkey as cursor, 'events-' || (o_custkey % 5) as source, o_custkey * 13 - 1 as after from orders where o_custkey is not null),
+found as (select a.source, a.after, """ + ", ".join(
+    f"min(case when level = '{name}' then idx end) as next_{name.lower()}" for name in LEVELS) + """
+  from (select distinct source, after from asked) a left join lr on lr.source = a.source and lr.idx > a.after group by all)
+select a.cursor, a.source, a.after, f.* exclude (source, after) from asked a join found f on a.source = f.source and a.after = f.after""")
+def next_of_cursors(spark, sf_dir):
+    cursors = table(spark, sf_dir, "orders").where("o_custkey is not null").select(
+        F.col("o_orderkey").alias("cursor"), F.concat(F.lit("events-"), F.col("o_custkey") % 5).alias("source"),
+        (F.col("o_custkey") * 13 - 1).alias("after"))
+    return navigate.next_of_cursors(log_records(spark, sf_dir), cursors)
+
+
 @query("last_record", """
 select cast(conv_id as varchar) as source, max(turn) as idx, arg_max(role, turn) as role,
   arg_max(text, turn) as message from conversations group by conv_id""")

@@ -71,7 +71,7 @@ def read_heads(spark: SparkSession, path) -> DataFrame:
 
 
 # Size of a file that was not read to its end: nothing in it is known to be the last.
-_UNREAD = 1 << 62
+UNREAD = 1 << 62
 
 
 def _head_units(spark: SparkSession, path, separator: str, encoding: str, head: int) -> DataFrame:
@@ -94,7 +94,7 @@ def _head_units(spark: SparkSession, path, separator: str, encoding: str, head:
         if not chunk and rest:
             pieces.append(rest)
         whole = not chunk and len(pieces) <= head
-        return pieces[:head], size if whole else _UNREAD
+        return pieces[:head], size if whole else UNREAD
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from sparklog.functions import exceptions, levels, text, times
 from sparklog.model import LEVELS
@@ -301,3 +301,36 @@ def test_routing_of_names_with_pattern_characters(spark, tmp_path):
     (tmp_path / "z[2].log").write_text("level;message\ninfo;line of z\n")
     got = sorted(r["message"] for r in read_logs(spark, str(tmp_path)).collect())
     assert got == sorted([f"line of {n}" for n in ("a[1].log", "a1.log", "{b}.log", "c*.log", "d?.log", "e%20 f.log")] + ["line of z"])
+
+
+def test_preview_of_long_records_and_lists_of_pairs(spark, tmp_path):
+    (tmp_path / "a.log").write_text("level;message\n" + "".join(f'info;"{i}\n{"x" * 20}{chr(10) * 300}"\n' for i in range(7)))
+    (tmp_path / "b.log").write_text("level;message\nwarn;only\n")
+    shown = views.preview_files(spark, str(tmp_path), "csv", n=5, lines=4)
+    got = [(r["source"][-5:], r["idx"], len(r["report"])) for r in shown.orderBy("source", "idx").collect()]
+    assert [g[:2] for g in got] == [("a.log", i) for i in range(5)] + [("b.log", 0)] and min(n for _, _, n in got[:5]) > 320
+    df = spark.createDataFrame([("a", [1, 5, 9], [2, 6]), ("b", [], [3]), ("c", None, [3])], "source string, s array<int>, e array<int>")
+    assert [tuple(r) for r in views.zip_lists(df, F.col("s"), F.col("e")).orderBy("source", "ordinal").collect()] == [("a", 0, 1, 2), ("a", 1, 5, 6)]
+
+
+def test_next_of_cursors_equals_a_search(spark):
+    rng = random.Random(12)
+    rows = [(s, i, rng.choice([None, "Error", "Info", "Fatal"])) for s in ("a", "b", None) for i in range(0, 60, rng.choice([1, 2]))]
+    asked = [(s, n, f"c{k}") for k in range(3) for s in ("a", "b", None, "unknown") for n in (-9, -1, 0, 7, 7, 30, 58, 59, 60, 10 ** 12, None)]
+    df = spark.createDataFrame(rows, "source string, idx long, level string").repartition(3)
+    cursors = spark.createDataFrame(asked, "source string, after long, name string")
+    for bucket in (4, 1000):
+        got = navigate.next_of_cursors(df, cursors, bucket)
+        assert got.columns[:3] == ["source", "after", "name"]
+        found = sorted(map(str, got.select("source", "after", "name", "next_error", "next_info", "next_fatal", "next_warn").collect()))
+
+        def first(s, n, level):
+            return min((i for t, i, x in rows if n is not None and t == s and i > n and x == level), default=None)
+        want = [spark_row(s, n, c, *[first(s, n, x) for x in ("Error", "Info", "Fatal", "Warn")]) for s, n, c in asked]
+        assert found == sorted(want)
+    none = navigate.next_of_cursors(df.where("false"), cursors)
+    assert none.where("next_error is not null").count() == 0 and none.count() == len(asked)
+
+
+def spark_row(source, after, name, *found):
+    return str(Row(source=source, after=after, name=name, next_error=found[0], next_info=found[1], next_fatal=found[2], next_warn=found[3]))
