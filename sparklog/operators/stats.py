@@ -62,6 +62,13 @@ def status_sampled(df: DataFrame, time: str = "timestamp", value: str = "idx",
         .select(F.col("window.start").alias("start"), value))
 
 
+def status_sampled_stream(df: DataFrame, time: str = "timestamp", value: str = "idx",
+                          every: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
+    """The same for a stream: a window is given out once nothing older than ``late`` is waited for, and its
+    state goes. Windows without a value never show."""
+    return status_sampled(df.withWatermark(time, late), time, value, every)
+
+
 def debounced(df: DataFrame, *by: str, time: str = "timestamp", order: str = "idx",
               quiet: str = "700 milliseconds", bucket: int = BUCKET) -> DataFrame:
     """Last record of each burst, in arrival order: a burst ends when the next record comes

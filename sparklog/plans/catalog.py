@@ -1004,3 +1004,30 @@ def stream_level_index(spark, sf_dir):
     out = new_path(spark, "level-index")
     _finish(live.write_level_index(log_records(spark, sf_dir, stream=True), out), out)
     return navigate.next_record(spark.read.parquet(out), "Fatal", 500)
+
+
+@query("stream_status_progress", PLAIN_TEXT + """
+, size as (select src, sum(length) as size from placed group by src),
+done as (select src, count(*) as n, max("offset" + length) as e from plain group by src)
+select src, cast(n as bigint) as count, cast(e as bigint) as "end", e < size as is_processing_saved_data,
+  cast(100 * e // size as int) as progress from done join size using (src)""")
+def stream_status_progress(spark, sf_dir):
+    """The written records of a followed folder, as a stream with the size of their file."""
+    out, records = new_path(spark, "status-progress"), new_path(spark, "status-records")
+    segments = _plain_segments(spark, sf_dir).select("source", "offset", "length")
+    sized = segments.join(_sized(spark, sf_dir), "source")
+    sized.write.parquet(records)
+    stream = spark.readStream.schema(sized.schema).option("maxFilesPerTrigger", 3).parquet(records)
+    _finish(live.write_latest(live.running_status(stream), out), out)
+    return _with_src(live.read_latest(spark, out), "count", "end", "is_processing_saved_data", "progress")
+
+
+@query("stream_status_sampled", LR + """
+select time_bucket(interval '2 seconds', "timestamp") as start, arg_max(n, ("timestamp", n)) as n
+from (select "timestamp", src * 4000 + idx as n from lr) group by 1""")
+def stream_status_sampled(spark, sf_dir):
+    out = new_path(spark, "status-sampled")
+    numbered = log_records(spark, sf_dir, stream=True).select(
+        F.col("timestamp").cast("timestamp").alias("timestamp"), (F.col("src") * 4000 + F.col("idx")).alias("n"))
+    _finish(live.write_latest(stats.status_sampled_stream(numbered, value="n"), out), out)
+    return live.read_latest(spark, out).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")

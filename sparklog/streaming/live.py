@@ -19,9 +19,16 @@ def running_level_counts(records: DataFrame, *by: str) -> DataFrame:
 
 
 def running_status(segments: DataFrame) -> DataFrame:
-    """Latest state per source: records so far and the end of the last one."""
-    return segments.groupBy("source").agg(
-        F.count("*").alias("count"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    """Latest state per source: records so far and the end of the last one. Segments with the ``size`` of their file, as
+    it was when they were read, also give the whole percent done and whether text is left behind."""
+    end = F.col("offset") + F.col("length")
+    state = segments.groupBy("source").agg(
+        F.count("*").alias("count"), F.max(end).alias("end"),
+        *([F.max("size").alias("size")] if "size" in segments.columns else []))
+    if "size" not in segments.columns:
+        return state
+    return state.select("source", "count", "end", (F.col("end") < F.col("size")).alias("is_processing_saved_data"),
+                        F.floor(100 * F.col("end") / F.col("size")).cast("int").alias("progress"))
 
 
 def write_latest(result: DataFrame, out: str) -> DataStreamWriter:

@@ -204,3 +204,37 @@ def test_debounced_stream(spark, tmp_path):
              .queryName("bursts").outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
     assert sorted(r.idx for r in spark.table("bursts").collect()) == [1, 3]
+
+
+def test_sampled_status_of_a_stream_drops_state_behind_the_watermark(spark, tmp_path):
+    from datetime import datetime, timedelta
+    begin = datetime(2020, 1, 1)
+    schema = "timestamp timestamp, idx long"
+
+    def sample(*rows):
+        (spark.createDataFrame([(begin + timedelta(seconds=s), i) for s, i in rows], schema).coalesce(1)
+         .write.mode("append").parquet(str(tmp_path / "in")))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        (stats.status_sampled_stream(stream, late="4 seconds").writeStream.format("parquet").outputMode("append")
+         .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+         .trigger(availableNow=True).start().awaitTermination())
+        return sorted(((r.start - begin).seconds, r.idx) for r in spark.read.schema("start timestamp, idx long").parquet(
+            str(tmp_path / "out")).collect())
+
+    assert sample((0.1, 1), (1.9, 2), (2.5, 3), (7, 4)) == [(0, 2)]
+    # 0.5 comes after its window was given out; 5 is late, but waited for.
+    assert sample((0.5, 90), (5, 5), (12, 6)) == [(0, 2), (2, 3), (4, 5), (6, 4)]
+
+
+def test_running_status_with_sizes(spark, tmp_path):
+    schema = "source string, offset long, length long, size long"
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for rows in ([("a", 0, 10, 40), ("b", 0, 5, 5)], [("a", 10, 20, 60)], [("a", 30, 30, 60)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        (live.write_latest(live.running_status(stream), str(out)).option("checkpointLocation", f"{out}/progress")
+         .trigger(availableNow=True).start().awaitTermination())
+        last = {r["source"]: tuple(r)[1:] for r in live.read_latest(spark, str(out)).collect()}
+        if rows[0][2] == 20:
+            assert last["a"] == (2, 30, True, 50)
+    assert last == {"a": (3, 60, False, 100), "b": (1, 5, False, 100)}
