@@ -6,7 +6,9 @@ They are written as Parquet under ``spark.checkpoint.dir``, the folder all nodes
 import os
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +39,34 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    if getattr(_scope, "tables", None) is not None:
+        _scope.tables.append(table)
     return table
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through the file system that Spark writes with."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete what ``write_table`` wrote, once nothing will read ``table`` again."""
-    context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(table.sparkSession, table.scratch_path)
+
+
+_scope = threading.local()
+
+
+@contextmanager
+def passing():
+    """Tables that this thread writes by ``write_table`` inside of the block go at its end. For work that writes
+    all its results inside, such as a micro-batch."""
+    outer, _scope.tables = getattr(_scope, "tables", None), []
+    try:
+        yield
+    finally:
+        written, _scope.tables = _scope.tables, outer
+        for table in written:
+            drop_table(table)

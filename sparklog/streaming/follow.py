@@ -3,7 +3,8 @@
 Each source has one state row: the next record number and byte offset, its CSV header, and the
 text of a record that is still open. State and records of micro-batch N are written to folders
 named after N and derived from the state of N-1 only, so a repeated micro-batch writes the same
-rows again and nothing is doubled or lost.
+rows again and nothing is doubled or lost. Each state is a whole one: when that of N is written, only those of
+N and N-1 can be asked for again, and older ones go. So do the helper tables of a micro-batch at its end.
 """
 
 from collections.abc import Callable
@@ -154,11 +155,13 @@ def write_records(units: DataFrame, follower: Follower, out: str,
         spark = batch.sparkSession
         rows = batch.persist()
         try:
-            state = _restart_replaced(rows, _state_before(spark, out, batch_id))
-            records, after = follower.step(rows, scratch.write_table(state, "state"))
-            records = transform(records) if transform else records
-            records.write.mode("overwrite").parquet(_batch_path(out, "records", batch_id))
-            after.write.mode("overwrite").parquet(_batch_path(out, "state", batch_id))
+            with scratch.passing():
+                state = _restart_replaced(rows, _state_before(spark, out, batch_id))
+                records, after = follower.step(rows, scratch.write_table(state, "state"))
+                records = transform(records) if transform else records
+                records.write.mode("overwrite").parquet(_batch_path(out, "records", batch_id))
+                after.write.mode("overwrite").parquet(_batch_path(out, "state", batch_id))
+            scratch.remove_folder(spark, _batch_path(out, "state", batch_id - 2))
         finally:
             rows.unpersist()
 
@@ -192,6 +195,7 @@ def write_filtered_view(records: DataFrame, condition, out: str,
             added = rows.groupBy("source").agg(F.count("*").alias("shown"))
             (before.unionByName(added).groupBy("source").agg(F.sum("shown").alias("shown"))
              .write.mode("overwrite").parquet(_batch_path(out, "shown", batch_id)))
+            scratch.remove_folder(spark, _batch_path(out, "shown", batch_id - 2))
         finally:
             rows.unpersist()
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .. import scratch
 from ..operators.stats import level_counts
 
 
@@ -33,18 +34,21 @@ def running_status(segments: DataFrame) -> DataFrame:
 
 def write_latest(result: DataFrame, out: str) -> DataStreamWriter:
     """Keep the newest full result readable: each micro-batch writes the whole result to its
-    own folder, then its number, and ``read_latest`` takes the newest one that has a number."""
+    own folder, then a mark with its number, and ``read_latest`` takes the newest one that has a mark.
+    The result before stays for those who are reading it; older ones go."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        (batch.sparkSession.range(batch_id, batch_id + 1, 1, 1)
-         .write.mode("append").parquet(f"{out}/done"))
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{out}/done/batch_id={batch_id}")
+        for kind in ("done/", ""):
+            scratch.remove_folder(spark, f"{out}/{kind}batch_id={batch_id - 2}")
 
     return result.writeStream.outputMode("complete").foreachBatch(write)
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
     """Newest result of ``write_latest``: the value any late reader sees first."""
-    newest = spark.read.schema("id bigint").parquet(f"{out}/done").agg(F.max("id")).first()[0]
+    newest = spark.read.schema("id bigint, batch_id bigint").parquet(f"{out}/done").agg(F.max("batch_id")).first()[0]
     return spark.read.parquet(f"{out}/batch_id={newest}")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import scratch
 from ..formats import csv
 from ..formats.log4j import EVENT_END, EVENT_START
 from ..formats.registry import get_format
@@ -219,7 +220,8 @@ def write_payload_records(chunks: DataFrame, out: str, options: dict[str, dict]
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            chunk_records(rows, options).write.mode("overwrite").parquet(f"{out}/records/batch_id={batch_id}")
+            with scratch.passing():
+                chunk_records(rows, options).write.mode("overwrite").parquet(f"{out}/records/batch_id={batch_id}")
         finally:
             rows.unpersist()
     return chunks.writeStream.foreachBatch(write)

@@ -238,3 +238,48 @@ def test_running_status_with_sizes(spark, tmp_path):
         if rows[0][2] == 20:
             assert last["a"] == (2, 30, True, 50)
     assert last == {"a": (3, 60, False, 100), "b": (1, 5, False, 100)}
+
+
+def _folders(path):
+    return sorted(p.name for p in path.iterdir() if p.is_dir())
+
+
+def test_state_and_helper_tables_do_not_grow(spark, tmp_path):
+    from pathlib import Path
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    path, out = tmp_path / "a.log", tmp_path / "out"
+    path.write_text("level;message\n")
+    advance(spark, path, follow.follow_csv(), out)
+    before = _folders(shared)
+    for i in range(3):
+        path.write_text(path.read_text() + f'info;"{i}\nopen')
+        advance(spark, path, follow.follow_csv(), out)
+        path.write_text(path.read_text() + '"\n')
+    advance(spark, path, follow.follow_csv(), out)
+    assert [r[5] for r in table(follow.read_written(spark, str(out)))] == [f"{i}\nopen" for i in range(3)]
+    assert len(_folders(out / "state")) == 2 and _folders(shared) == before
+
+
+def test_a_kill_between_records_and_state_loses_nothing(spark, tmp_path, monkeypatch):
+    path, out = tmp_path / "a.log", tmp_path / "out"
+    for i in range(4):
+        path.write_text("".join(f"line {k}\n" for k in range(3 * i + 3)))
+        if i == 2:
+            # The records of this micro-batch are written, its state is not.
+            broken = follow.Follower("\n", lambda units, state: (follow.follow_plain().step(units, state)[0], state.selectExpr("raise_error('killed') as x")))
+            with pytest.raises(Exception, match="killed"):
+                advance(spark, path, broken, out)
+        advance(spark, path, follow.follow_plain(), out)
+    assert [(r[1], r[5]) for r in table(follow.read_written(spark, str(out)))] == [(k, f"line {k}") for k in range(12)]
+    assert len(_folders(out / "state")) == 2
+
+
+def test_only_the_last_results_stay(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for i in range(5):
+        spark.createDataFrame([("a", i * 10, 10)], "source string, offset long, length long").write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("source string, offset long, length long").parquet(str(folder))
+        (live.write_latest(live.running_status(stream), str(out)).option("checkpointLocation", f"{tmp_path}/progress")
+         .trigger(availableNow=True).start().awaitTermination())
+        assert [tuple(r) for r in live.read_latest(spark, str(out)).collect()] == [("a", i + 1, i * 10 + 10)]
+    assert _folders(out) == ["batch_id=3", "batch_id=4", "done"] and _folders(out / "done") == ["batch_id=3", "batch_id=4"]
