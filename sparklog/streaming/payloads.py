@@ -148,7 +148,8 @@ def frame_payloads(payloads: DataFrame, key: list[str], order: list[str], format
     the same in Python.
 
     Payloads that are null or empty are left out. With ``flush_after_ms`` a record still open after
-    that time without payloads is given out as it is, and the next payload begins a new one.
+    that time without payloads is given out as it is, and the next payload begins a new one. Such a stream always has a next
+    micro-batch, so it is for running queries; a run over what there is (``availableNow``) goes without.
     """
     options = options or {}
     if format != "auto":
