@@ -951,6 +951,27 @@ def stream_tail_file(spark, sf_dir):
                      "message", "exception")
 
 
+@query("stream_record_bound", PLAIN_TEXT + """
+, n as (select count(*) as n from placed)
+select batch, least(8192, n - 8192 * batch) as count from n, range(0, 1 + (n - 1) // 8192) as b(batch)""")
+def stream_record_bound(spark, sf_dir):
+    """Lines of each micro-batch of a followed folder; a batch takes 8,192 of all files together."""
+    out = new_path(spark, "record-bound")
+    units = tail_units(spark, log_files(spark, sf_dir, "plain"), max_records_per_trigger=8192)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.agg(F.count("*").alias("count")).withColumn("batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+
+    running = (units.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-progress")
+               .trigger(processingTime="0 seconds").start())
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.option("basePath", out).parquet(out).select("batch", "count")
+
+
 @query("stream_replay", EVENT_TEXT + """
 select src, idx, event_time as "timestamp", level, message from xml where idx % 101 <> 0""")
 def stream_replay(spark, sf_dir):

@@ -42,8 +42,13 @@ class TailReader(DataSourceStreamReader):
         self.separator = options.get("separator", "\n").encode()
         self.range_bytes = int(options.get("rangebytes", 64 << 20))
         self.cap = int(options["maxbytespertrigger"]) if "maxbytespertrigger" in options else None
-        # Unknown after a restart: the first batch then takes all there is, since only the
-        # engine knows how far the query got.
+        self.max_records = int(options["maxrecordspertrigger"]) if "maxrecordspertrigger" in options else None
+        if self.cap is not None and self.max_records is not None:
+            raise ValueError("a trigger is bound by bytes or by records, not by both")
+        if self.max_records is not None and self.max_records < 1:
+            raise ValueError("maxRecordsPerTrigger must be positive")
+        # How far batches were planned; none when a query begins. After a restart the engine asks for
+        # the partitions of the last offset it has written before it asks for a new one.
         self.known: dict[str, int] | None = None
 
     def _files(self, system, root):
@@ -55,11 +60,14 @@ class TailReader(DataSourceStreamReader):
                 and not any(p.startswith((".", "_")) for p in f.path[len(root):].split("/"))]
 
     def initialOffset(self) -> dict:
-        self.known = {}
+        # Asked for after the first latest offset, so what is known stays.
         return {}
 
     def latestOffset(self) -> dict:
         system, root, _ = _filesystem(self.path)
+        if self.max_records is not None:
+            self.known = self._count_records(system, self._files(system, root))
+            return self.known
         latest = {}
         for info in self._files(system, root):
             size, floor = info.size, (self.known or {}).get(info.path, 0)
@@ -67,7 +75,7 @@ class TailReader(DataSourceStreamReader):
                 floor = 0
             if floor == size:
                 at = floor
-            elif self.cap is not None and self.known is not None:
+            elif self.cap is not None:
                 top = min(size, floor + self.cap)
                 at = self._last_record_end(system, info.path, floor, top)
                 if at == floor and top < size:
@@ -79,6 +87,41 @@ class TailReader(DataSourceStreamReader):
         self.known = latest
         return latest
 
+    def _count_records(self, system, files) -> dict[str, int]:
+        """Offsets behind ``max_records`` further records at most. Files with new text share the number evenly;
+        what one does not need goes to the others."""
+        size = {f.path: f.size for f in files}
+        at = {path: (self.known or {}).get(path, 0) for path in size}
+        at = {path: n if n <= size[path] else 0 for path, n in at.items()}
+        left, waiting = self.max_records, sorted(path for path in size if at[path] < size[path])
+        while left and waiting:
+            share, more = max(1, left // len(waiting)), []
+            for path in waiting:
+                wanted = min(share, left)
+                at[path], found = self._skip_records(system, path, at[path], size[path], wanted)
+                left -= found
+                if found == wanted and at[path] < size[path]:
+                    more.append(path)
+            waiting = more
+        return at
+
+    def _skip_records(self, system, path, at, size, limit) -> tuple[int, int]:
+        """End of the next ``limit`` records, or of as many as are whole, and their number."""
+        n, found, end, position, rest = len(self.separator), 0, at, at, b""
+        if not limit:
+            return at, 0
+        with system.open_input_file(path) as file:
+            while found < limit and (chunk := file.read_at(min(_CHUNK, size - position), position)):
+                base, text = position - len(rest), rest + chunk
+                position += len(chunk)
+                *records, rest = text.split(self.separator, limit - found)
+                if records:
+                    found += len(records)
+                    end = base + len(text) - len(rest)
+                # What is left holds no separator, so only the begin of one matters.
+                rest = rest[len(rest) - n + 1:] if 0 < n - 1 < len(rest) else rest if n > 1 else b""
+        return end, found
+
     def _last_record_end(self, system, path, floor, top) -> int:
         """End of the last separator in front of ``top``, searched from behind."""
         n, end = len(self.separator), top
@@ -102,6 +145,8 @@ class TailReader(DataSourceStreamReader):
         return floor
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if self.known is None:
+            self.known = dict(end)
         ranges = []
         for path, stop in sorted(end.items()):
             begin = start.get(path, 0)
@@ -169,8 +214,10 @@ class TailReader(DataSourceStreamReader):
 class LogTail(DataSource):
     """``spark.readStream.format("log_tail").option("path", ...)``.
 
-    Options: ``path`` (file or folder), ``separator``, ``maxBytesPerTrigger`` per file,
-    ``rangeBytes`` per task.
+    Options: ``path`` (file or folder), ``separator``, ``rangeBytes`` per task, and one of
+    ``maxBytesPerTrigger`` per file and ``maxRecordsPerTrigger`` of all files. Both hold after a
+    restart too. The driver reads the records it counts, so keep their number small. A query
+    with the trigger ``availableNow`` ends after one such batch; the next run goes on from there.
     """
 
     @classmethod
@@ -185,11 +232,14 @@ class LogTail(DataSource):
 
 
 def tail_units(spark: SparkSession, path: str, separator: str = "\n",
-               max_bytes_per_trigger: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+               max_bytes_per_trigger: int | None = None, range_bytes: int = 64 << 20,
+               max_records_per_trigger: int | None = None) -> DataFrame:
     """Stream of units appended to the files below ``path``."""
     spark.dataSource.register(LogTail)
     reader = (spark.readStream.format("log_tail").option("path", path)
               .option("separator", separator).option("rangeBytes", range_bytes))
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    if max_records_per_trigger is not None:
+        reader = reader.option("maxRecordsPerTrigger", max_records_per_trigger)
     return reader.load()

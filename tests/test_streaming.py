@@ -141,9 +141,72 @@ def test_tail_cap(tmp_path):
                      for v in b.column("value").to_pylist()])
         at = end
     assert seen == [["aa", "bb"], ["c" * 50], ["dd"]]
-    # A reader that does not know how far the query got takes all there is.
-    assert TailReader({"path": str(path), "maxbytespertrigger": "7"}).latestOffset() == at
     assert isinstance(reader.partitions({}, at)[0], Range)
+    # A reader started anew is told the last offset by a call for its partitions.
+    again = TailReader({"path": str(path), "maxbytespertrigger": "7"})
+    assert again.partitions({str(path): 6}, {str(path): 6}) == []
+    assert again.latestOffset() == {str(path): 57}
+
+
+@pytest.mark.parametrize("separator", ["\n", "<end>"])
+def test_tail_counts_records(tmp_path, monkeypatch, separator):
+    monkeypatch.setattr("sparklog.sources.tail._CHUNK", 7)
+    records = {"a": ["", "x" * 30, "<en", "y"] * 5, "b": ["z"] * 3, "c": []}
+    for name, texts in records.items():
+        (tmp_path / name).write_text("".join(t + separator for t in texts) + "open<e")
+    reader = TailReader({"path": str(tmp_path), "separator": separator, "maxrecordspertrigger": "8"})
+    at, seen = reader.initialOffset(), []
+    while True:
+        end = reader.latestOffset()
+        batch = {}
+        for part in reader.partitions(at, end):
+            for rows in reader.read(part):
+                batch.setdefault(part.path.rsplit("/", 1)[-1], []).extend(rows.column("value").to_pylist())
+        if not batch:
+            break
+        seen.append(batch)
+        at = end
+    # What small files leave over goes to the large one.
+    assert [sum(map(len, batch.values())) for batch in seen] == [8, 8, 7]
+    assert {name: [v for batch in seen for v in batch.get(name, [])] for name in records} == records
+    with pytest.raises(ValueError):
+        TailReader({"path": str(tmp_path), "maxrecordspertrigger": "8", "maxbytespertrigger": "8"})
+
+
+def test_byte_bound_of_a_new_query(spark, tmp_path):
+    folder, sizes = tmp_path / "logs", []
+    folder.mkdir()
+    (folder / "a.log").write_text("".join(f"{i}\n" for i in range(10)))
+    query = (tail_units(spark, str(folder), max_bytes_per_trigger=8).writeStream
+             .foreachBatch(lambda batch, _: sizes.append(sorted(int(r.value) for r in batch.collect())))
+             .option("checkpointLocation", str(tmp_path / "progress")).trigger(processingTime="0 seconds").start())
+    query.processAllAvailable()
+    query.stop()
+    assert sizes == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
+def test_record_bound_holds_after_a_restart(spark, tmp_path):
+    folder, sizes = tmp_path / "logs", []
+    folder.mkdir()
+    (folder / "a.log").write_text("".join(f"{i}\n" for i in range(25)))
+
+    def run(once):
+        query = (tail_units(spark, str(folder), max_records_per_trigger=10).writeStream
+                 .foreachBatch(lambda batch, _: sizes.append(sorted(int(r.value) for r in batch.collect())))
+                 .option("checkpointLocation", str(tmp_path / "progress")))
+        if once:
+            query.trigger(availableNow=True).start().awaitTermination()
+        else:
+            query = query.trigger(processingTime="0 seconds").start()
+            query.processAllAvailable()
+            query.stop()
+
+    run(True)
+    run(True)
+    with open(folder / "a.log", "a") as f:
+        f.write("".join(f"{i}\n" for i in range(25, 32)))
+    run(False)
+    assert sizes == [list(range(10)), list(range(10, 20)), list(range(20, 30)), [30, 31]]
 
 
 def test_byte_order_mark(spark, tmp_path):
