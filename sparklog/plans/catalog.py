@@ -9,6 +9,7 @@ from ..formats.csv import CsvLayout
 from ..functions import exceptions, levels, text, times
 from ..model import LEVELS
 from ..operators import detect, navigate, search as searching, stats, status, views
+from ..operators.occurrences import occurrences_in_files
 from ..scratch import new_path
 from ..sources import pages
 from ..sources.files import list_files, read_heads, scan_units
@@ -656,6 +657,16 @@ def occurrences(spark, sf_dir):
         "doc_id", F.posexplode(hits).alias("pos", "at"))
 
 
+@query("occurrences_file", PLAIN_TEXT + """
+select src, "offset" + length - 2 as "at" from (
+  select *, lead(line) over (partition by src order by idx, pos) as next from placed)
+where next like 'user 1%'""")
+def occurrences_file(spark, sf_dir):
+    """A literal with a line break in whole files."""
+    found = occurrences_in_files(spark, log_files(spark, sf_dir, "plain"), "\r\nuser 1")
+    return _with_src(found, F.col("offset").alias("at"))
+
+
 @query("occurrences_limit", _FOUND + 'select doc_id, pos, "at" from found where pos < 3')
 def occurrences_limit(spark, sf_dir):
     hits = text.occurrences(F.col("text"), "er", limit=3)

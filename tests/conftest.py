@@ -35,6 +35,19 @@ def split_bytes(spark):
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.fixture
+def cut_units(spark, split_bytes):
+    """Lines of files in small splits; later reads of helper tables aren't cut like that."""
+    def read(path, size):
+        split_bytes(size)
+        from sparklog.sources.files import scan_units
+        units = scan_units(spark, str(path))
+        rows = units.collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        return spark.createDataFrame(rows, units.schema).coalesce(1)
+    return read
+
+
 @pytest.fixture
 def write_file(tmp_path):
     def write(data, name="a.log"):
