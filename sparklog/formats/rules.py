@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.levels import parse_level
 from ..functions.times import parse_timestamp
+from ..operators.ahead import with_lines_ahead
 from ..operators.blocks import glue_records, index_blocks
 from ..sources.files import scan_units
 from .common import apply_malformed_policy, strip_cr, to_records, with_once
@@ -16,6 +17,7 @@ from .common import apply_malformed_policy, strip_cr, to_records, with_once
 SLOTS = ("timestamp", "level", "logger", "thread", "message", "exception")
 # Only \n ends a line.
 _DIALECT = "(?d)"
+_LOOKS_BEHIND = re.compile(r"\(\?<[=!][^)]*(?:\\[nR]|\n)")
 # A line break that a pattern asks for by itself: outside of sets and of what is to be absent.
 _BREAK = re.compile(r"(?:(?<=[^\\])|^)(?:\\\\)*(?:\\[nR]|\n)(?![^\[\]]*\])")
 
@@ -47,8 +49,14 @@ class FieldRule:
 class RuleSet:
     """``start`` opens a record at each of its matches in a line; it may look at the text around it in that line.
     ``end`` (not part of the record) closes it; without ``end`` a record lasts until the next start. An end is looked
-    for from the start on and lies in one line, its break included. A start with a line break is refused.
-    ``definitions`` are named patterns, used as ``{name}`` in all others."""
+    for from the start on and lies in one line, its break included. ``definitions`` are named patterns, used as
+    ``{name}`` in all others.
+
+    A start that goes on in the lines behind its own needs ``start_lines``, the lines that it takes at most, its own
+    included; a pattern with a line break is refused without. Starts are then looked for from the begin of each line,
+    in its text and the lines behind it, and those that begin in the line, or with its break, count. A line at the
+    end of a file counts as ended by a break. Matches may not overlap, and can't look back over a line break.
+    """
 
     name: str
     start: str
@@ -56,6 +64,7 @@ class RuleSet:
     fields: tuple[FieldRule, ...] = ()
     timestamp_format: str | None = None
     definitions: dict[str, str] = field(default_factory=dict)
+    start_lines: int = 1
 
     def __post_init__(self):
         unknown = [f.slot for f in self.fields if f.slot not in SLOTS]
@@ -63,8 +72,12 @@ class RuleSet:
             raise ValueError(f"unknown slots {unknown}; use {SLOTS}")
         for pattern in (self.start, self.end or "", *[f.pattern for f in self.fields]):
             self.expand(pattern)
-        if _BREAK.search(self.expand(self.start)):
-            raise ValueError("a start lies in one line, so its pattern can't hold a line break")
+        if self.start_lines < 1:
+            raise ValueError("a start takes one line or more")
+        if self.start_lines == 1 and _BREAK.search(self.expand(self.start)):
+            raise ValueError("a start with a line break needs start_lines, the lines it takes at most")
+        if _LOOKS_BEHIND.search(self.expand(self.start)):
+            raise ValueError("a start can't look back over a line break")
 
     def expand(self, pattern: str) -> str:
         """Replace ``{name}`` by its definition; repetition counts such as ``{2}`` stay."""
@@ -103,16 +116,23 @@ def _let(value: Column, use) -> Column:
 _STOP, _FILL = "\ufdd1", "\ufdd0"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
+def _pieces(text: Column, pattern: str, ahead: Column | None = None) -> Column:
     """A text cut in front of every match: what is before the first one, if only nothing, and then the
     matches, each with the text up to the next one.
 
     Every match is found in the whole text, so patterns may look around and may match nothing. A text that
-    holds the filling character gets a mark with a longer run of it than any text of that length has.
+    holds the filling character gets a mark with a longer run of it than any text of that length has. With
+    ``ahead`` the text is one line, matched with the lines behind it; the pieces are those of the line.
     """
-    fill = F.when(F.contains(text, F.lit(_FILL)), F.length(text) + 1).otherwise(F.lit(1))
+    whole = text if ahead is None else F.concat(text, F.lit("\n"), ahead)
+    fill = F.when(F.contains(whole, F.lit(_FILL)), F.length(whole) + 1).otherwise(F.lit(1))
     mark = F.concat(F.lit(_STOP), F.repeat(F.lit(_FILL), fill), F.lit(_STOP))
-    return _let(mark, lambda m: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(m, F.lit("$0"))), m, -1))
+
+    def cut(m):
+        marked = F.regexp_replace(whole, F.lit(pattern), F.concat(m, F.lit("$0")))
+        return F.split(marked if ahead is None else F.substring_index(marked, "\n", 1), m, -1)
+
+    return _let(mark, cut)
 
 
 def _start_pattern(rules: RuleSet) -> str:
@@ -133,10 +153,14 @@ def rule_texts(text: Column, rules: RuleSet) -> Column:
 def split_lines(units: DataFrame, rules: RuleSet) -> DataFrame:
     """Lines with ``start``; those that hold several starts, or text before one, become several units."""
     start = rules.expand(rules.start)
-    if start.startswith("^") and "|" not in start:
-        return units.withColumns({"start": F.regexp_like("value", _regex(rules, rules.start)), "_whole": F.lit(True)})
+    ahead = None
     others = [c for c in units.columns if c not in ("value", "width")]
-    cut = units.select(*others, "width", F.octet_length("value").alias("_bytes"), _pieces(F.col("value"), _start_pattern(rules)).alias("_p"))
+    if rules.start_lines > 1:
+        units, ahead = with_lines_ahead(units, rules.start_lines - 1), F.col("ahead")
+    elif start.startswith("^") and "|" not in start:
+        return units.withColumns({"start": F.regexp_like("value", _regex(rules, rules.start)), "_whole": F.lit(True)})
+    pieces = _pieces(F.col("value"), _start_pattern(rules), ahead)
+    cut = units.select(*others, "width", F.octet_length("value").alias("_bytes"), pieces.alias("_p"))
     cut = cut.select(*others, "width", "_bytes", F.size("_p").alias("_n"), F.posexplode("_p").alias("_at", "value"))
     last = F.col("_at") == F.col("_n") - 1
     # The break at the end of the line belongs to its last piece.

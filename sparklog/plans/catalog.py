@@ -491,6 +491,18 @@ def rules_look_around(spark, sf_dir):
     return _with_src(segments, "idx", "offset", "length", "head")
 
 
+@query("rules_across_lines", RULES_TEXT + """
+, whole as (select *, max("offset" + strlen(raw) + 2) over (partition by src) as total from ruled)
+select src, row_number() over (partition by src order by idx) - 1 as idx, "offset",
+  coalesce(lead("offset") over (partition by src order by idx), total) - "offset" as length
+from whole where message like '%' || chr(10) || 'more%'""")
+def rules_across_lines(spark, sf_dir):
+    """Records that begin where the line behind a stamp goes on with more."""
+    units = scan_units(spark, log_files(spark, sf_dir, "rules"))
+    more = rules.RuleSet("more", start="^{stamp}[^\\n]*\\nmore", start_lines=2, definitions=RULES.definitions)
+    return _with_src(rules.rule_segments(units, more), "idx", "offset", "length")
+
+
 @query("rules_parse", RULES_TEXT + """
 select src, idx, date_trunc('second', "timestamp") as "timestamp", level, message, "offset",
   cast(strlen(raw) + 2 as bigint) as length from ruled""")

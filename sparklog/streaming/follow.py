@@ -121,6 +121,8 @@ def follow_csv(delimiter: str | None = None, quote: str = '"', time_patterns: tu
 def follow_rules(ruleset: RuleSet, on_malformed: str = "drop") -> Follower:
     """Without an end rule the last record stays open until the next one starts."""
     _check_policy(on_malformed)
+    if ruleset.start_lines > 1:
+        raise ValueError("a followed source may end inside of a start; starts have to lie in one line")
 
     def step(units, state):
         # What is still open is known to begin with a start and to have no end.

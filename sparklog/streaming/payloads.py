@@ -69,6 +69,8 @@ def _closed_by(format: str, options: dict) -> Callable[[str], int]:
     if format == "plain":
         return lambda text: text.rfind("\n") + 1
     rules: RuleSet = options["rules"]
+    if rules.start_lines > 1:
+        raise ValueError("a payload may end inside of a start; starts have to lie in one line")
     start = re.compile(rules.expand(rules.start), re.MULTILINE)
     end = re.compile(rules.expand(rules.end)) if rules.end else None
     return lambda text: _rules_end(text, start, end)
