@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..formats import csv as csv_format, log4j, plain, rules
 from ..formats.csv import CsvLayout
+from ..formats.scanner import scan_records
 from ..functions import exceptions, levels, text, times
 from ..model import LEVELS
 from ..operators import detect, navigate, search as searching, stats, status, views
@@ -511,6 +512,26 @@ def rules_parse(spark, sf_dir):
     return _with_src(records, "idx", "timestamp", "level", "message", "offset", "length")
 
 
+def _stamped_scan():
+    """A scanner by code: two words, then text in which a word after "more;" counts as the exception."""
+    def scan(raw):
+        stamp, level, message = raw.split(" ", 2)
+        message, _, more = message.partition("\r\nmore; ")
+        return {"timestamp": stamp, "level": level, "message": message, "exception": more.swapcase()}
+    return scan
+
+
+@query("scanner_parse", RULES_TEXT + """
+select src, idx, date_trunc('second', "timestamp") as "timestamp", level,
+  string_split(message, crlf)[1] as message,
+  case when message like '%' || crlf || 'more; %' then 'FOR "' || "user" || '" AND OTHERS' end as exception
+from (select *, chr(13) || chr(10) as crlf from ruled)""")
+def scanner_parse(spark, sf_dir):
+    units = scan_units(spark, log_files(spark, sf_dir, "rules"))
+    records = scan_records(rules.rule_segments(units, RULES), _stamped_scan, RULES.timestamp_format)
+    return _with_src(records, "idx", "timestamp", "level", "message", "exception")
+
+
 @query("parse_timestamp", LR + """
 select src, idx, case when idx % 4 <> 3 then date_trunc('second', "timestamp") end as parsed
 from lr""")

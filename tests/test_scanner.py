@@ -1,0 +1,58 @@
+"""Records scanned by a user's own code."""
+
+import sys
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from sparklog.formats.scanner import scan_records
+
+# Tasks can't import a test.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SEGMENTS = "source string, idx bigint, offset bigint, length bigint, raw string"
+
+
+def counting():
+    """Nested brackets, which no pattern counts; remembers how many records the task has seen."""
+    seen = []
+
+    def scan(raw):
+        seen.append(raw)
+        depth = 0
+        for character in raw:
+            depth += {"(": 1, ")": -1}.get(character, 0)
+            if depth < 0:
+                raise ValueError("closed too often")
+        return {"level": "warn" if depth else "info", "message": raw.strip("()"), "thread": str(len(seen)), "logger": ""}
+
+    return scan
+
+
+@pytest.fixture(scope="module")
+def segments(spark):
+    texts = ["(a)", "((b)", "c)", None, "", "é(" * 3]
+    return spark.createDataFrame([("s", i, 10 * i, 10, t) for i, t in enumerate(texts)], SEGMENTS).coalesce(1)
+
+
+def test_scan(segments, rows):
+    got = rows(scan_records(segments, counting, on_malformed="keep"), "idx", "level", "message", "thread", "logger", "malformed")
+    assert got == [(0, "Info", "a", "1", None, None), (1, "Warn", "((b".strip("("), "2", None, None),
+                   (2, None, None, None, None, "closed too often"), (3, None, None, None, None, None),
+                   (4, "Info", None, "4", None, None), (5, "Warn", "é(é(é", "5", None, None)]
+    assert [r[0] for r in rows(scan_records(segments, counting), "idx")] == [0, 1, 3, 4, 5]
+    assert [r[0] for r in rows(scan_records(segments, counting, on_malformed="stop"), "idx")] == [0, 1]
+
+
+def test_tasks_stay_apart_and_empty_tables(segments):
+    plan = scan_records(segments.repartition(3), counting)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert scan_records(segments.where(F.lit(False)), counting).count() == 0
+
+
+def test_what_is_refused(segments):
+    with pytest.raises(Exception, match="hidden"):
+        scan_records(segments.withColumn("level", F.lit("x")), counting).count()
+    with pytest.raises(Exception, match="column raw"):
+        scan_records(segments.drop("raw"), counting).count()
