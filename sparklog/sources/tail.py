@@ -168,10 +168,18 @@ class TailReader(DataSourceStreamReader):
                 at, rest = self._skip(file, partition)
             record_at, values = at - len(rest), []
             done = record_at >= partition.end
+            # A long record is put together once; until then only new bytes are searched.
+            parts, unsearched = [rest], rest
             while not done:
                 chunk = file.read_at(min(_CHUNK, partition.size - at), at)
                 at += len(chunk)
-                *records, rest = (rest + chunk).split(sep)
+                parts.append(chunk)
+                unsearched += chunk
+                records = []
+                if sep in unsearched:
+                    *records, rest = b"".join(parts).split(sep)
+                    parts, unsearched = [rest], rest
+                unsearched = unsearched[max(0, len(unsearched) - n + 1):]
                 for record in records:
                     if record_at >= partition.end:
                         done = True
@@ -189,13 +197,14 @@ class TailReader(DataSourceStreamReader):
         """First record start at or behind the range's begin, and the bytes read beyond it."""
         n = len(self.separator)
         at = max(0, partition.begin - n)
-        text = b""
+        text = bytearray()
         while True:
             chunk = file.read_at(min(_CHUNK, partition.size - at - len(text)), at + len(text))
+            searched = max(0, len(text) - n + 1)
             text += chunk
-            found = text.find(self.separator)
+            found = text.find(self.separator, searched)
             if found >= 0:
-                return at + len(text), text[found + n:]
+                return at + len(text), bytes(text[found + n:])
             if not chunk:
                 return partition.size, b""
 

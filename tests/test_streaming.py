@@ -112,7 +112,9 @@ def test_long_open_record_keeps_its_text(spark, tmp_path):
 
 
 @pytest.mark.parametrize("separator", ["\n", "<end>"])
-def test_tail_ranges_cover_everything(tmp_path, separator):
+@pytest.mark.parametrize("chunk", [2, 1 << 20])
+def test_tail_ranges_cover_everything(tmp_path, monkeypatch, separator, chunk):
+    monkeypatch.setattr("sparklog.sources.tail._CHUNK", chunk)
     rng = random.Random(1)
     records = ["x" * rng.choice([0, 1, 5, 40]) for _ in range(60)]
     path = tmp_path / "a.log"
