@@ -5,6 +5,7 @@ read, and hands out what was appended since, up to the last complete separator.
 units: ``source, block, size, width, value``.
 """
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 _CHUNK = 1 << 20
 _BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 _ROWS = 8192
+# Of the records of one trigger a file gets an eighth at least, or as many as these.
+_FILES_PER_TRIGGER = 8
+_LEAST_SHARE = 4096
+# Key in an offset, no path: the file that was counted last, behind which the next trigger goes on.
+_TURN = ""
 _SCHEMA = pa.schema([("source", pa.string()), ("block", pa.int64()), ("size", pa.int64()),
                      ("width", pa.int64()), ("value", pa.string())])
 
@@ -36,11 +42,19 @@ class Range(InputPartition):
         self.path, self.begin, self.end, self.first, self.size = path, begin, end, first, size
 
 
+class Ranges(InputPartition):
+    """Several ranges for one task."""
+
+    def __init__(self, ranges):
+        self.ranges = ranges
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path = options["path"]
         self.separator = options.get("separator", "\n").encode()
         self.range_bytes = int(options.get("rangebytes", 64 << 20))
+        self.open_cost = int(options["opencostbytes"]) if "opencostbytes" in options else None
         self.cap = int(options["maxbytespertrigger"]) if "maxbytespertrigger" in options else None
         self.max_records = int(options["maxrecordspertrigger"]) if "maxrecordspertrigger" in options else None
         if self.cap is not None and self.max_records is not None:
@@ -88,28 +102,37 @@ class TailReader(DataSourceStreamReader):
         return latest
 
     def _count_records(self, system, files) -> dict[str, int]:
-        """Offsets behind ``max_records`` further records at most. Files with new text share the number evenly;
-        what one does not need goes to the others."""
+        """Offsets behind ``max_records`` further records at most. A few files with new text share the number
+        evenly, and all files take turns from trigger to trigger, so that a trigger opens a few files, however many there
+        are. What one does not need goes to the others."""
         size = {f.path: f.size for f in files}
-        at = {path: (self.known or {}).get(path, 0) for path in size}
+        known = self.known or {}
+        at = {path: known.get(path, 0) for path in size}
         at = {path: n if n <= size[path] else 0 for path, n in at.items()}
-        left, waiting = self.max_records, sorted(path for path in size if at[path] < size[path])
+        turn = known.get(_TURN)
+        waiting = sorted(path for path in size if at[path] < size[path])
+        if turn is not None:
+            behind = bisect_right(waiting, turn)
+            waiting = waiting[behind:] + waiting[:behind]
+        left, least = self.max_records, max(_LEAST_SHARE, self.max_records // _FILES_PER_TRIGGER)
         while left and waiting:
-            share, more = max(1, left // len(waiting)), []
+            share, more = max(least, left // len(waiting)), []
             for path in waiting:
+                if not left:
+                    break
                 wanted = min(share, left)
                 at[path], found = self._skip_records(system, path, at[path], size[path], wanted)
                 left -= found
+                if found:
+                    turn = path
                 if found == wanted and at[path] < size[path]:
                     more.append(path)
             waiting = more
-        return at
+        return at if turn is None else {**at, _TURN: turn}
 
     def _skip_records(self, system, path, at, size, limit) -> tuple[int, int]:
         """End of the next ``limit`` records, or of as many as are whole, and their number."""
         n, found, end, position, rest = len(self.separator), 0, at, at, b""
-        if not limit:
-            return at, 0
         with system.open_input_file(path) as file:
             while found < limit and (chunk := file.read_at(min(_CHUNK, size - position), position)):
                 base, text = position - len(rest), rest + chunk
@@ -148,15 +171,31 @@ class TailReader(DataSourceStreamReader):
         if self.known is None:
             self.known = dict(end)
         ranges = []
-        for path, stop in sorted(end.items()):
+        for path, stop in sorted((path, stop) for path, stop in end.items() if path != _TURN):
             begin = start.get(path, 0)
             # A shorter file was truncated or replaced: it is read from its beginning.
             begin = begin if begin <= stop else 0
             for at in range(begin, stop, self.range_bytes):
                 ranges.append(Range(path, at, min(at + self.range_bytes, stop), at == begin, stop))
-        return ranges
+        return ranges if self.open_cost is None else self._pack(ranges)
+
+    def _pack(self, ranges: list[Range]) -> list[InputPartition]:
+        """Small ranges share tasks."""
+        packs, room = [], 0
+        for r in ranges:
+            cost = max(r.end - r.begin, self.open_cost)
+            if cost > room:
+                packs.append([])
+                room = self.range_bytes
+            packs[-1].append(r)
+            room -= cost
+        return [pack[0] if len(pack) == 1 else Ranges(pack) for pack in packs]
+
+    def read(self, partition: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges if isinstance(partition, Ranges) else [partition]:
+            yield from self._read(one)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, _, prefix = _filesystem(self.path)
         sep, n = self.separator, len(self.separator)
         name = prefix + partition.path if prefix else "file:" + partition.path
@@ -223,7 +262,8 @@ class TailReader(DataSourceStreamReader):
 class LogTail(DataSource):
     """``spark.readStream.format("log_tail").option("path", ...)``.
 
-    Options: ``path`` (file or folder), ``separator``, ``rangeBytes`` per task, and one of
+    Options: ``path`` (file or folder), ``separator``, ``rangeBytes`` per task, ``openCostBytes`` (ranges share
+    tasks, each counted as that many bytes at least; without it each has its own), and one of
     ``maxBytesPerTrigger`` per file and ``maxRecordsPerTrigger`` of all files. Both hold after a
     restart too. The driver reads the records it counts, so keep their number small. A query
     with the trigger ``availableNow`` ends after one such batch; the next run goes on from there.
@@ -246,7 +286,7 @@ def tail_units(spark: SparkSession, path: str, separator: str = "\n",
     """Stream of units appended to the files below ``path``."""
     spark.dataSource.register(LogTail)
     reader = (spark.readStream.format("log_tail").option("path", path)
-              .option("separator", separator).option("rangeBytes", range_bytes))
+              .option("separator", separator).option("rangeBytes", range_bytes).option("openCostBytes", 4 << 20))
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     if max_records_per_trigger is not None:

@@ -175,6 +175,45 @@ def test_tail_counts_records(tmp_path, monkeypatch, separator):
         TailReader({"path": str(tmp_path), "maxrecordspertrigger": "8", "maxbytespertrigger": "8"})
 
 
+def test_record_bound_opens_few_of_many_files(tmp_path):
+    files = [tmp_path / f"{i:02}.log" for i in range(40)]
+    for i, path in enumerate(files):
+        path.write_text("".join(f"{i}-{n}\n" for n in range(12)))
+    make = lambda: TailReader({"path": str(tmp_path), "maxrecordspertrigger": "20", "opencostbytes": "1000"})
+    reader, at, seen, tasks = make(), {}, [], []
+    while True:
+        end = reader.latestOffset()
+        parts = reader.partitions(at, end)
+        if not parts:
+            break
+        tasks.append(len(parts))
+        seen.append([v for part in parts for rows in reader.read(part) for v in rows.column("value").to_pylist()])
+        at = end
+        if len(seen) == 7:
+            # After a restart the files go on taking turns; a file that grew waits for its own.
+            with open(files[0], "a") as f:
+                f.write("0-12\n")
+            reader = make()
+            assert reader.partitions(at, at) == []
+    assert reader.latestOffset() == at
+    assert [len(b) for b in seen] == [20] * 24 + [1] and set(tasks) == {1}
+    assert max(len({v.split("-")[0] for v in b}) for b in seen) <= 6
+    assert sorted(v for b in seen for v in b) == sorted([f"{i}-{n}" for i in range(40) for n in range(12)] + ["0-12"])
+    assert not any("0-12" in b for b in seen[:8])
+
+
+def test_small_files_share_tasks(tmp_path):
+    for i in range(10):
+        (tmp_path / f"{i}.log").write_text("x\n" * 10 * (i + 1))
+    options = {"path": str(tmp_path), "rangebytes": "100"}
+    alone, packed = TailReader(options), TailReader({**options, "opencostbytes": "50"})
+    read = lambda r, p: [b.to_pylist() for b in r.read(p)]
+    parts = packed.partitions({}, packed.latestOffset())
+    singles = alone.partitions({}, alone.latestOffset())
+    assert len(parts) < len(singles) == 15
+    assert [b for p in parts for b in read(packed, p)] == [b for p in singles for b in read(alone, p)]
+
+
 def test_byte_bound_of_a_new_query(spark, tmp_path):
     folder, sizes = tmp_path / "logs", []
     folder.mkdir()
