@@ -12,6 +12,8 @@ from ..formats.rules import FieldRule, RuleSet
 
 MIN_SOURCE_ROWS = 4_000
 MAX_SOURCES = 10_000
+# Events per file of a payload stream's micro-batch, of which there are at least four files.
+PAYLOAD_FILE_EVENTS = 50_000
 
 CSV_HEADER = "time;level;logger;message;exception;user;k"
 
@@ -166,7 +168,9 @@ def payload_stream(spark: SparkSession, sf_dir: str, texts: DataFrame, name: str
     payloads = texts.withColumns({"a": place(1), "b": place(2)}).select(
         "origin", "at", F.posexplode(parts).alias("part", "value")).where(F.octet_length("value") > 0)
     path = scratch.new_path(spark, f"payloads-{name}")
-    files, rows = 4, source_rows(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
+    # An origin's third lies in one file, so its payloads keep their order whichever files a micro-batch takes.
+    files, rows = max(4, -(-events.count() // PAYLOAD_FILE_EVENTS)), source_rows(events)
     third = F.expr(f"at * 3 div {rows}")
     for n in range(3):
         payloads.where(third == n).repartition(files, "origin").write.mode("append").parquet(path)

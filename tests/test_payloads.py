@@ -163,3 +163,18 @@ def test_chunks_of_one_origin_are_dealt_out(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spread) == 4 and max(r["count"] for r in spread) < 400
+
+
+def test_files_of_a_payload_stream_follow_its_events(spark, tmp_path):
+    from sparklog import scratch
+    from sparklog.plans import bridge
+    spark.range(210_000).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    texts = spark.range(200).select(F.col("id").cast("string").alias("origin"), F.explode(F.array(
+        *[F.lit(n).cast("bigint") for n in (0, 2000, 3999)])).alias("at"), F.lit("some text\n").alias("text"))
+    stream = bridge.payload_stream(spark, str(tmp_path), texts, "followed")
+    batches = []
+    query = (stream.writeStream.foreachBatch(lambda batch, _: batches.append(
+        (len(batch.select(F.input_file_name()).distinct().collect()), {r.at for r in batch.collect()})))
+        .option("checkpointLocation", scratch.new_path(spark, "followed-progress")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert batches == [(5, {0}), (5, {2000}), (5, {3999})]
