@@ -326,6 +326,43 @@ def test_memory_follows_tokens_beside_one_long_text():
     assert peak < 10e6 and (got < 0).all()
 
 
+def test_windows_use_memory_again():
+    net = lm.Network(head=2_048)
+    rng = np.random.default_rng(3)
+    ids, first, real = rng.integers(0, 2_048 + lm._FORMS, (32, 128)), np.zeros((32, 128), bool), np.ones((32, 128), bool)
+    state = np.zeros((128, 32), np.float32)
+    net.gradient(ids, first, real, state)
+    tracemalloc.start()
+    net.gradient(ids, first, real, state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # New arrays for each step and each logit took more than 10 MB a window.
+    assert peak < 5e6
+
+
+def test_forms_are_found_once_by_the_part(docs):
+    for part in lm.split_corpus(docs).collect():
+        head_words = [*part["vocab"][:5], "is in no text"]
+        place = {w: i for i, w in enumerate(head_words)}
+        got = lm.model_ids(pa.array(part["vocab"], pa.string()), part["forms"], head_words)
+        assert got.tolist() == [place.get(w, 6 + lm.form(w)) for w in part["vocab"]]
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_probabilities_of_small_and_great_logits(scale):
+    net = lm.Network(head=10, hidden=5, bin_size=4, seed=3)
+    for k in ("c", "w"):
+        net.p[k] *= scale
+    rng = np.random.default_rng(4)
+    ids, states = rng.integers(0, 10 + lm._FORMS, 900), rng.uniform(-1, 1, (900, 5)).astype(np.float32)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    want = [softmax(s @ p["c"] + p["cb"])[c] + (softmax(s @ p["w"][c] + p["wb"][c])[i % 4] if i < 10 else 0)
+            for i, s, c in zip(ids, states, net.classes(ids))]
+    assert net.bounded(net.p["c"], net.p["cb"]) == (scale == 1)
+    assert net.log_probs(states, ids) == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_scores(docs, no_docs):
     rows = make_docs()
     got = lm.score(docs, head=24, hidden=8, epochs=2, window=8).collect()
