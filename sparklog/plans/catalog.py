@@ -11,7 +11,7 @@ from ..functions import exceptions, levels, text, times
 from ..model import LEVELS
 from ..operators import detect, navigate, search as searching, stats, status, views
 from ..operators.occurrences import occurrences_in_files
-from ..scratch import new_path
+from ..scratch import checkpoint_files, new_path
 from ..sources import pages
 from ..sources.files import list_files, read_heads, scan_units
 from ..sources.reader import from_payloads, read_logs
@@ -1001,19 +1001,19 @@ select batch, least(8192, n - 8192 * batch) as count from n, range(0, 1 + (n - 1
 def stream_record_bound(spark, sf_dir):
     """Lines of each micro-batch of a followed folder; a batch takes 8,192 of all files together."""
     units = tail_units(spark, log_files(spark, sf_dir, "plain"), max_records_per_trigger=8192)
-    counts = {}
-
-    def count(batch: DataFrame, batch_id: int) -> None:
-        # The bound makes a batch small, so one task counts it without a shuffle; a repeated one counts once.
-        counts[batch_id] = batch.coalesce(1).count()
-
-    running = (units.writeStream.foreachBatch(count).option("checkpointLocation", new_path(spark, "record-bound-progress"))
-               .trigger(processingTime="0 seconds").start())
+    counts, progress = live.BatchCounts(), new_path(spark, "record-bound-progress")
     try:
-        running.processAllAvailable()
+        with checkpoint_files(spark, progress):
+            running = (units.writeStream.foreachBatch(counts).option("checkpointLocation", progress)
+                       .trigger(processingTime="0 seconds").start())
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+        rows = sorted(counts.result().items())
     finally:
-        running.stop()
-    return spark.createDataFrame(sorted(counts.items()), "batch bigint, count bigint")
+        counts.close()
+    return spark.createDataFrame(rows, "batch bigint, count bigint")
 
 
 @query("stream_replay", EVENT_TEXT + """

@@ -5,7 +5,11 @@ read, and hands out what was appended since, up to the last complete separator.
 units: ``source, block, size, width, value``.
 """
 
-from bisect import bisect_right
+import json
+import time
+import zlib
+from base64 import b64decode, b64encode
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +23,14 @@ _ROWS = 8192
 # Of the records of one trigger a file gets an eighth at least, or as many as these.
 _FILES_PER_TRIGGER = 8
 _LEAST_SHARE = 4096
-# Key in an offset, no path: the file that was counted last, behind which the next trigger goes on.
+# With a bound in records a folder is listed anew when its known text is used up, or after this many times the
+# time that the last listing took.
+_LISTING_PAUSE = 20
+# Key in an offset with a bound in records, no path. Its ``files`` are a packed table of positions that many offsets
+# have in common, ``since`` those that moved since then (null for a file that is gone), and ``turn`` is the file that
+# was counted last, behind which the next trigger goes on. Older offsets name every file, and have the turn here.
 _TURN = ""
+_LEAST_MOVED = 100
 _SCHEMA = pa.schema([("source", pa.string()), ("block", pa.int64()), ("size", pa.int64()),
                      ("width", pa.int64()), ("value", pa.string())])
 
@@ -35,6 +45,23 @@ def _filesystem(path: str):
     return system, name, path[:len(path) - len(name)]
 
 
+def _pack_positions(positions: dict[str, int]) -> str:
+    text = json.dumps([list(positions), list(positions.values())]).encode()
+    return b64encode(zlib.compress(text)).decode()
+
+
+def _unpack_positions(packed: str) -> dict[str, int]:
+    return dict(zip(*json.loads(zlib.decompress(b64decode(packed))))) if packed else {}
+
+
+def _parts_of(offset: dict) -> tuple[str, dict, str | None]:
+    """Packed table, later positions and turn of an offset."""
+    inner = offset.get(_TURN)
+    if isinstance(inner, dict):
+        return inner["files"], inner["since"], inner["turn"]
+    return "", {path: at for path, at in offset.items() if path != _TURN}, inner
+
+
 class Range(InputPartition):
     """Bytes ``begin`` to ``end`` of a file; ``first`` says that a record starts at ``begin``."""
 
@@ -64,6 +91,12 @@ class TailReader(DataSourceStreamReader):
         # How far batches were planned; none when a query begins. After a restart the engine asks for
         # the partitions of the last offset it has written before it asks for a new one.
         self.known: dict[str, int] | None = None
+        # With a bound in records: the last offset's parts, and what the last listing found.
+        self.packed, self.since, self.turn = "", {}, None
+        self.tables: dict[str, dict[str, int]] = {"": {}}
+        self.size: dict[str, int] = {}
+        self.waiting: list[str] = []
+        self.next_listing = 0.0
 
     def _files(self, system, root):
         info = system.get_file_info(root)
@@ -80,8 +113,10 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         system, root, _ = _filesystem(self.path)
         if self.max_records is not None:
-            self.known = self._count_records(system, self._files(system, root))
-            return self.known
+            if self.known is None:
+                self.known = {}
+            self._count_records(system, root)
+            return self._offset()
         latest = {}
         for info in self._files(system, root):
             size, floor = info.size, (self.known or {}).get(info.path, 0)
@@ -101,34 +136,77 @@ class TailReader(DataSourceStreamReader):
         self.known = latest
         return latest
 
-    def _count_records(self, system, files) -> dict[str, int]:
-        """Offsets behind ``max_records`` further records at most. A few files with new text share the number
-        evenly, and all files take turns from trigger to trigger, so that a trigger opens a few files, however many there
-        are. What one does not need goes to the others."""
-        size = {f.path: f.size for f in files}
-        known = self.known or {}
-        at = {path: known.get(path, 0) for path in size}
-        at = {path: n if n <= size[path] else 0 for path, n in at.items()}
-        turn = known.get(_TURN)
-        waiting = sorted(path for path in size if at[path] < size[path])
-        if turn is not None:
-            behind = bisect_right(waiting, turn)
-            waiting = waiting[behind:] + waiting[:behind]
-        left, least = self.max_records, max(_LEAST_SHARE, self.max_records // _FILES_PER_TRIGGER)
+    def _count_records(self, system, root) -> None:
+        """Move on by ``max_records`` further records at most. The folder is listed when its known text doesn't
+        suffice, and now and then."""
+        left, fresh = self.max_records, not self.waiting or time.monotonic() >= self.next_listing
+        if not fresh:
+            left = self._take_records(system, left)
+        if fresh or left:
+            self._list(system, root)
+            self._take_records(system, left)
+
+    def _list(self, system, root) -> None:
+        begin = time.monotonic()
+        self.size = {f.path: f.size for f in self._files(system, root)}
+        for path in self.known.keys() - self.size.keys():
+            self._move(path, None)
+        for path, size in self.size.items():
+            # A shorter file was truncated or replaced.
+            if self.known.get(path, size + 1) > size:
+                self._move(path, 0)
+        self.waiting = sorted(path for path, size in self.size.items() if self.known[path] < size)
+        now = time.monotonic()
+        self.next_listing = now + _LISTING_PAUSE * (now - begin)
+
+    def _take_records(self, system, left: int) -> int:
+        """Move on by ``left`` further records at most; the number of those that were not there. A few files with new
+        text share the number evenly, and all files take turns from trigger to trigger, so that a trigger opens a few
+        files, however many there are. What one does not need goes to the others."""
+        least = max(_LEAST_SHARE, self.max_records // _FILES_PER_TRIGGER)
+        behind = 0 if self.turn is None else bisect_right(self.waiting, self.turn)
+        waiting = self.waiting[behind:] + self.waiting[:behind]
         while left and waiting:
             share, more = max(least, left // len(waiting)), []
             for path in waiting:
                 if not left:
                     break
-                wanted = min(share, left)
-                at[path], found = self._skip_records(system, path, at[path], size[path], wanted)
-                left -= found
+                wanted, size, found = min(share, left), self.size[path], 0
+                try:
+                    at, found = self._skip_records(system, path, self.known[path], size, wanted)
+                except FileNotFoundError:
+                    self._move(path, None)
                 if found:
-                    turn = path
-                if found == wanted and at[path] < size[path]:
+                    left -= found
+                    self.turn = path
+                    self._move(path, at)
+                if found == wanted and at < size:
                     more.append(path)
+                else:
+                    # Nothing more is known of it until the next listing.
+                    del self.waiting[bisect_left(self.waiting, path)]
             waiting = more
-        return at if turn is None else {**at, _TURN: turn}
+        return left
+
+    def _move(self, path: str, at: int | None) -> None:
+        if at is None:
+            del self.known[path]
+        else:
+            self.known[path] = at
+        self.since[path] = at
+
+    def _offset(self) -> dict:
+        if len(self.since) > max(_LEAST_MOVED, len(self.known) // 16):
+            self.packed, self.since = _pack_positions(self.known), {}
+            self._keep_table(dict(self.known))
+        if not self.packed and not self.since:
+            return {}
+        return {_TURN: {"files": self.packed, "since": dict(self.since), "turn": self.turn}}
+
+    def _keep_table(self, table: dict[str, int]) -> None:
+        # A micro-batch needs the tables of its begin and its end.
+        self.tables = dict([*self.tables.items()][-1:])
+        self.tables[self.packed] = table
 
     def _skip_records(self, system, path, at, size, limit) -> tuple[int, int]:
         """End of the next ``limit`` records, or of as many as are whole, and their number."""
@@ -167,12 +245,24 @@ class TailReader(DataSourceStreamReader):
                 begin += _CHUNK
         return floor
 
+    def _table(self, packed: str) -> dict[str, int]:
+        found = self.tables.get(packed)
+        return _unpack_positions(packed) if found is None else found
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        (from_packed, from_since, _), (packed, since, turn) = _parts_of(start), _parts_of(end)
+        before, after = self._table(from_packed), self._table(packed)
         if self.known is None:
-            self.known = dict(end)
+            self.known = {path: at for path, at in (after | since).items() if at is not None}
+            self.packed, self.since, self.turn = packed, dict(since), turn
+            self._keep_table(after)
+        paths = from_since.keys() | since.keys()
+        if from_packed != packed:
+            paths |= before.keys() | after.keys()
         ranges = []
-        for path, stop in sorted((path, stop) for path, stop in end.items() if path != _TURN):
-            begin = start.get(path, 0)
+        for path in sorted(paths):
+            stop = since.get(path, after.get(path, 0)) or 0
+            begin = from_since.get(path, before.get(path, 0)) or 0
             # A shorter file was truncated or replaced: it is read from its beginning.
             begin = begin if begin <= stop else 0
             for at in range(begin, stop, self.range_bytes):
@@ -265,7 +355,8 @@ class LogTail(DataSource):
     Options: ``path`` (file or folder), ``separator``, ``rangeBytes`` per task, ``openCostBytes`` (ranges share
     tasks, each counted as that many bytes at least; without it each has its own), and one of
     ``maxBytesPerTrigger`` per file and ``maxRecordsPerTrigger`` of all files. Both hold after a
-    restart too. The driver reads the records it counts, so keep their number small. A query
+    restart too. The driver reads the records it counts, so keep their number small, and lists the folder
+    anew when the text it knows doesn't fill a trigger, or after 20 times the time of a listing. A query
     with the trigger ``availableNow`` ends after one such batch; the next run goes on from there.
     """
 

@@ -1,5 +1,8 @@
 """Running results over record streams, and the payload dump."""
 
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -57,3 +60,30 @@ def write_level_index(records: DataFrame, out: str) -> DataStreamWriter:
     return (records.where(F.col("level").isNotNull()).select("source", "level", "idx")
             .writeStream.format("parquet").partitionBy("level").option("path", out)
             .outputMode("append"))
+
+
+class BatchCounts:
+    """Rows of each micro-batch, as a function for ``foreachBatch``. A batch is counted while the stream goes on to the
+    next ones, with ``ahead`` of them open at most. The engine may commit it before that, so this is for counts that live no longer
+    than their stream: one that fails ends the stream or is raised by ``result``. A repeated batch counts once."""
+
+    def __init__(self, ahead: int = 8):
+        self.ahead, self.counts, self.pending = ahead, {}, deque()
+        self.pool = ThreadPoolExecutor(ahead)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        while self.pending and (len(self.pending) >= self.ahead or self.pending[0].done()):
+            self.pending.popleft().result()
+        self.pending.append(self.pool.submit(self._count, batch, batch_id))
+
+    def _count(self, batch: DataFrame, batch_id: int) -> None:
+        # For batches made small by a bound: one task counts them without a shuffle.
+        self.counts[batch_id] = batch.coalesce(1).count()
+
+    def result(self) -> dict[int, int]:
+        while self.pending:
+            self.pending.popleft().result()
+        return self.counts
+
+    def close(self) -> None:
+        self.pool.shutdown(cancel_futures=True)

@@ -1,10 +1,13 @@
 """Followed files give the records of a batch read, however the text arrives."""
 
+import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparklog import scratch
 from sparklog.formats import csv, log4j, plain, rules
 from sparklog.formats.rules import FieldRule, RuleSet
 from sparklog.operators import stats
@@ -202,6 +205,149 @@ def test_record_bound_opens_few_of_many_files(tmp_path):
     assert not any("0-12" in b for b in seen[:8])
 
 
+def test_record_bound_lists_seldom_and_names_few_files(tmp_path, monkeypatch):
+    monkeypatch.setattr("sparklog.sources.tail._LISTING_PAUSE", 1_000_000)
+    for i in range(400):
+        (tmp_path / f"{i:03}.log").write_text(f"{i}-0\n{i}-1\n")
+    reader = TailReader({"path": str(tmp_path), "maxrecordspertrigger": "30", "opencostbytes": "1000"})
+    listings, files = [], reader._files
+    reader._files = lambda *place: listings.append(place) or files(*place)
+    at, seen, sizes = {}, [], []
+    while True:
+        end = json.loads(json.dumps(reader.latestOffset()))
+        batch = [v for part in reader.partitions(at, end) for rows in reader.read(part)
+                 for v in rows.column("value").to_pylist()]
+        if not batch:
+            break
+        seen.append(batch)
+        sizes.append(len(json.dumps(end)))
+        at = end
+        if len(seen) == 10:
+            # A file that goes before its turn doesn't end the stream.
+            (tmp_path / "399.log").unlink()
+    assert [len(b) for b in seen] == [30] * 26 + [18]
+    assert sorted(v for b in seen for v in b) == sorted(f"{i}-{n}" for i in range(399) for n in range(2))
+    # At the begin, for the last batch that isn't full, and to find nothing more.
+    assert len(listings) == 3
+    named = len(json.dumps({str(tmp_path / f"{i:03}.log"): 12 for i in range(400)}))
+    assert max(sizes) < named * 2 // 3
+
+
+@pytest.mark.parametrize("pause", [0, 1_000_000])
+@pytest.mark.parametrize("seed", range(4))
+def test_record_bound_with_files_that_change(tmp_path, monkeypatch, pause, seed):
+    monkeypatch.setattr("sparklog.sources.tail._LISTING_PAUSE", pause)
+    monkeypatch.setattr("sparklog.sources.tail._LEAST_MOVED", 3)
+    monkeypatch.setattr("sparklog.sources.tail._LEAST_SHARE", 5)
+    rng = random.Random(seed)
+    written, got = {}, {}
+
+    def write(name, n):
+        path = tmp_path / name
+        with open(path, "a") as f:
+            for _ in range(n):
+                written.setdefault(str(path), []).append(f"{name} {len(written.get(str(path), []))}")
+                f.write(written[str(path)][-1] + "\n")
+
+    make = lambda: TailReader({"path": str(tmp_path), "maxrecordspertrigger": "16", "opencostbytes": "1000"})
+    for i in range(12):
+        write(f"{i}", rng.randrange(30))
+    reader, at, replaced = make(), {}, False
+    for step in range(200):
+        end = json.loads(json.dumps(reader.latestOffset()))
+        batch = [(rows.column("source")[0].as_py()[len("file:"):], v) for part in reader.partitions(at, end)
+                 for rows in reader.read(part) for v in rows.column("value").to_pylist()]
+        left = sum(map(len, written.values())) - sum(map(len, got.values()))
+        assert len(batch) <= 16 and (pause or len(batch) == min(16, left))
+        for path, value in batch:
+            got.setdefault(path, []).append(value)
+        at = end
+        if not batch:
+            if step > 60:
+                break
+            # All is read: one file begins anew, shorter, and others grow or come.
+            for i in range(3):
+                write(f"{rng.randrange(15)}", rng.randrange(1, 30))
+            path = rng.choice(sorted(got))
+            if not replaced and len(got[path]) > 1 and got[path] == written[path]:
+                replaced = True
+                (tmp_path / path).write_text("new\n")
+                written[path], got[path] = ["new"], []
+        elif step < 60 and rng.random() < 0.3:
+            write(f"{rng.randrange(15)}", rng.randrange(4))
+        if rng.random() < 0.2:
+            reader = make()
+            assert reader.partitions(at, at) == []
+    assert replaced and got == {path: values for path, values in written.items() if values}
+
+
+def test_offset_that_names_every_file_goes_on(tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text("".join(f"{name}{n}\n" for n in range(4)))
+    path = lambda name: str(tmp_path / name)
+    old = {path("a"): 12, path("b"): 6, path("c"): 0, "": path("b")}
+    reader = TailReader({"path": str(tmp_path), "maxrecordspertrigger": "5", "opencostbytes": "1000"})
+    assert reader.partitions({path("a"): 12, path("b"): 0}, old)[0].end == 6
+    end = reader.latestOffset()
+    assert [v for part in reader.partitions(old, end) for rows in reader.read(part)
+            for v in rows.column("value").to_pylist()] == ["b2", "c0", "c1", "c2", "c3"]
+    (tmp_path / "c").unlink()
+    last = reader.latestOffset()
+    assert [r.path for part in reader.partitions(end, last) for r in getattr(part, "ranges", [part])] == [path("b")]
+
+
+def test_batches_are_counted_beside_the_stream(spark):
+    go, waiting = threading.Event(), []
+
+    class Batch:
+        def __init__(self, n):
+            self.n = n
+
+        def coalesce(self, _):
+            return self
+
+        def count(self):
+            waiting.append(self.n)
+            assert go.wait(60)
+            if self.n < 0:
+                raise ValueError("no count")
+            return self.n
+
+    counts = live.BatchCounts(3)
+    for i in range(3):
+        counts(Batch(i + 5), i)
+    go.set()
+    counts(Batch(9), 3)
+    counts(Batch(7), 1)
+    assert counts.result() == {0: 5, 1: 7, 2: 7, 3: 9} and sorted(waiting) == [5, 6, 7, 7, 9]
+    counts(Batch(-1), 4)
+    with pytest.raises(ValueError):
+        counts.result()
+    counts.close()
+
+
+def test_local_progress_by_the_older_interface(spark, tmp_path):
+    key = "spark.sql.streaming.checkpointFileManagerClass"
+    with scratch.checkpoint_files(spark, str(tmp_path)):
+        assert spark.conf.get(key).endswith(".FileSystemBasedCheckpointFileManager")
+        (tmp_path / "logs").mkdir()
+        (tmp_path / "logs" / "a.log").write_text("x\ny\n")
+        query = (tail_units(spark, str(tmp_path / "logs"), max_records_per_trigger=1).writeStream
+                 .foreachBatch(lambda batch, _: batch.count()).option("checkpointLocation", str(tmp_path / "progress"))
+                 .trigger(processingTime="0 seconds").start())
+    assert spark.conf.get(key, None) is None
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(p.name for p in (tmp_path / "progress" / "commits").glob("[0-9]*")) == ["0", "1"]
+    spark.conf.set(key, "chosen")
+    try:
+        with scratch.checkpoint_files(spark, str(tmp_path)):
+            assert spark.conf.get(key) == "chosen"
+        assert spark.conf.get(key) == "chosen"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_small_files_share_tasks(tmp_path):
     for i in range(10):
         (tmp_path / f"{i}.log").write_text("x\n" * 10 * (i + 1))
